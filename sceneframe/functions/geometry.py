@@ -115,10 +115,27 @@ def segments_intersect(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
         (t >= 0.0) & (t <= 1.0) & (u >= 0.0) & (u <= 1.0))
 
 
-def segment_crosses_polygon(ax, ay, bx, by, edges: Column) -> Column:
+def segment_crosses_polygon(ax, ay, bx, by, edges: Column, rx=None, ry=None) -> Column:
+    """The segment meets any edge (closed test, parallel edges never count).
+
+    Lambdas are evaluated node by node, so the three determinants of an edge are
+    computed once in a first pass.  ``rx, ry`` may pass bx - ax and by - ay as
+    ready columns.
+    """
+    rx = bx - ax if rx is None else rx
+    ry = by - ay if ry is None else ry
+
     # an edge runs from the earlier vertex (j) to the later one (i)
-    return F.exists(edges, lambda e: segments_intersect(
-        ax, ay, bx, by, e["xj"], e["yj"], e["xi"], e["yi"]))
+    def determinants(e):
+        ex, ey = e["xi"] - e["xj"], e["yi"] - e["yj"]
+        cx, cy = e["xj"] - ax, e["yj"] - ay
+        return F.struct((rx * ey - ry * ex).alias("d"), (cx * ey - cy * ex).alias("t"),
+                        (cx * ry - cy * rx).alias("u"))
+
+    def met(s):
+        return F.when(F.abs(s["d"]) < 1e-12, False).otherwise(
+            (s["t"] / s["d"]).between(0.0, 1.0) & (s["u"] / s["d"]).between(0.0, 1.0))
+    return F.exists(F.transform(edges, determinants), met)
 
 
 def along_path(ax, ay, bx, by, px, py) -> Column:

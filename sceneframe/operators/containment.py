@@ -132,8 +132,8 @@ def _level_pairs(points: DataFrame, index: ZoneIndex, x: str, y: str, payload) -
     return (spread.join(zones, (F.col("scene_id") == F.col("_scene"))
                         & (F.col("_level") == F.col("_zl"))
                         & (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
-                        & _in_box(px, py, F.col("_g")))
-            .where(G.point_in_polygon(px, py, F.col("_g.edges")))
+                        & _in_box(px, py, F.col("_g"))
+                        & G.point_in_polygon(px, py, F.col("_g.edges")))
             .select(*points.columns, "_z"))
 
 

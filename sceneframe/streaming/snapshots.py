@@ -1,0 +1,72 @@
+"""Keyed snapshot tables maintained from micro-batches.
+
+Each batch writes a complete new version next to the old ones and then a commit
+row.  Versions are named by batch number, so a repeated batch overwrites its own
+output and readers never see a half-written state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+
+class SnapshotTable:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def last_version(self, before: int | None = None) -> int | None:
+        try:
+            commits = self.spark.read.schema("version long").parquet(f"{self.path}/commits")
+        except AnalysisException:
+            return None
+        if before is not None:
+            commits = commits.where(F.col("version") < before)
+        return commits.agg(F.max("version")).first()[0]
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The latest committed state, or None before the first commit."""
+        version = self.last_version() if version is None else version
+        if version is None:
+            return None
+        return self.spark.read.parquet(f"{self.path}/data/version={version}")
+
+    def merge(self, batch: DataFrame, batch_id: int,
+              reduce: Callable[[DataFrame], DataFrame]) -> None:
+        """New state = reduce(state before this batch, plus the batch).
+
+        ``reduce`` must return the columns of ``batch``.
+        """
+        before = self.last_version(before=batch_id)
+        rows = reduce(batch)
+        if before is not None:
+            rows = reduce(self.read(before).unionByName(rows, allowMissingColumns=True))
+        self.write(rows, batch_id)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/data/version={batch_id}")
+        (self.spark.createDataFrame([(batch_id,)], "version long")
+         .write.mode("append").parquet(f"{self.path}/commits"))
+
+
+def latest_by(keys, order) -> Callable[[DataFrame], DataFrame]:
+    """Keep the newest row per key; equal times keep the larger row."""
+    keys, order = list(keys), list(order)
+
+    def reduce(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        newest = F.max_by(F.struct(*rest), F.struct(*order))
+        return df.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    return reduce
+
+
+def earliest_by(keys, order) -> Callable[[DataFrame], DataFrame]:
+    keys, order = list(keys), list(order)
+
+    def reduce(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        first = F.min_by(F.struct(*rest), F.struct(*order))
+        return df.groupBy(*keys).agg(first.alias("_r")).select(*keys, "_r.*").select(*df.columns)
+    return reduce
