@@ -675,12 +675,13 @@ def live_pose_zone(spark, sf):
 # -- journeys --------------------------------------------------------------
 
 def journey_status(spark, sf):
-    """Orders as journeys, their lines as waypoints, progress from the order key."""
-    li = D.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
-    way = li.select(F.col("l_orderkey").alias("journey_id"), (F.col("l_linenumber") - 1).alias("idx"),
-                    F.concat(F.lit("enter room "), F.col("l_linenumber").cast("string")).alias("action"),
-                    (F.col("l_linenumber") % 2 == 0).alias("is_stop"),
-                    F.concat(F.lit("room "), F.col("l_linenumber").cast("string")).alias("stop"))
+    """Orders as journeys of three to seven rooms, every second room a stop."""
+    n = F.col("n")
+    way = (D.table(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(
+                F.lit(1), (F.col("o_orderkey") % 5 + 3).cast("int"))).alias("n"))
+           .select(F.col("o_orderkey").alias("journey_id"), (n - 1).alias("idx"),
+                   F.concat(F.lit("enter room "), n.cast("string")).alias("action"),
+                   (n % 2 == 0).alias("is_stop"), F.concat(F.lit("room "), n.cast("string")).alias("stop")))
     progress = D.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("journey_id"), (F.col("o_orderkey") % 4).alias("current_waypoint"))
     return J.journey_status(way, progress).select(
