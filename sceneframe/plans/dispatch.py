@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sceneframe.functions.text import preview
 from sceneframe.operators.asof import pose_as_of
 from sceneframe.operators.hierarchy import zone_children
-from sceneframe.operators.scale import broadcast_if_small
+from sceneframe.operators.scale import broadcast_if_small, checkpoint
 from sceneframe.plans import tools as T
 from sceneframe.plans.publish import Published
 
@@ -236,11 +236,12 @@ def documents(answers: Answers, max_items: int = 10_000):
     keep their header text and their items are returned as rows, complete and in
     the same form, instead of being gathered into one row.
     """
-    sizes = answers.items.groupBy("items_key").agg(F.count(F.lit(1)).alias("_n"))
+    items = checkpoint(answers.items)  # read several times below
+    sizes = items.groupBy("items_key").agg(F.count(F.lit(1)).alias("_n"))
     fitting = sizes.where(F.col("_n") <= max_items).select("items_key")
     order = F.array_sort(F.collect_list(F.struct("pos1", "pos2", "item_json")))
     # groups hold at most max_items rows here
-    lists = (answers.items.join(fitting, "items_key", "left_semi")
+    lists = (items.join(fitting, "items_key", "left_semi")
              .groupBy("items_key", "section").agg(F.concat(
                  F.lit("["), F.array_join(F.transform(order, lambda i: i["item_json"]), ","),
                  F.lit("]")).alias("_list"))
@@ -260,7 +261,7 @@ def documents(answers: Answers, max_items: int = 10_000):
                  F.array_join(parts, ","), F.lit("}"))).otherwise(F.col("result_json"))
     docs = joined.select("request_id", "tool", whole.alias("result_json"), "error",
                          F.coalesce("_large", F.lit(False)).alias("oversize"), "items_key")
-    rest = answers.items.join(large.select("items_key"), "items_key", "left_semi")
+    rest = items.join(large.select("items_key"), "items_key", "left_semi")
     return docs, rest
 
 

@@ -571,13 +571,13 @@ def request_arguments(spark, sf):
         F.size(args).cast("long").alias("num_args"))
 
 
-def _answers(spark, sf):
+def _answers(spark, sf, tools=tuple(D.TOOL_OF_EVENT.values())):
     asked = D.requests(spark, sf).withColumn("args", F.when(
         F.col("request_id") % 50 == 7, "{oops").otherwise(F.col("args"))).withColumn(
         "tool", F.when(F.col("request_id") % 97 == 5, "fly").otherwise(F.col("tool")))
     return asked, dispatch.answer_requests(
         asked, D.poses(spark, sf), published(spark, sf), D.nav_status(spark, sf), _goal_log(spark, sf),
-        tools=set(D.TOOL_OF_EVENT.values()))
+        tools=tools)
 
 
 def answered_requests(spark, sf):
@@ -609,7 +609,7 @@ def answer_documents(spark, sf):
 
 
 def debug_lines(spark, sf):
-    asked, got = _answers(spark, sf)
+    asked, got = _answers(spark, sf, ("find_nearest",))
     return dispatch.debug_lines(asked, got.headers.where("tool = 'find_nearest'")).select(
         "request_id", F.substring_index("text", " -> ", 1).alias("call"))
 
