@@ -73,6 +73,11 @@ def _items(df: DataFrame, key: Column, section: str | Column, pos1: Column, pos2
                      body.alias("item_json"))
 
 
+def _of_scenes(table: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows of the scenes somebody asked about."""
+    return table.join(broadcast_if_small(requests.select("scene_id").distinct()), "scene_id", "left_semi")
+
+
 def _own(prefix: str = "request") -> Column:
     return F.concat(F.lit(f"{prefix}:"), F.col("request_id").cast("string"))
 
@@ -199,18 +204,19 @@ def answer_requests(requests: DataFrame, poses: DataFrame, scene: Published, sta
             df = T._has_scene(branch(tool), z, "_data").withColumn(
                 "error", F.when(~F.col("_data"), "No zone data available"))
             add(df, tool, {}, ("zones", "children"), _shared("zones", "scene_id"))
-            listed = z.withColumn("display_name", F.col("full_path")).withColumn(
+            z_asked = _of_scenes(z, df)
+            listed = z_asked.withColumn("display_name", F.col("full_path")).withColumn(
                 "parent", F.nullif(F.col("parent"), F.lit("")))
             items.append(_items(listed, _shared("zones", "scene_id"), "zones", F.lit(0.0), F.col("zord"),
                                 _json("name", "display_name", "parent", keep_nulls=False)))
-            items.append(_items(zone_children(z), _shared("zones", "scene_id"), "children", F.col("zord"),
+            items.append(_items(zone_children(z_asked), _shared("zones", "scene_id"), "children", F.col("zord"),
                                 F.col("child_ord"), _json("name", "child")))
         elif tool == "list_objects":
             df = T._has_scene(branch(tool), o, "_data").withColumn(
                 "error", F.when(~F.col("_data"), "No object data available"))
             add(df, tool, {}, ("objects",), _shared("labels", "scene_id"))
             # labels are read in text order: the item itself is the last sort key
-            items.append(_items(T.list_objects(o), _shared("labels", "scene_id"), "objects",
+            items.append(_items(T.list_objects(_of_scenes(o, df)), _shared("labels", "scene_id"), "objects",
                                 F.lit(0.0), F.lit(0), F.to_json(F.struct("label"))))
         elif tool == "get_navigation_status":
             got = T.navigation_status(branch(tool), statuses, goals, d).withColumn(
