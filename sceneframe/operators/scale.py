@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: largest table sent to every executor, in rows
 BROADCAST_ROWS = 200_000
+#: and in bytes of its text and list columns
+BROADCAST_BYTES = 128 << 20
 #: groups larger than this are cut into slices before ordered work
 GROUP_ROWS = 2_000_000
 #: only the largest groups can matter: one outside the list holds under 1/MAX of all rows
@@ -49,18 +51,25 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, text_columns=(),
-             max_chars: int = 64 << 20) -> bool:
-    """Count ``df`` (and the text it carries) against the broadcast bound."""
-    chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in text_columns), F.lit(0))
-    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(chars), F.lit(0))).first()
-    return n <= max_rows and size <= max_chars
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, text_columns=(), edge_columns=(),
+             max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measure ``df`` against the broadcast bounds in one aggregate.
+
+    Rows are counted; columns of unbounded width are weighed as well: the
+    characters of ``text_columns`` and 32 bytes per element of ``edge_columns``.
+    """
+    zero = F.lit(0)
+    wide = sum([F.coalesce(F.length(c), zero) * 2 for c in text_columns]
+               + [F.coalesce(F.size(c), zero) * 32 for c in edge_columns], zero)
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(wide), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, text_columns=(),
-                       max_chars: int = 64 << 20) -> DataFrame:
+                       edge_columns=(), max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast for a table proven small; otherwise leave the join to AQE."""
-    return F.broadcast(df) if is_small(df, max_rows, text_columns, max_chars) else df
+    small = is_small(df, max_rows, text_columns, edge_columns, max_bytes)
+    return F.broadcast(df) if small else df
 
 
 def large_groups(df: DataFrame, keys, group_rows: int | None = None) -> list:
@@ -78,7 +87,8 @@ def large_groups(df: DataFrame, keys, group_rows: int | None = None) -> list:
 def ordered_slices(df: DataFrame, keys, position: Column, group_rows: int | None = None):
     """Cut large groups into ordered slices.
 
-    Returns ``(df with _slice, any_large)``.  ``_slice`` is 0 in ordinary groups.
+    Returns ``(df with _slice, large)``: ``_slice`` is 0 in ordinary groups, ``large``
+    has one row per cut group (None if there is none, always small enough to broadcast).
     ``position`` must never decrease along the order used afterwards; then every
     row of slice s comes before every row of slice s+1.  The split points are
     approximate quantiles of ``position``: they affect balance, never results.
@@ -88,13 +98,13 @@ def ordered_slices(df: DataFrame, keys, position: Column, group_rows: int | None
     placed = df.withColumn("_pos", position.cast("double"))
     big = large_groups(df, names, bound)
     if not big:
-        return df.withColumn("_slice", F.lit(0)), False
+        return df.withColumn("_slice", F.lit(0)), None
     parts = min(4096, 2 * (big[0]["_n"] // bound + 1))
     schema = placed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).schema
-    chosen = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in big], schema))
+    chosen = df.sparkSession.createDataFrame([tuple(r) for r in big], schema)
     # keep every step-th quantile, so that a group gets about 2 * n / bound points
     step = F.greatest(F.lit(1), F.floor(F.lit(parts * bound / 2.0) / F.col("_n")).cast("int"))
-    points = (placed.join(chosen, names)
+    points = (placed.join(F.broadcast(chosen), names)
               .groupBy(*names)
               .agg(F.percentile_approx("_pos", [i / parts for i in range(1, parts)], 10_000)
                    .alias("_q"), F.first("_n").alias("_n"))
@@ -105,7 +115,7 @@ def ordered_slices(df: DataFrame, keys, position: Column, group_rows: int | None
               .withColumn("_slice", F.when(F.col("_points").isNull(), 0).otherwise(
                   F.size(F.filter("_points", lambda p: p <= F.col("_pos")))))
               .drop("_points", "_pos"))
-    return sliced, True
+    return sliced, chosen.select(*names)
 
 
 def rank_in_group(df: DataFrame, keys, order, position: Column, name: str = "rank",
@@ -116,15 +126,15 @@ def rank_in_group(df: DataFrame, keys, order, position: Column, name: str = "ran
     row counts of the slices before it.
     """
     names = list(keys)
-    sliced, any_large = ordered_slices(df, names, position, group_rows)
+    sliced, large = ordered_slices(df, names, position, group_rows)
     w = Window.partitionBy(*names, "_slice").orderBy(*order)
     numbered = sliced.withColumn(name, F.row_number().over(w).cast("long"))
-    if not any_large:
+    if large is None:
         return numbered.drop("_slice")
     before = Window.partitionBy(*names).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
-    # one row per slice of the large groups; ordinary groups have nothing before
-    offsets = (sliced.groupBy(*names, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per slice of the large groups
+    offsets = (sliced.join(F.broadcast(large), names, "left_semi").groupBy(*names, "_slice").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_before", F.sum("_n").over(before))
                .where(F.col("_before") > 0).select(*names, "_slice", "_before"))
     return (numbered.join(offsets, [*names, "_slice"], "left")

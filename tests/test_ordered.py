@@ -50,8 +50,8 @@ def test_as_of_both_directions(spark, rows):
 def test_slices_follow_the_order(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
     assert {r["k"] for r in large_groups(df, ["k"], 100)} == {0, 1} and large_groups(df, ["k"], 5000) == []
-    sliced, any_large = ordered_slices(df, ["k"], F.col("v"), 100)
-    assert any_large and sliced.count() == 5000
+    sliced, large = ordered_slices(df, ["k"], F.col("v"), 100)
+    assert large.count() == 2 and sliced.count() == 5000
     spans = sliced.groupBy("k", "_slice").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"))
     rows = sorted(spans.collect(), key=lambda r: (r.k, r["_slice"]))
     assert max(r.n for r in rows) <= 200
