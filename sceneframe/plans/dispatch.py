@@ -9,6 +9,7 @@ items back into whole JSON texts, for answers up to a given number of items.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,13 +24,7 @@ from sceneframe.plans.publish import Published
 
 _NULLS = {"ignoreNullFields": "false"}
 
-# Fixed value: arguments that must be present, per tool.
-REQUIRED = {"navigate_to_zone": "zone_name", "navigate_to_object": "object_label",
-            "query_zone": "zone_name", "query_object": "object_label",
-            "find_nearest": "object_type", "distance_to": "destination",
-            "describe_route": "destination", "orient_me": "target"}
-PLAIN = ("list_zones", "list_objects", "get_robot_pose", "cancel_navigation",
-         "describe_surroundings", "get_navigation_status")
+# Fixed value: tools missing from the local dialect.
 CLOUD_ONLY = ("cancel_navigation",)
 
 
@@ -39,9 +34,46 @@ class Answers:
     items: DataFrame    #: items_key, section, pos1, pos2, item_json
 
 
+@dataclass
+class Context:
+    """What the tools read."""
+    scene: Published
+    poses: DataFrame
+    statuses: DataFrame
+    goals: DataFrame
+    dialect: str = "cloud"
+    frame: str = "map"
+
+    def located(self, mine: DataFrame) -> DataFrame:
+        """Requests with the pose of their robot at their time."""
+        extra = [c for c in ("_name", "_radius") if c in mine.columns]
+        return pose_as_of(mine.select("request_id", "scene_id", "robot_id", "ts", *extra), self.poses)
+
+
+@dataclass
+class Tool:
+    """A handler ``(context, requests) -> (headers, [items])`` and its required argument."""
+    handler: Callable
+    argument: str | None = None
+
+
+TOOLS: dict[str, Tool] = {}
+
+
+def tool(name: str, argument: str | None = None):
+    """Register a handler.
+
+    Its requests carry the required argument as ``_name`` and all arguments as
+    the map ``_args``.
+    """
+    def register(handler):
+        TOOLS[name] = Tool(handler, argument)
+        return handler
+    return register
+
+
 def known_tools(dialect: str = "cloud") -> list[str]:
-    names = [*REQUIRED, *PLAIN]
-    return names if dialect == "cloud" else [n for n in names if n not in CLOUD_ONLY]
+    return [n for n in TOOLS if dialect == "cloud" or n not in CLOUD_ONLY]
 
 
 def parse_arguments(args: Column) -> Column:
@@ -50,25 +82,23 @@ def parse_arguments(args: Column) -> Column:
                       F.create_map().cast("map<string,string>"))
 
 
-def _header(df: DataFrame, tool: str, body: dict[str, Column], sections=(), key: Column | None = None,
-            keep_nulls: bool = True) -> DataFrame:
-    error, hint = F.col("error"), (F.col("hint") if "hint" in df.columns else F.lit(None).cast("string"))
+def _header(df: DataFrame, body: dict[str, Column], sections=(), key: Column | None = None) -> DataFrame:
+    """Header rows: the JSON of ``body``, or of the error and its hint."""
+    none = F.lit(None).cast("string")
+    hint = F.col("hint") if "hint" in df.columns else none
     fields = [c.alias(n) for n, c in body.items()]
-    options = _NULLS if keep_nulls else {}
-    good = F.to_json(F.struct(*fields), options) if fields else F.lit("{}")
-    bad = F.to_json(F.struct(error.alias("error"), hint.alias("hint")))
+    good = F.to_json(F.struct(*fields), _NULLS) if fields else F.lit("{}")
+    bad = F.to_json(F.struct("error", hint.alias("hint")))
+    fine = F.col("error").isNull()
     names = F.array(*[F.lit(s) for s in sections]).cast("array<string>")
-    none = F.lit(None).cast("string")
-    return df.select("request_id", F.lit(tool).alias("tool"),
-                     F.when(error.isNull(), good).otherwise(bad).alias("result_json"),
-                     F.when(error.isNull(), names).alias("sections"),
-                     (F.when(error.isNull(), key) if key is not None else none).alias("items_key"), "error")
+    return df.select("request_id", F.when(fine, good).otherwise(bad).alias("result_json"),
+                     F.when(fine, names).alias("sections"),
+                     F.when(fine, none if key is None else key).alias("items_key"), "error")
 
 
-def _items(df: DataFrame, key: Column, section: str | Column, pos1: Column, pos2: Column,
+def _items(df: DataFrame, key: Column, section: str, pos1: Column, pos2: Column,
            body: Column) -> DataFrame:
-    return df.select(key.alias("items_key"),
-                     (F.lit(section) if isinstance(section, str) else section).alias("section"),
+    return df.select(key.alias("items_key"), F.lit(section).alias("section"),
                      pos1.cast("double").alias("pos1"), pos2.cast("long").alias("pos2"),
                      body.alias("item_json"))
 
@@ -78,19 +108,165 @@ def _of_scenes(table: DataFrame, requests: DataFrame) -> DataFrame:
     return table.join(broadcast_if_small(requests.select("scene_id").distinct()), "scene_id", "left_semi")
 
 
-def _own(prefix: str = "request") -> Column:
-    return F.concat(F.lit(f"{prefix}:"), F.col("request_id").cast("string"))
+def _own() -> Column:
+    return F.concat(F.lit("request:"), F.col("request_id").cast("string"))
+
+
+def _shared(kind: str, *columns: str) -> Column:
+    return F.concat_ws(":", F.lit(kind), *[F.col(c).cast("string") for c in columns])
+
+
+def _json(*columns, keep_nulls: bool = True) -> Column:
+    return F.to_json(F.struct(*columns), _NULLS if keep_nulls else {})
+
+
+def _named(*columns: str) -> dict[str, Column]:
+    return {c: F.col(c) for c in columns}
+
+
+def _no_error(df: DataFrame) -> DataFrame:
+    return df.withColumn("error", F.lit(None).cast("string"))
+
 
+@tool("get_robot_pose")
+def _robot_pose(ctx: Context, mine: DataFrame):
+    found = T.robot_pose(ctx.located(mine), ctx.scene.index, ctx.frame)
+    return _header(found, _named("x", "y", "yaw_deg", "frame", "current_zone")), []
 
-def _shared(kind: str, *cols: str) -> Column:
-    parts = [F.lit(kind)]
-    for c in cols:
-        parts += [F.lit(":"), F.col(c).cast("string")]
-    return F.concat(*parts)
 
+@tool("describe_surroundings")
+def _surroundings(ctx: Context, mine: DataFrame):
+    asked = F.col("_args")["radius"]
+    mine = mine.withColumn("_radius", F.when(asked.isNull(), T.DEFAULT_RADIUS).otherwise(
+        asked.try_cast("double")))
+    wrong = mine.where("_radius is null").withColumn("error", F.lit("radius must be a number"))
+    mine = mine.where("_radius is not null")
+    rows = T.describe_surroundings(ctx.located(mine), ctx.scene.objects, ctx.scene.index, "_radius",
+                                   ctx.dialect)
+    facts, body, dist = T.surroundings_counts(rows), _named("current_zone", "count"), "distance"
+    if ctx.dialect == "local":
+        facts = facts.join(mine.select("request_id", F.col("_radius").alias("radius_m")), "request_id")
+        body, dist = _named("current_zone", "radius_m"), "distance_m"
+    near = _items(rows.where("obj_ord is not null"), _own(), "nearby_objects", F.col(dist),
+                  F.col("obj_ord"), _json("label", dist, "direction"))
+    return _header(facts, body, ("nearby_objects",), _own()).unionByName(_header(wrong, {})), [near]
 
-def _json(*cols, keep_nulls=True) -> Column:
-    return F.to_json(F.struct(*cols), _NULLS if keep_nulls else {})
+
+@tool("find_nearest", "object_type")
+def _find_nearest(ctx: Context, mine: DataFrame):
+    found = T.find_nearest(ctx.located(mine), ctx.scene.objects, ctx.scene.index, "_name", ctx.dialect)
+    return _header(found, _named("label", "distance_m", "direction", "zone")), []
+
+
+@tool("distance_to", "destination")
+def _distance_to(ctx: Context, mine: DataFrame):
+    found = T.distance_to(ctx.located(mine), ctx.scene.objects, ctx.scene.zones, "_name", ctx.dialect)
+    return _header(found, _named("destination", "destination_type", "distance_m", "direction")), []
+
+
+@tool("describe_route", "destination")
+def _describe_route(ctx: Context, mine: DataFrame):
+    answers, met, passed = T.describe_route(ctx.located(mine), ctx.scene.objects, ctx.scene.zones,
+                                            "_name", dialect=ctx.dialect)
+    # a JSON string: the only element of a one-element JSON array
+    quoted = F.regexp_extract(F.to_json(F.array("zone")), r"(?s)^\[(.*)\]$", 1)
+    items = [_items(met, _own(), "zones_along_path", F.lit(0.0), F.col("zone_ord"), quoted),
+             _items(passed, _own(), "objects_along_path", F.col("distance_along_path_m"),
+                    F.col("obj_ord"), _json("label", "distance_along_path_m", "side_offset_m"))]
+    return _header(answers, _named("destination", "total_distance_m", "direction"),
+                   ("zones_along_path", "objects_along_path"), _own()), items
+
+
+@tool("orient_me", "target")
+def _orient(ctx: Context, mine: DataFrame):
+    found = T.orient(ctx.located(mine), ctx.scene.objects, ctx.scene.zones, "_name", ctx.dialect)
+    return _header(found, _named("target", "direction_from_current", "turn_degrees", "message")), []
+
+
+def _goal_header(ctx: Context, found: DataFrame, kind: str) -> DataFrame:
+    if ctx.dialect == "local":
+        return _header(found, {"status": F.lit("goal_sent"), **_named(kind, "goal_x", "goal_y")})
+    goal = F.struct(F.col("goal_x").alias("x"), F.col("goal_y").alias("y"))
+    return _header(found, {"success": F.lit(True), kind: F.col(kind), "goal": goal})
+
+
+@tool("navigate_to_zone", "zone_name")
+def _to_zone(ctx: Context, mine: DataFrame):
+    found = T.goal_for_zone(ctx.located(mine), ctx.scene.zones, "_name", ctx.dialect)
+    return _goal_header(ctx, found, "zone"), []
+
+
+@tool("navigate_to_object", "object_label")
+def _to_object(ctx: Context, mine: DataFrame):
+    found = T.goal_for_object(ctx.located(mine), ctx.scene.objects, "_name", ctx.dialect)
+    return _goal_header(ctx, found, "object"), []
+
+
+@tool("query_zone", "zone_name")
+def _query_zone(ctx: Context, mine: DataFrame):
+    answers, contents = T.query_zone(mine, ctx.scene.objects, ctx.scene.zones, ctx.scene.index, "_name")
+    zone = F.when(F.col("found"), F.struct(
+        F.col("zone").alias("name"), "display_name", "parent", "depth", "num_objects",
+        "num_direct_objects"))
+    key = _shared("zone", "scene_id", "zone_ord")
+    place = F.when(F.col("zone").isNotNull(), F.struct("zone", "parent_zone", "full_path"))
+    body = _json("id", "label", F.struct("x", "y").alias("map_position"), place.alias("location"))
+    items = [_items(chosen, key, part, F.lit(0.0), F.col("ord"), body) for part, chosen in
+             (("objects", contents), ("direct_objects", contents.where("direct")))]
+    return _header(_no_error(answers), {"query": F.col("_name"), "found": F.col("found"), "zone": zone},
+                   ("objects", "direct_objects"), F.when(F.col("found"), key)), items
+
+
+@tool("query_object", "object_label")
+def _query_object(ctx: Context, mine: DataFrame):
+    answers, matches = T.query_object(mine, ctx.scene.objects, ctx.scene.index, "_name")
+    key = _shared("label", "scene_id", "label_key")
+    items = _items(matches, key, "objects", F.lit(0.0), F.col("ord"), _json(
+        "id", "label", "confidence", "num_points", F.col("centroid").alias("centroid_3d"),
+        F.struct("x", "y").alias("map_position"),
+        F.struct("zone", "parent_zone", "full_path").alias("location")))
+    body = {"query": F.col("_name"), "found": F.col("found"),
+            "count": F.when(F.col("found"), F.col("count"))}
+    return _header(_no_error(answers), body, ("objects",), key), [items]
+
+
+def _listing(mine: DataFrame, table: DataFrame, kind: str) -> DataFrame:
+    return T.has_scene(mine, table, "_data").withColumn(
+        "error", F.when(~F.col("_data"), f"No {kind} data available"))
+
+
+@tool("list_zones")
+def _list_zones(ctx: Context, mine: DataFrame):
+    key = _shared("zones", "scene_id")
+    z = _of_scenes(ctx.scene.zones, mine).withColumn("display_name", F.col("full_path")).withColumn(
+        "parent", F.nullif(F.col("parent"), F.lit("")))
+    # absent parents are left out, not written as null
+    items = [_items(z, key, "zones", F.lit(0.0), F.col("zord"),
+                    _json("name", "display_name", "parent", keep_nulls=False)),
+             _items(zone_children(z), key, "children", F.col("zord"), F.col("child_ord"),
+                    _json("name", "child"))]
+    return _header(_listing(mine, ctx.scene.zones, "zone"), {}, ("zones", "children"), key), items
+
+
+@tool("list_objects")
+def _list_objects(ctx: Context, mine: DataFrame):
+    key = _shared("labels", "scene_id")
+    # labels are read in text order: the item itself is the last sort key
+    items = _items(T.list_objects(_of_scenes(ctx.scene.objects, mine)), key, "objects", F.lit(0.0),
+                   F.lit(0), F.to_json(F.struct("label")))
+    return _header(_listing(mine, ctx.scene.objects, "object"), {}, ("objects",), key), [items]
+
+
+@tool("get_navigation_status")
+def _status(ctx: Context, mine: DataFrame):
+    found = T.navigation_status(mine, ctx.statuses, ctx.goals, ctx.dialect)
+    names = ["status", "destination", *(["message"] if ctx.dialect == "cloud" else [])]
+    return _header(_no_error(found), _named(*names)), []
+
+
+@tool("cancel_navigation")
+def _cancel(ctx: Context, mine: DataFrame):
+    return _header(_no_error(T.cancellations(mine)), _named("success", "message")), []
 
 
 def answer_requests(requests: DataFrame, poses: DataFrame, scene: Published, statuses: DataFrame,
@@ -98,141 +274,34 @@ def answer_requests(requests: DataFrame, poses: DataFrame, scene: Published, sta
                     frame: str = "map") -> Answers:
     """One branch per tool; each reads only its own requests.
 
-    ``tools`` limits the branches planned (others are still answered as unknown
-    only if they are not tools at all).
+    ``tools`` names the tools that can occur and limits the branches planned;
+    requests for other known tools are then not answered.
     """
-    names = known_tools(dialect)
-    planned = [n for n in names if tools is None or n in tools]
+    ctx = Context(scene, poses, statuses, goals, dialect, frame)
+    known = known_tools(dialect)
     parsed = requests.withColumn("_args", parse_arguments(F.col("args")))
     headers, items = [], []
-
-    def branch(tool):
-        mine = parsed.where(F.col("tool") == tool)
-        need = REQUIRED.get(tool)
-        if need is None:
-            return mine
-        value = F.col("_args")[need]
-        headers.append(_header(
-            mine.where(value.isNull()).withColumn("error", F.lit(f"'{need}'")), tool, {}))
-        return mine.where(value.isNotNull()).withColumn("_name", value)
-
-    def located(df):
-        return pose_as_of(df.select("request_id", "scene_id", "robot_id", "ts",
-                                    *[c for c in ("_name", "_radius") if c in df.columns]), poses)
-
-    def add(df, *args, **kw):
-        headers.append(_header(df, *args, **kw))
-
-    def cols(*named):
-        return {n: F.col(n) for n in named}
-
-    d, o, z, ix = dialect, scene.objects, scene.zones, scene.index
-    for tool in planned:
-        if tool == "get_robot_pose":
-            add(T.robot_pose(located(branch(tool)), ix, frame), tool,
-                cols("x", "y", "yaw_deg", "frame", "current_zone"))
-        elif tool == "describe_surroundings":
-            asked = F.col("_args")["radius"]
-            df = branch(tool).withColumn("_radius", F.coalesce(
-                F.when(asked.isNull(), F.lit(T.DEFAULT_RADIUS)), F.try_cast(asked, "double")
-                if hasattr(F, "try_cast") else asked.try_cast("double")))
-            headers.append(_header(df.where("_radius is null").withColumn(
-                "error", F.lit("radius must be a number")), tool, {}))
-            df = df.where("_radius is not null")
-            rows = T.describe_surroundings(located(df), o, ix, "_radius", d)
-            dist = "distance" if d == "cloud" else "distance_m"
-            facts = T.surroundings_counts(rows)
-            if d == "local":
-                facts = facts.join(df.select("request_id", F.col("_radius").alias("radius_m")), "request_id")
-            add(facts, tool, cols("current_zone", "count") if d == "cloud" else
-                cols("current_zone", "radius_m"), ("nearby_objects",), _own())
-            items.append(_items(rows.where("obj_ord is not null"), _own(), "nearby_objects",
-                                F.col(dist), F.col("obj_ord"), _json("label", dist, "direction")))
-        elif tool == "find_nearest":
-            add(T.find_nearest(located(branch(tool)), o, ix, "_name", d), tool,
-                cols("label", "distance_m", "direction", "zone"))
-        elif tool == "distance_to":
-            add(T.distance_to(located(branch(tool)), o, z, "_name", d), tool,
-                cols("destination", "destination_type", "distance_m", "direction"))
-        elif tool == "describe_route":
-            answers, met, passed = T.describe_route(located(branch(tool)), o, z, "_name", dialect=d)
-            add(answers, tool, cols("destination", "total_distance_m", "direction"),
-                ("zones_along_path", "objects_along_path"), _own())
-            zone_text = F.get_json_object(F.to_json(F.struct(F.array("zone").alias("v"))), "$.v")
-            items.append(_items(met, _own(), "zones_along_path", F.lit(0.0), F.col("zone_ord"),
-                                F.regexp_extract(zone_text, r"^\[(.*)\]$", 1)))
-            items.append(_items(passed, _own(), "objects_along_path", F.col("distance_along_path_m"),
-                                F.col("obj_ord"), _json("label", "distance_along_path_m", "side_offset_m")))
-        elif tool == "orient_me":
-            add(T.orient(located(branch(tool)), o, z, "_name", d), tool,
-                cols("target", "direction_from_current", "turn_degrees", "message"))
-        elif tool in ("navigate_to_zone", "navigate_to_object"):
-            kind = "zone" if tool.endswith("zone") else "object"
-            where = located(branch(tool))
-            got = (T.goal_for_zone(where, z, "_name", d) if kind == "zone"
-                   else T.goal_for_object(where, o, "_name", d))
-            add(got, tool, {"success": F.lit(True), kind: F.col(kind), "goal": F.struct(
-                F.col("goal_x").alias("x"), F.col("goal_y").alias("y"))} if d == "cloud" else
-                {"status": F.lit("goal_sent"), kind: F.col(kind), **cols("goal_x", "goal_y")})
-        elif tool == "query_zone":
-            df = branch(tool).withColumn("query", F.col("_name"))
-            answers, contents = T.query_zone(df, o, z, ix, "_name")
-            body = F.when(F.col("found"), F.struct(
-                F.col("zone").alias("name"), "display_name", "parent", "depth", "num_objects",
-                "num_direct_objects"))
-            add(answers.withColumn("error", F.lit(None).cast("string")), tool,
-                {"query": F.col("_name"), "found": F.col("found"), "zone": body},
-                ("objects", "direct_objects"),
-                F.when(F.col("found"), _shared("zone", "scene_id", "zone_ord")))
-            body = _json("id", "label", F.struct("x", "y").alias("map_position"), F.when(
-                F.col("zone").isNotNull(), F.struct("zone", "parent_zone", "full_path")).alias("location"))
-            key = _shared("zone", "scene_id", "zone_ord")
-            for part, chosen in (("objects", contents), ("direct_objects", contents.where("direct"))):
-                items.append(_items(chosen, key, part, F.lit(0.0), F.col("ord"), body))
-        elif tool == "query_object":
-            answers, matches = T.query_object(branch(tool), o, ix, "_name")
-            add(answers.withColumn("error", F.lit(None).cast("string")), tool,
-                {"query": F.col("_name"), "found": F.col("found"),
-                 "count": F.when(F.col("found"), F.col("count"))}, ("objects",),
-                _shared("label", "scene_id", "label_key"))
-            items.append(_items(
-                matches, _shared("label", "scene_id", "label_key"), "objects", F.lit(0.0), F.col("ord"),
-                _json("id", "label", "confidence", "num_points", F.col("centroid").alias("centroid_3d"),
-                      F.struct("x", "y").alias("map_position"),
-                      F.struct("zone", "parent_zone", "full_path").alias("location"))))
-        elif tool == "list_zones":
-            df = T._has_scene(branch(tool), z, "_data").withColumn(
-                "error", F.when(~F.col("_data"), "No zone data available"))
-            add(df, tool, {}, ("zones", "children"), _shared("zones", "scene_id"))
-            z_asked = _of_scenes(z, df)
-            listed = z_asked.withColumn("display_name", F.col("full_path")).withColumn(
-                "parent", F.nullif(F.col("parent"), F.lit("")))
-            items.append(_items(listed, _shared("zones", "scene_id"), "zones", F.lit(0.0), F.col("zord"),
-                                _json("name", "display_name", "parent", keep_nulls=False)))
-            items.append(_items(zone_children(z_asked), _shared("zones", "scene_id"), "children", F.col("zord"),
-                                F.col("child_ord"), _json("name", "child")))
-        elif tool == "list_objects":
-            df = T._has_scene(branch(tool), o, "_data").withColumn(
-                "error", F.when(~F.col("_data"), "No object data available"))
-            add(df, tool, {}, ("objects",), _shared("labels", "scene_id"))
-            # labels are read in text order: the item itself is the last sort key
-            items.append(_items(T.list_objects(_of_scenes(o, df)), _shared("labels", "scene_id"), "objects",
-                                F.lit(0.0), F.lit(0), F.to_json(F.struct("label"))))
-        elif tool == "get_navigation_status":
-            got = T.navigation_status(branch(tool), statuses, goals, d).withColumn(
-                "error", F.lit(None).cast("string"))
-            add(got, tool, cols("status", "destination", *(["message"] if d == "cloud" else [])))
-        elif tool == "cancel_navigation":
-            add(T.cancellations(branch(tool)).withColumn("error", F.lit(None).cast("string")), tool,
-                cols("success", "message"))
-    unknown = parsed.where(~F.coalesce(F.col("tool"), F.lit("")).isin(names))
-    bad = F.concat(F.lit("Unknown tool: "), F.coalesce("tool", F.lit("None")))
-    headers.append(_header(unknown.withColumn("error", bad), "", {}).drop("tool").join(
-        unknown.select("request_id", "tool"), "request_id").select(*headers[0].columns)
-        if headers else _header(unknown.withColumn("error", bad), "", {}))
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    for name in known:
+        if tools is not None and name not in tools:
+            continue
+        mine = parsed.where(F.col("tool") == name)
+        need = TOOLS[name].argument
+        if need is not None:
+            value = F.col("_args")[need]
+            lacking = mine.where(value.isNull()).withColumn("error", F.lit(f"'{need}'"))
+            headers.append(_header(lacking, {}).withColumn("tool", F.lit(name)))
+            mine = mine.where(value.isNotNull()).withColumn("_name", value)
+        header, lists = TOOLS[name].handler(ctx, mine)
+        headers.append(header.withColumn("tool", F.lit(name)))
+        items += lists
+    unknown = parsed.where(~F.coalesce(F.col("tool"), F.lit("")).isin(known)).withColumn(
+        "error", F.concat(F.lit("Unknown tool: "), F.coalesce("tool", F.lit("None"))))
+    headers.append(unknown.select(
+        "request_id", F.to_json(F.struct("error")).alias("result_json"),
+        F.lit(None).cast("array<string>").alias("sections"),
+        F.lit(None).cast("string").alias("items_key"), "error", "tool"))
     empty = _items(requests.where("false"), F.lit(""), "", F.lit(0), F.lit(0), F.lit(""))
-    return Answers(union(headers), union([empty, *items]))
+    return Answers(reduce(DataFrame.unionByName, headers), reduce(DataFrame.unionByName, [empty, *items]))
 
 
 def documents(answers: Answers, max_items: int = 10_000):

@@ -32,7 +32,7 @@ def _xy():
     return F.col("x"), F.col("y"), F.col("yaw")
 
 
-def _has_scene(requests: DataFrame, table: DataFrame, flag: str) -> DataFrame:
+def has_scene(requests: DataFrame, table: DataFrame, flag: str) -> DataFrame:
     """Flag requests whose scene has any row in ``table``."""
     known = table.select(F.col("scene_id").alias("_s")).distinct().withColumn(flag, F.lit(True))
     return (requests.join(broadcast_if_small(known), F.col("scene_id") == F.col("_s"), "left")
@@ -72,7 +72,7 @@ def describe_surroundings(located: DataFrame, objects: DataFrame, index: ZoneInd
     slim = located.select(*dict.fromkeys(carried))
     zoned = assign_zone(slim, index, key, "first", take={"name": "current_zone"})
     if dialect == "local":
-        zoned = _has_scene(zoned, objects, "_objects")
+        zoned = has_scene(zoned, objects, "_objects")
     rows = nearby_items(objects_within(zoned, objects, radius, "left"), dialect)
     distance = "distance" if dialect == "cloud" else "distance_m"
     error = F.when(F.col("x").isNull(), NO_POSE)
@@ -95,7 +95,7 @@ def find_nearest(located: DataFrame, objects: DataFrame, index: ZoneIndex,
     slim = located.select(*dict.fromkeys([*key, "scene_id", "x", "y", "yaw", keyword]))
     best = nearest_object(slim, objects, key, keyword)
     zoned = assign_zone(best, index, key, "first", "ox", "oy", {"name": "zone"})
-    flagged = _has_scene(zoned, objects, "_objects")
+    flagged = has_scene(zoned, objects, "_objects")
     x, y, yaw = _xy()
     none = F.col("obj_ord").isNull()
     error = (F.when(~F.col("_objects"), "No object data available").when(x.isNull(), NO_POSE)
@@ -178,7 +178,7 @@ def _goal(located, table, what, column, name, tx, ty, order, dialect, key):
     slim = located.select(*dict.fromkeys([*key, "scene_id", "x", "y", "yaw", name]))
     found = first_named(slim, table, name, column, order,
                         {column: "destination", tx: "gx", ty: "gy"})
-    flagged = _has_scene(found, table, "_data")
+    flagged = has_scene(found, table, "_data")
     kind = what.lower()
     bearing = A.bearing(F.col("x"), F.col("y"), F.col("gx"), F.col("gy"))
     yaw = bearing if dialect == "cloud" else F.when(F.col("found"), 0.0)
