@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: largest table sent to every executor, in rows
 BROADCAST_ROWS = 200_000
@@ -22,13 +22,12 @@ GROUP_ROWS = 2_000_000
 MAX_LARGE_GROUPS = 10_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and intermediate tables.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local session
-    without that setting gets a folder of its own.
+    It is the session's ``spark.checkpoint.dir``.  Only a local session without
+    that setting gets a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +36,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="sceneframe-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

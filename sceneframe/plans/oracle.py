@@ -577,6 +577,13 @@ def statements() -> dict[str, str]:
         f"SELECT scope, category, passed, failed, total, {rnd('pct', 1)} AS percent FROM (SELECT CASE WHEN category IS NULL THEN 'overall' ELSE 'category' END AS scope, "
         f"category, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed, count(*) AS total, "
         f"count(*) FILTER (passed)/count(*)::DOUBLE*100e0 AS pct FROM ({_scored()}) GROUP BY ROLLUP (category))", "transcripts")
+    edge_of = lambda order: (
+        f"SELECT user_id AS scene_id, props AS payload FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY user_id ORDER BY ts {order}, props {order}) AS rn FROM events) WHERE rn = 1")
+    s["stream_latched_state"], s["stream_first_receipt"] = edge_of("DESC"), edge_of("ASC")
+    s["stream_pose_zone"] = s["live_pose_zone"].replace(f", {rnd(f'(yaw*{TO_DEG})', 1)} AS yaw_deg", "")
+    s["stream_log_ring"] = s["last_log_lines"]
+    s["stream_arrivals"] = s["arrivals_detected"]
     s["journey_status"] = (
         f"SELECT journey_id, CASE WHEN cur >= total THEN 'succeeded' ELSE 'executing' END AS status, pct AS progress_percent, "
         f"least(past + 1, stops) AS current_stop, stops AS total_stops, CASE WHEN cur >= total THEN 'Journey complete. ' || pct || '% complete.' "

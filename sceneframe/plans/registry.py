@@ -6,15 +6,19 @@ once per session and data folder and then shared, as a published scene is.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneframe.functions import angles as A, geometry as G, text as X
 from sceneframe.functions.rounding import py_round
 from sceneframe.operators import (
     arrivals, asof, containment, hierarchy as H, logs, lookup, nearest, ranges, routes, scene as SC)
-from sceneframe.operators.scale import broadcast_if_small
+from sceneframe.operators.scale import broadcast_if_small, checkpoint_folder
 from sceneframe.plans import dispatch, evaluation as EV, journeys as J, publish as P, tools as T
 from sceneframe.sources import scenes, sinks, tables as D
+from sceneframe.streaming import jobs
+from sceneframe.streaming.snapshots import SnapshotTable
 
 #: alignment used by the projection queries
 ALIGN = (-2.9133, 2.6299, -2.31, 1.0)
@@ -672,6 +676,83 @@ def live_pose_zone(spark, sf):
         "robot_id", "x", "y", "yaw_deg", "current_zone")
 
 
+# -- streams, run to the end of the event log ------------------------------
+
+def _event_stream(spark, sf, *columns):
+    """The event log as a file stream, with times as TIMESTAMP."""
+    raw = (spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, "
+                                   "value double, props string")
+           .option("pathGlobFilter", "events.parquet").parquet(sf))
+    return raw.select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _stream_folder(spark) -> str:
+    """A new folder next to the session's checkpoints."""
+    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _drain(start, spark):
+    folder = _stream_folder(spark)
+    table = SnapshotTable(spark, f"{folder}/table")
+    query = start(table, f"{folder}/progress")
+    query.awaitTermination()
+    return table.read()
+
+
+def stream_latched_state(spark, sf):
+    """Last message per topic, one topic per robot."""
+    messages = _event_stream(spark, sf, "user_id", "ts", "props").select(
+        F.col("user_id").alias("scene_id"), F.lit("props").alias("topic"), "ts",
+        F.col("props").alias("payload"))
+    last = _drain(lambda t, c: jobs.latched_state(messages, t, c, available_now=True), spark)
+    return last.select("scene_id", "payload")
+
+
+def stream_first_receipt(spark, sf):
+    messages = _event_stream(spark, sf, "user_id", "ts", "props").select(
+        F.col("user_id").alias("scene_id"), F.lit("props").alias("topic"), "ts",
+        F.col("props").alias("payload"))
+    first = _drain(lambda t, c: jobs.latched_state(messages, t, c, True, available_now=True), spark)
+    return first.select("scene_id", "payload")
+
+
+def stream_pose_zone(spark, sf):
+    e, zero = F.col("event_id"), F.lit(0.0)
+    half = (((e * 31) % 3600).cast("double") / 10.0 - 180.0) * A.DEG_TO_RAD / 2.0
+    poses = _event_stream(spark, sf, "event_id", "user_id", "ts").select(
+        F.lit(0).cast("long").alias("scene_id"), F.col("user_id").alias("robot_id"), "ts",
+        (((e * 7919) % 5250).cast("double") / 10.0).alias("x"),
+        (((e * 104729) % 1000).cast("double") / 10.0).alias("y"),
+        zero.alias("qx"), zero.alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"))
+    index = published(spark, sf).index
+    live = _drain(lambda t, c: jobs.live_pose_zone(poses, index, t, c, available_now=True), spark)
+    return live.select("robot_id", "x", "y", F.col("zone").alias("current_zone"))
+
+
+def stream_log_ring(spark, sf):
+    tag = D._mapped(F.col("event_type"), D.TAG_OF_EVENT)
+    lines = _event_stream(spark, sf, "event_id", "event_type", "user_id", "ts", "props").select(
+        F.col("user_id").alias("robot_id"), "ts", F.col("event_id").alias("seq"),
+        F.concat(F.lit("["), tag, F.lit("] "), F.col("props")).alias("text"))
+    ring = _drain(lambda t, c: jobs.log_ring(lines, t, c, available_now=True), spark)
+    return ring.select("robot_id", "seq", "text")
+
+
+def stream_arrivals(spark, sf):
+    """Goals two hours before every pose, both in one stream."""
+    e = F.col("event_id")
+    x, y = ((e * 7919) % 5250).cast("double") / 10.0, ((e * 104729) % 1000).cast("double") / 10.0
+    log = _event_stream(spark, sf, "event_id", "user_id", "ts")
+    both = log.withColumn("kind", F.explode(F.array(F.lit("pose"), F.lit("goal")))).select(
+        F.col("user_id").alias("robot_id"),
+        F.when(F.col("kind") == "goal", F.col("ts") - F.expr("interval 2 hours")).otherwise(
+            F.col("ts")).alias("ts"), "kind", x.alias("x"), y.alias("y"),
+        F.concat(F.lit("goal "), e.cast("string")).alias("destination"))
+    found = _drain(lambda t, c: jobs.arrival_stream(both, t, c, 60.0, available_now=True), spark)
+    return found.where("arrived_ts is not null").select(
+        "robot_id", "destination", F.unix_micros("arrived_ts").alias("arrived_us"))
+
+
 # -- journeys --------------------------------------------------------------
 
 def journey_status(spark, sf):
@@ -720,4 +801,5 @@ QUERIES = {f.__name__: f for f in (
     query_object_matches, zones_report, navigation_status, latest_status, cancellations,
     last_log_lines, log_counts, utterances, request_arguments, answered_requests, answer_items,
     answer_documents, debug_lines, conversation_history, content_blocks, tool_calls, tool_results,
-    final_texts, scored_cases, eval_report, live_pose_zone, journey_status, planned_journeys)}
+    final_texts, scored_cases, eval_report, live_pose_zone, stream_latched_state, stream_first_receipt, stream_pose_zone,
+    stream_log_ring, stream_arrivals, journey_status, planned_journeys)}
