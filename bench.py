@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from sceneframe.plans.registry import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "zone_hierarchy", "points_in_zones", "objects_deepest_zone", "zones_report", "robot_pose",
+    "zone_hierarchy", "points_in_zones", "poses_in_zones", "objects_deepest_zone", "zones_report", "robot_pose",
     "objects_within", "describe_surroundings", "nearby_ranked", "find_nearest", "distance_to",
     "route_zones", "describe_route", "orient", "goals_for_zones", "query_zone", "query_object",
     "pose_as_of", "matched_responses", "navigation_status", "arrivals_detected", "last_log_lines",

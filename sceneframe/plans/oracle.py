@@ -322,6 +322,9 @@ def statements() -> dict[str, str]:
         "WHERE lower(name) NOT IN (SELECT key FROM catalogue)", "named", "catalogue")
 
     s["points_in_zones"] = query("SELECT id, zord AS zone_ord, name AS zone_name FROM inzone", "inzone")
+    s["poses_in_zones"] = query(
+        f"SELECT p.request_id, z.zord AS zone_ord, z.name AS zone_name FROM poses p JOIN zones z ON {pip('p.x', 'p.y', 'z.edges')}",
+        "poses", "zones")
     s["objects_deepest_zone"] = query(
         "SELECT o.id, zone, parent_zone, full_path FROM allobj o LEFT JOIN deepest d ON d.id = o.id", "deepest")
     s["poses_first_zone"] = query(

@@ -192,6 +192,13 @@ def points_in_zones(spark, sf):
     return containment.points_in_zones(D.objects(spark, sf), index).select("id", "zone_ord", "zone_name")
 
 
+def poses_in_zones(spark, sf):
+    """Every pose against every zone: the containment benchmark."""
+    index = published(spark, sf).index
+    return containment.points_in_zones(D.poses(spark, sf), index).select(
+        "request_id", "zone_ord", "zone_name")
+
+
 def objects_deepest_zone(spark, sf):
     index = published(spark, sf).index
     return containment.assign_zone(D.objects(spark, sf), index, ["ord"]).select(
@@ -789,7 +796,7 @@ QUERIES = {f.__name__: f for f in (
     project_align, inverse_align, quaternions, pose_directions, turns_to_point, polygon_facts,
     label_colors, name_keys, status_texts, log_tags, text_previews, rounding_modes,
     filtered_objects, filtered_by_table, lookup_answers, lookup_matches, substring_matches,
-    destination_misses, points_in_zones, objects_deepest_zone, poses_first_zone, zone_parents,
+    destination_misses, points_in_zones, poses_in_zones, objects_deepest_zone, poses_first_zone, zone_parents,
     zone_hierarchy, zone_ancestors, zone_children, zone_counts, zone_contents, zone_names_sorted,
     zone_adjacency, distinct_labels, label_index, scene_summary, scene_extent, objects_within,
     objects_within_own_radius, nearby_ranked, nearest_object, resolved_destinations, route_objects,
