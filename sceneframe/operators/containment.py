@@ -8,8 +8,9 @@ Two physical forms give the same rows:
   is map-only: one hash lookup, no shuffle, no pair table.
 * **level cells** - for zone tables of any size, each zone goes to the grid
   level of its own extent (at most four cells) and points are expanded over the
-  levels in use.  The join key is (scene, level, cell); adaptive execution
-  splits crowded cells on the point side.
+  levels in use; the join key is (scene, level, cell).  Levels with few zones,
+  which are the coarse ones whose cells hold very many points, are broadcast;
+  only the fine levels, with many distinct cells, are shuffled.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ INDEX_VERTICES = 1_000_000
 
 @dataclass
 class ZoneIndex:
-    """Prepared zones, their broadcast cell index if small enough, or grid levels."""
+    """Prepared zones with their broadcast cell index if small enough, or grid levels."""
     zones: DataFrame
     cell: float | None = None
     cells: DataFrame | None = None
-    levels: tuple[int, ...] = ()
+    coarse: tuple[int, ...] = ()  #: levels measured small, broadcast
+    fine: tuple[int, ...] = ()    #: levels joined by a shuffle
 
 
 def level_of(extent: Column) -> Column:
@@ -59,19 +61,32 @@ def level_cells(zones: DataFrame) -> DataFrame:
                                                     cell_no(F.col("maxy"), size)))))
 
 
-def zone_levels(zones: DataFrame) -> tuple[int, ...]:
-    """Grid levels in use; at most one per binary exponent of a double."""
-    rows = zones.select(level_of(F.greatest(
-        F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))).alias("l")
-    ).where("l is not null").distinct().collect()
-    return tuple(sorted(r["l"] for r in rows))
+def zone_levels(zones: DataFrame, max_zones: int | None = None) -> tuple[tuple, tuple]:
+    """Grid levels in use, as (levels small enough to broadcast together, the rest).
+
+    One row per binary exponent comes to the driver.  The coarsest levels are
+    taken first.
+    """
+    budget = INDEX_ENTRIES // 4 if max_zones is None else max_zones
+    level = level_of(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))
+    rows = (zones.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n"),
+                                                F.sum(F.size("vertices")).alias("v"))
+            .where("l is not null").collect())
+    coarse, fine, n, v = [], [], 0, 0
+    for r in sorted(rows, key=lambda r: -r["l"]):
+        if n + r["n"] <= budget and v + r["v"] <= INDEX_VERTICES:
+            coarse.append(r["l"])
+            n, v = n + r["n"], v + r["v"]
+        else:
+            fine.append(r["l"])
+    return tuple(coarse), tuple(fine)
 
 
 def zone_index(zones: DataFrame, payload=("name",), force: str | None = None,
                cell: float | None = None) -> ZoneIndex:
     """Measure prepared zones once and choose the physical form.
 
-    ``force`` ('cells' or 'levels') overrides the choice, for tests.
+    ``force`` ('cells', 'levels' or 'shuffle') overrides the choice, for tests.
     """
     valid = zones.where(F.size("vertices") >= 3)
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
@@ -81,7 +96,7 @@ def zone_index(zones: DataFrame, payload=("name",), force: str | None = None,
         F.sum(w * h).alias("wh"), F.sum(w + h).alias("w_h"),
         F.sum(nv * w * h).alias("vwh"), F.sum(nv * (w + h)).alias("vw_h"),
         F.percentile_approx(F.least(w, h), 0.25, 100).alias("side")).first()
-    if force != "levels" and m["n"] <= INDEX_ZONES and (m["v"] or 0) <= INDEX_VERTICES:
+    if force in (None, "cells") and m["n"] <= INDEX_ZONES and (m["v"] or 0) <= INDEX_VERTICES:
         size = cell or max((m["side"] or 1.0) / 2.0, 1e-6)
         for _ in range(60):
             # a box of w x h meets at most (w/c + 1) * (h/c + 1) cells, plus one per side
@@ -90,7 +105,8 @@ def zone_index(zones: DataFrame, payload=("name",), force: str | None = None,
             if entries <= INDEX_ENTRIES and vertices <= INDEX_VERTICES * 4:
                 return ZoneIndex(zones, size, _pack_cells(valid, size, payload))
             size *= 2.0
-    return ZoneIndex(zones, levels=zone_levels(valid))
+    coarse, fine = zone_levels(valid, 0 if force == "shuffle" else None)
+    return ZoneIndex(zones, coarse=coarse, fine=fine)
 
 
 def _pack_cells(valid: DataFrame, size: float, payload) -> DataFrame:
@@ -121,20 +137,25 @@ def _with_hits(points: DataFrame, index: ZoneIndex, x: str, y: str) -> DataFrame
 
 
 def _level_pairs(points: DataFrame, index: ZoneIndex, x: str, y: str, payload) -> DataFrame:
+    """Containment pairs (level form); index must have levels."""
     px, py = F.col(x), F.col(y)
     zones = level_cells(index.zones.where(F.size("vertices") >= 3)).select(
         F.col("scene_id").alias("_scene"), F.col("_level").alias("_zl"), "_cx", "_cy",
         F.struct("minx", "maxx", "miny", "maxy", "edges").alias("_g"),
         F.struct("zord", *[p for p in payload if p != "zord"]).alias("_z"))
     size = F.pow(F.lit(2.0), F.col("_level"))
-    spread = (points.withColumn("_level", F.explode(F.array(*[F.lit(l) for l in index.levels])))
-              .withColumn("_px", cell_no(px, size)).withColumn("_py", cell_no(py, size)))
-    return (spread.join(zones, (F.col("scene_id") == F.col("_scene"))
-                        & (F.col("_level") == F.col("_zl"))
-                        & (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
-                        & _in_box(px, py, F.col("_g"))
-                        & G.point_in_polygon(px, py, F.col("_g.edges")))
-            .select(*points.columns, "_z"))
+    match = ((F.col("scene_id") == F.col("_scene")) & (F.col("_level") == F.col("_zl"))
+             & (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy"))
+             & _in_box(px, py, F.col("_g")) & G.point_in_polygon(px, py, F.col("_g.edges")))
+
+    def pairs(levels, small: bool) -> DataFrame:
+        spread = (points.withColumn("_level", F.explode(F.array(*[F.lit(l) for l in levels])))
+                  .withColumn("_px", cell_no(px, size)).withColumn("_py", cell_no(py, size)))
+        side = zones.where(F.col("_zl").isin(*levels))
+        return spread.join(F.broadcast(side) if small else side, match).select(*points.columns, "_z")
+    parts = [pairs(levels, small) for levels, small in ((index.coarse, True), (index.fine, False))
+             if levels]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def points_in_zones(points: DataFrame, index: ZoneIndex, x: str = "x", y: str = "y",
@@ -144,7 +165,7 @@ def points_in_zones(points: DataFrame, index: ZoneIndex, x: str = "x", y: str =
     if index.cells is not None:
         pairs = (_with_hits(points, index, x, y)
                  .withColumn("_z", F.explode("_hits")).drop("_hits"))
-    elif index.levels:
+    elif index.coarse or index.fine:
         pairs = _level_pairs(points, index, x, y, payload)
     else:
         pairs = (points.withColumn("_z", F.lit(None).cast(
@@ -174,7 +195,7 @@ def assign_zone(points: DataFrame, index: ZoneIndex, key, rule: str = "deepest",
         found = hits.withColumn("_b", best)
         return found.select(*points.columns,
                             *[F.col(f"_b.{c}").alias(n) for c, n in take.items()])
-    if not index.levels:
+    if not (index.coarse or index.fine):
         types = {f.name: f.dataType for f in index.zones.schema}
         return points.select("*", *[F.lit(None).cast(types[c]).alias(n) for c, n in take.items()])
     pairs = _level_pairs(points.select("scene_id", *[k for k in key if k != "scene_id"], x, y),

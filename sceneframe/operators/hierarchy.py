@@ -41,7 +41,7 @@ def zone_parents(zones: DataFrame, index: ZoneIndex | None = None) -> DataFrame:
                     F.filter("_hits", holds),
                     lambda z: F.struct(z["area"], z["zord"], z["name"]))))
                 .select("scene_id", F.col("_child").alias("zord"), F.col("_b.name").alias("_up")))
-    elif index.levels:
+    elif index.coarse or index.fine:
         pairs = _level_pairs(probe, index, "_x", "_y",
                              ("area", "name", "minx", "maxx", "miny", "maxy", "edges"))
         best = (pairs.where(holds(F.col("_z")))

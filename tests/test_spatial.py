@@ -29,12 +29,12 @@ def spread_points(seed=4, n=400):
     return pts + [(-10.0, -10.0), (110.0, 0.0), (0.0, 110.0), (-10.0, 50.0)]
 
 
-@pytest.mark.parametrize("form", ["cells", "levels"])
+@pytest.mark.parametrize("form", ["cells", "levels", "shuffle"])
 def test_containment_equals_brute_force(spark, form):
     rings, pts = spread_rings(), spread_points()
     zones = H.zone_hierarchy(zones_df(spark, rings), force=form)
     index = H.location_index(zones, force=form)
-    assert (index.cells is None) == (form == "levels")
+    assert (index.cells is None) == (form != "cells") and bool(index.fine) == (form == "shuffle")
     points = spark.createDataFrame([(0, i, x, y) for i, (x, y) in enumerate(pts)],
                                    "scene_id long, ord long, x double, y double")
     got = {(r.ord, r.zone_ord) for r in C.points_in_zones(points, index).collect()}
@@ -59,7 +59,7 @@ def test_containment_equals_brute_force(spark, form):
 
 def test_parents_and_depths(spark):
     rings = spread_rings(8)
-    for form in ("cells", "levels"):
+    for form in ("cells", "levels", "shuffle"):
         got = {r.zord: r for r in H.zone_hierarchy(zones_df(spark, rings), force=form).collect()}
 
         def area(v):
