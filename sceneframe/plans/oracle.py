@@ -561,6 +561,11 @@ def statements() -> dict[str, str]:
         "SELECT n.request_id, '[tool] find_nearest(' || CASE WHEN request_id % 50 = 7 THEN '{oops' ELSE '{\"object_type\":\"' || keyword || '\"}' END || ')' AS call "
         "FROM poses n WHERE event_type = 'click' AND NOT request_id % 97 = 5", "poses")
 
+    s["pose_log_lines"] = query(
+        f"SELECT request_id, printf('[pose] Robot at (%.3f, %.3f), yaw=%.1fdeg, zone=%s', x, y, yaw_deg, coalesce(current_zone, 'None')) AS text "
+        f"FROM (SELECT p.request_id, {pose}, current_zone FROM poses p LEFT JOIN posezone z ON z.request_id = p.request_id)", "posezone")
+    s["goal_log_lines"] = query(
+        f"SELECT request_id, printf('[nav] Published goal: (%.3f, %.3f, yaw=0.0) on /goal_pose', {rnd('tx', 3)}, {rnd('ty', 3)}) AS text FROM named", "named")
     s["conversation_history"] = (
         "SELECT conv_id AS case_id, CASE WHEN role = 'system' THEN 0 ELSE 2 END::BIGINT AS part, turn, role, text AS content FROM conversations "
         "UNION ALL SELECT conv_id, 1, turn - 1, role, text FROM conversations WHERE turn = 0")

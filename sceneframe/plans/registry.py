@@ -38,6 +38,14 @@ def published(spark: SparkSession, sf: str) -> P.Published:
     return _published[key]
 
 
+def _named_poses(spark, sf):
+    return D.named_poses(spark, sf, published(spark, sf).zones)
+
+
+def _requests(spark, sf):
+    return D.requests(spark, sf, published(spark, sf).zones)
+
+
 def _alignments(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(0, *ALIGN, "xz")],
@@ -172,7 +180,7 @@ def lookup_matches(spark, sf):
 
 
 def substring_matches(spark, sf):
-    kws = D.named_poses(spark, sf).select("scene_id", "keyword").distinct()
+    kws = _named_poses(spark, sf).select("scene_id", "keyword").distinct()
     short = kws.withColumn("keyword", F.substring("keyword", 1, 2))
     return lookup.match_substring(kws.unionByName(short), D.objects(spark, sf)).select("keyword", "label")
 
@@ -180,7 +188,7 @@ def substring_matches(spark, sf):
 def destination_misses(spark, sf):
     p = published(spark, sf)
     names = lookup.name_catalogue(p.zones, p.objects).select("scene_id", F.col("dest_key").alias("key"))
-    asked = D.named_poses(spark, sf).withColumn(
+    asked = _named_poses(spark, sf).withColumn(
         "name", F.when(F.col("request_id") % 2 == 0, F.col("zone_name")).otherwise(F.col("keyword")))
     return lookup.misses(asked, names, "name").select("request_id", "error", "hint")
 
@@ -286,7 +294,7 @@ def nearby_ranked(spark, sf):
 
 
 def nearest_object(spark, sf):
-    best = nearest.nearest_object(D.named_poses(spark, sf), published(spark, sf).objects)
+    best = nearest.nearest_object(_named_poses(spark, sf), published(spark, sf).objects)
     return best.select("request_id", "keyword", "obj_ord", "obj_label", _r("dist", 2).alias("distance"))
 
 
@@ -300,14 +308,14 @@ def resolved_destinations(spark, sf):
 def _mixed_names(spark, sf):
     """Even requests ask for a zone, odd ones for an object label (some unknown)."""
     labels = label_requests(spark, sf).select("request_id", "object_label")
-    return (D.named_poses(spark, sf).join(labels, "request_id")
+    return (_named_poses(spark, sf).join(labels, "request_id")
             .withColumn("name", F.when(F.col("request_id") % 2 == 0, F.col("zone_name"))
                         .otherwise(F.col("object_label"))))
 
 
 def _routes(spark, sf):
     p = published(spark, sf)
-    return T.routes_to(D.named_poses(spark, sf), p.objects, p.zones, "zone_name")
+    return T.routes_to(_named_poses(spark, sf), p.objects, p.zones, "zone_name")
 
 
 def route_objects(spark, sf):
@@ -449,7 +457,7 @@ def surroundings_counts(spark, sf):
 
 def find_nearest(spark, sf):
     p = published(spark, sf)
-    return T.find_nearest(D.named_poses(spark, sf), p.objects, p.index).select(
+    return T.find_nearest(_named_poses(spark, sf), p.objects, p.index).select(
         "request_id", "label", "distance_m", "direction", "zone", "error")
 
 
@@ -461,7 +469,7 @@ def distance_to(spark, sf):
 def describe_route(spark, sf):
     """Route answers as rows: one per zone and one per object on the way."""
     p = published(spark, sf)
-    _, met, passed = T.describe_route(D.named_poses(spark, sf), p.objects, p.zones, "zone_name")
+    _, met, passed = T.describe_route(_named_poses(spark, sf), p.objects, p.zones, "zone_name")
     none = F.lit(None).cast("double")
     return met.select("request_id", F.lit("zone").alias("kind"), F.col("zone_ord").alias("ord"),
                       F.col("zone").alias("name"), none.alias("distance_along_path_m"),
@@ -472,19 +480,19 @@ def describe_route(spark, sf):
 
 def route_summaries(spark, sf):
     p = published(spark, sf)
-    answers, _, _ = T.describe_route(D.named_poses(spark, sf), p.objects, p.zones, "zone_name")
+    answers, _, _ = T.describe_route(_named_poses(spark, sf), p.objects, p.zones, "zone_name")
     return answers.select("request_id", "destination", "total_distance_m", "direction")
 
 
 def orient(spark, sf):
     p = published(spark, sf)
-    return T.orient(D.named_poses(spark, sf), p.objects, p.zones, "zone_name").select(
+    return T.orient(_named_poses(spark, sf), p.objects, p.zones, "zone_name").select(
         "request_id", "target", "direction_from_current", "turn_degrees", "message", "goal_destination")
 
 
 def goals_for_zones(spark, sf):
     p = published(spark, sf)
-    return T.goal_for_zone(D.named_poses(spark, sf), p.zones).select(
+    return T.goal_for_zone(_named_poses(spark, sf), p.zones).select(
         "request_id", "zone", "goal_x", "goal_y", _r("goal_yaw", 6).alias("goal_yaw"),
         _r("goal_qz", 6).alias("goal_qz"), _r("goal_qw", 6).alias("goal_qw"))
 
@@ -507,14 +515,14 @@ def list_objects(spark, sf):
 
 def query_zone(spark, sf):
     p = published(spark, sf)
-    answers, _ = T.query_zone(D.named_poses(spark, sf), p.objects, p.zones, p.index)
+    answers, _ = T.query_zone(_named_poses(spark, sf), p.objects, p.zones, p.index)
     return answers.select("request_id", "found", "zone", "display_name", "parent", "depth",
                           "num_objects", "num_direct_objects")
 
 
 def query_zone_contents(spark, sf):
     p = published(spark, sf)
-    _, contents = T.query_zone(D.named_poses(spark, sf), p.objects, p.zones, p.index)
+    _, contents = T.query_zone(_named_poses(spark, sf), p.objects, p.zones, p.index)
     return contents.select("zone_ord", "id", "label", "x", "y", "full_path", "direct")
 
 
@@ -538,7 +546,7 @@ def zones_report(spark, sf):
 
 def _goal_log(spark, sf):
     """A goal two hours before every event of its robot."""
-    return D.named_poses(spark, sf).select(
+    return _named_poses(spark, sf).select(
         "robot_id", (F.col("ts") - F.expr("interval 2 hours")).alias("ts"), "x", "y",
         F.col("zone_name").alias("destination"))
 
@@ -552,7 +560,7 @@ def latest_status(spark, sf):
 
 
 def cancellations(spark, sf):
-    asked = D.requests(spark, sf).withColumn("tool", F.when(
+    asked = _requests(spark, sf).withColumn("tool", F.when(
         F.col("tool") == "query_zone", "cancel_navigation").otherwise(F.col("tool")))
     return T.cancellations(asked).select("request_id", "robot_id", "status_code", "success", "message")
 
@@ -575,7 +583,7 @@ def utterances(spark, sf):
 def request_arguments(spark, sf):
     broken = F.when(F.col("request_id") % 11 == 0, F.lit("{oops")).otherwise(F.col("args"))
     args = dispatch.parse_arguments(broken)
-    return D.requests(spark, sf).select(
+    return _requests(spark, sf).select(
         "request_id", F.try_element_at(args, F.lit("object_type")).alias("object_type"),
         F.try_element_at(args, F.lit("destination")).alias("destination"),
         F.try_element_at(args, F.lit("zone_name")).alias("zone_name"),
@@ -583,7 +591,7 @@ def request_arguments(spark, sf):
 
 
 def _answers(spark, sf, tools=tuple(D.TOOL_OF_EVENT.values())):
-    asked = D.requests(spark, sf).withColumn("args", F.when(
+    asked = _requests(spark, sf).withColumn("args", F.when(
         F.col("request_id") % 50 == 7, "{oops").otherwise(F.col("args"))).withColumn(
         "tool", F.when(F.col("request_id") % 97 == 5, "fly").otherwise(F.col("tool")))
     return asked, dispatch.answer_requests(
@@ -625,6 +633,16 @@ def debug_lines(spark, sf):
         "request_id", F.substring_index("text", " -> ", 1).alias("call"))
 
 
+def pose_log_lines(spark, sf):
+    poses = T.robot_pose(D.poses(spark, sf), published(spark, sf).index)
+    return dispatch.pose_lines(poses)
+
+
+def goal_log_lines(spark, sf):
+    goals = T.goal_for_zone(_named_poses(spark, sf), published(spark, sf).zones, dialect="local")
+    return dispatch.goal_lines(goals)
+
+
 # -- conversations ---------------------------------------------------------
 
 def conversation_history(spark, sf):
@@ -807,6 +825,6 @@ QUERIES = {f.__name__: f for f in (
     goals_for_objects, list_zones, list_objects, query_zone, query_zone_contents, query_object,
     query_object_matches, zones_report, navigation_status, latest_status, cancellations,
     last_log_lines, log_counts, utterances, request_arguments, answered_requests, answer_items,
-    answer_documents, debug_lines, conversation_history, content_blocks, tool_calls, tool_results,
+    answer_documents, debug_lines, pose_log_lines, goal_log_lines, conversation_history, content_blocks, tool_calls, tool_results,
     final_texts, scored_cases, eval_report, live_pose_zone, stream_latched_state, stream_first_receipt, stream_pose_zone,
     stream_log_ring, stream_arrivals, journey_status, planned_journeys)}

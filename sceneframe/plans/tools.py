@@ -115,7 +115,10 @@ def _resolved(located, objects, zones, name, key):
 
 def _errors(kind: str, name: str) -> list[Column]:
     lost, unknown = F.col("x").isNull(), F.col("destination").isNull()
-    return [F.when(lost, NO_POSE).when(unknown, _not_found(kind, F.col(name))).alias("error"),
+    # a zone without vertices has no centre
+    empty = (F.col("kind") == "zone") & F.col("tx").isNull()
+    return [F.when(lost, NO_POSE).when(unknown, _not_found(kind, F.col(name)))
+            .when(empty, "division by zero").alias("error"),
             F.when(~lost & unknown, NAMES_HINT).alias("hint")]
 
 
@@ -197,7 +200,8 @@ def _goal(located, table, what, column, name, tx, ty, order, dialect, key):
         "goal_yaw", F.when(F.col("found"), q["z"]).alias("goal_qz"),
         F.when(F.col("found"), q["w"]).alias("goal_qw"),
         F.when(~F.col("_data"), f"No {kind} data available")
-        .when(~F.col("found"), absent).alias("error"), hint.alias("hint"))
+        .when(~F.col("found"), absent)
+        .when(F.col("gx").isNull(), "division by zero").alias("error"), hint.alias("hint"))
 
 
 def goal_for_zone(located: DataFrame, zones: DataFrame, name: str = "zone_name",

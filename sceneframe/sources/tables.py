@@ -100,24 +100,24 @@ def keyword_of(event_id):
     return F.element_at(F.array(*[F.lit(k) for k in KEYWORDS]), (event_id % 8 + 1).cast("int"))
 
 
-def zone_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zones(spark, sf_dir).select("zord", F.col("name").alias("zone_name"))
+def zone_names(zones: DataFrame) -> DataFrame:
+    """Broadcast (zord, zone_name): 155 rows at every scale."""
+    return F.broadcast(zones.select("zord", F.col("name").alias("zone_name")))
 
 
-def named_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_poses(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
     """Every pose with a zone name (zord = id % 155) and a label keyword to ask for."""
-    names = F.broadcast(zone_names(spark, sf_dir))  # 155 rows at every scale
     return (poses(spark, sf_dir).withColumn("keyword", keyword_of(F.col("request_id")))
             .withColumn("zord", F.col("request_id") % ZONES_TOTAL)
-            .join(names, "zord").drop("zord"))
+            .join(zone_names(zones), "zord").drop("zord"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
     """Tool requests with JSON arguments."""
     kind = F.col("event_type")
     asked = (events(spark, sf_dir, "event_id", "event_type", "user_id", "ts")
              .withColumn("zord", F.col("event_id") % ZONES_TOTAL)
-             .join(F.broadcast(zone_names(spark, sf_dir)), "zord"))
+             .join(zone_names(zones), "zord"))
     args = (F.when(kind == "click", F.to_json(F.struct(keyword_of(F.col("event_id")).alias("object_type"))))
             .when(kind.isin("error", "purchase"), F.to_json(F.struct(F.col("zone_name").alias("destination"))))
             .when(kind == "signup", F.to_json(F.struct("zone_name"))).otherwise("{}"))

@@ -22,7 +22,7 @@ def _ask(spark, asks, dialect="cloud", scene=0, **kw):
     s = flat_scene(spark)
     poses, st, goals = _logs(spark)
     req = spark.createDataFrame([(i, scene, 1, at(5), t, a) for i, (t, a) in enumerate(asks)], REQ)
-    answers = dispatch.answer_requests(req, poses, s, st, goals, dialect)
+    answers = dispatch.answer_requests(req, poses, s, st, goals, dialect, {t for t, _ in asks})
     docs, rest = dispatch.documents(answers, **kw)
     rows = {r.request_id: r for r in docs.collect()}
     return req, answers, rows, rest
