@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneframe.functions import angles as A, geometry as G, text as X
 from sceneframe.functions.rounding import py_round
+from sceneframe.functions.times import wall_micros
 from sceneframe.operators import (
     arrivals, asof, containment, hierarchy as H, logs, lookup, nearest, ranges, routes, scene as SC)
 from sceneframe.operators.scale import broadcast_if_small, checkpoint_folder
@@ -363,7 +364,7 @@ def arrivals_detected(spark, sf):
         "robot_id", (F.col("ts") - F.expr("interval 2 hours")).alias("ts"),
         F.col("x"), F.col("y"), F.concat(F.lit("goal "), F.col("request_id").cast("string")).alias("destination"))
     return arrivals.detect_arrivals(D.poses(spark, sf), goals, 60.0).select(
-        "robot_id", "destination", F.unix_micros(F.col("arrived_ts").cast("timestamp")).alias("arrived_us"))
+        "robot_id", "destination", wall_micros(F.col("arrived_ts")).alias("arrived_us"))
 
 
 # -- publish path ----------------------------------------------------------
@@ -775,7 +776,8 @@ def stream_arrivals(spark, sf):
         F.concat(F.lit("goal "), e.cast("string")).alias("destination"))
     found = _drain(lambda t, c: jobs.arrival_stream(both, t, c, 60.0, available_now=True), spark)
     return found.where("arrived_ts is not null").select(
-        "robot_id", "destination", F.unix_micros("arrived_ts").alias("arrived_us"))
+        "robot_id", "destination",
+        wall_micros(F.col("arrived_ts").cast("timestamp_ntz")).alias("arrived_us"))
 
 
 # -- journeys --------------------------------------------------------------

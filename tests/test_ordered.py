@@ -124,3 +124,17 @@ def test_response_timeout(spark):
     got = {r.request_id: (r.result, r.error) for r in asof.match_responses(asks, res).collect()}
     assert got == {1: ("r1", None), 2: (None, "Timeout waiting for zone query result for 'lab'"),
                    3: (None, "Timeout waiting for zone query result for 'x'")}
+
+
+def test_wall_clock_does_not_depend_on_the_session_zone(spark):
+    from sceneframe.functions.times import wall_micros
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            df = spark.sql("select timestamp_ntz'2024-11-03 01:30:15.123456' as t union all "
+                           "select timestamp_ntz'1969-12-31 23:59:59.5'")
+            got = sorted(r[0] for r in df.select(wall_micros(F.col("t"))).collect())
+            assert got == [-500000, 1730597415123456]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
