@@ -61,7 +61,7 @@ def zone_adjacency(zones: DataFrame, max_gap: float = 1.0) -> DataFrame:
     return a.join(b, cond).select("scene_id", F.col("a_zord").alias("a"), F.col("b_zord").alias("b"))
 
 
-def shortest_zone_paths(legs: DataFrame, adjacency: DataFrame, max_hops: int = 64) -> DataFrame:
+def shortest_zone_paths(legs: DataFrame, adjacency: DataFrame) -> DataFrame:
     """(scene_id, source, target, path): fewest zones, then lowest zone numbers.
 
     Breadth-first rounds over the distinct sources; each round joins the frontier
@@ -75,7 +75,7 @@ def shortest_zone_paths(legs: DataFrame, adjacency: DataFrame, max_hops: int = 6
         "scene_id", "source", F.col("source").alias("node"),
         F.array(F.col("source")).alias("path"))
     reached = frontier
-    for _ in range(max_hops):
+    while True:  # every round reaches a new zone or ends
         step = (frontier.join(both, ["scene_id", "node"])
                 .groupBy("scene_id", "source", "next")
                 .agg(F.min("path").alias("path"))
