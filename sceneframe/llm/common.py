@@ -6,7 +6,9 @@ never clash with working columns; a missing (null) text counts as an empty one.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,11 @@ _MIX = tuple(np.uint64(x) for x in (30, 27, 31, 0xBF58476D1CE4E5B9, 0x94D049BB13
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; Python workers also look for this package where the driver has it (a cluster installs it)."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sceneframe.llm import language, tokens
+from sceneframe.llm import language, overlap, tokens
 from sceneframe.llm.common import read
 
 #: rank file and pattern of the byte-level BPE query
@@ -13,6 +13,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.jaccard_groups(read(spark, sf, "documents"), n=4, percent=85)
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf, "documents"), RANKS, PATTERN)
 
@@ -21,5 +25,5 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(read(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe_round_trip, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_bpe_round_trip, op9_language_id)}
 ORACLE_SQL: dict[str, str] = {}
