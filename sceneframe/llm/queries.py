@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sceneframe.llm import language, overlap, tokens
+from sceneframe.llm import language, leakage, overlap, tokens
 from sceneframe.llm.common import read
 
 #: rank file and pattern of the byte-level BPE query
@@ -25,5 +25,26 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(read(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_bpe_round_trip, op9_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_bpe_round_trip, op9_language_id, op10_decontamination)}
+ORACLE_SQL = {
+    "op10_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+cuts AS (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS t FROM cuts),
+places AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
+hit AS (SELECT p.doc_id, p.s, p.m, win.item_id FROM (SELECT doc_id, s, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS t FROM places) p
+        JOIN win ON win.t = p.t),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM (SELECT DISTINCT doc_id, s, m FROM hit)) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+      FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)""",
+}
