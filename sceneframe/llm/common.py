@@ -68,3 +68,22 @@ def scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> a)) * p
     x = (x ^ (x >> b)) * q
     return x ^ (x >> c)
+
+
+def whole_groups(batches, columns: int = 1):
+    """Join record batches so that rows with equal leading columns are never parted."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        same = np.ones(table.num_rows, bool)
+        for c in range(columns):
+            values = table.column(c).to_numpy()
+            same &= values == values[-1]
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        held = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()

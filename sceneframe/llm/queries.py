@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import language, leakage, overlap, tokens
+from sceneframe.llm import language, leakage, overlap, templates, tokens
 from sceneframe.llm.common import read
 
 #: rank file and pattern of the byte-level BPE query
@@ -21,6 +21,13 @@ def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf, "documents"), RANKS, PATTERN)
 
 
+def op8_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: lines with words, dropped lines, and the SHA-256 of the text that stays."""
+    return (templates.drop_recurring(read(spark, sf, "documents").select("doc_id", "text"))
+            .select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                    F.sha2("text", 256).alias("kept_sha256")))
+
+
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(read(spark, sf, "documents"))
 
@@ -29,7 +36,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_bpe_round_trip, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_bpe_round_trip, op8_line_templates, op9_language_id, op10_decontamination)}
 ORACLE_SQL = {
     "op10_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
