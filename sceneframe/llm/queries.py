@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import language, leakage, overlap, templates, tokens
+from sceneframe.llm import language, leakage, overlap, quality, templates, tokens
 from sceneframe.llm.common import read
 
 #: rank file and pattern of the byte-level BPE query
@@ -13,6 +13,10 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(read(spark, sf, "documents"), read(spark, sf, "labels"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.jaccard_groups(read(spark, sf, "documents"), n=4, percent=85)
 
@@ -36,7 +40,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op4_bpe_round_trip, op8_line_templates, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard, op4_bpe_round_trip, op8_line_templates, op9_language_id, op10_decontamination)}
 ORACLE_SQL = {
     "op10_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
