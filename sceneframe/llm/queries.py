@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import language, leakage, overlap, privacy, quality, templates, tokens
+from sceneframe.llm import extraction, language, leakage, overlap, privacy, quality, secrets, templates, tokens
 from sceneframe.llm.common import read
 
 #: rank file and pattern of the byte-level BPE query
@@ -25,6 +25,14 @@ def op4_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf, "documents"), RANKS, PATTERN)
 
 
+def op5_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.main_text(read(spark, sf, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, sf, "documents")))
+
+
 def op7_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return privacy.digest(privacy.spans(read(spark, sf, "documents")))
 
@@ -44,7 +52,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard, op4_bpe_round_trip, op7_personal_data, op8_line_templates, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard, op4_bpe_round_trip, op5_main_text, op6_secret_scan, op7_personal_data, op8_line_templates, op9_language_id, op10_decontamination)}
 ORACLE_SQL = {
     "op10_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
