@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import extraction, language, leakage, overlap, privacy, quality, secrets, templates, tokens
+from sceneframe.llm import extraction, language, leakage, likelihood, overlap, privacy, quality, secrets, templates, tokens
 from sceneframe.llm.common import read
 
 #: rank file and pattern of the byte-level BPE query
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op2_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return likelihood.likelihood(read(spark, sf, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.jaccard_groups(read(spark, sf, "documents"), n=4, percent=85)
 
@@ -52,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_ngram_jaccard, op4_bpe_round_trip, op5_main_text, op6_secret_scan, op7_personal_data, op8_line_templates, op9_language_id, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_score, op3_ngram_jaccard, op4_bpe_round_trip, op5_main_text, op6_secret_scan, op7_personal_data, op8_line_templates, op9_language_id, op10_decontamination)}
 ORACLE_SQL = {
     "op10_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
