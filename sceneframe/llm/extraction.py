@@ -121,14 +121,15 @@ class Page:
         _, path, outside, _ = self._stack[-1]
         outside = outside or tag in _OUTSIDE or tag not in ("html", "body") and bool(_MINOR.search(label))
         step = ".".join([tag, *sorted(_DIGITS.sub("", c) for c in names.get("class", "").split())])
+        path = path if tag in ("html", "body") else f"{path}/{step}"       # pages may leave these two out
         number = -1
         if tag in _CONTAINERS and not outside:
             number = len(self.nodes)
             bonus = 1.5 if tag in ("article", "main") else 1.25 if _MAJOR.search(label) else 1.0
-            self.nodes.append([f"{path}/{step}", 0.0, len(self.blocks), len(self.blocks), bonus])
+            self.nodes.append([path or "/", 0.0, len(self.blocks), len(self.blocks), bonus])
         if tag == "a":
             self._links += 1
-        self._stack.append((tag, f"{path}/{step}", outside, number))
+        self._stack.append((tag, path, outside, number))
 
     def _say(self, text: str) -> None:
         if text and not self._stack[-1][2]:

@@ -220,4 +220,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows whose language is known, unchanged."""
     model = fit(docs.where(remainder("doc_id", 4) != 2))
-    return predict(docs, model, tuple(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    return predict(whole, model, ("_row",)).where(~F.col("rejected")).select("_row.*")

@@ -64,7 +64,7 @@ def _chi_tail(x: float, freedom: int) -> float:
 def p_values(values: list[int], size: int) -> tuple[float, float, float]:
     """Uniformity, runs and serial correlation of symbols 0..size-1."""
     n = len(values)
-    groups = max(2, min(size, n // 5))
+    groups = max(2, min(size, n))
     counts = [0] * groups
     for v in values:
         counts[v * groups // size] += 1

@@ -184,10 +184,10 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     gone = settle(gone)
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.join(broadcast_if_small(gone, edge_columns=("_gone",)), (kid == F.col("_kid")) & (th == F.col("_th")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", kid.alias("_kid"), th.alias("_th"))
+    joined = rows.join(broadcast_if_small(gone, edge_columns=("_gone",)), ["_kid", "_th"], "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: x.rlike(r"[^ \t-\r]"))))
-    return (joined.select(*[docs[c] for c in docs.columns if c != "text"],
-                          F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-                          n_lines.cast("long").alias("_n_lines"),
-                          F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_n_dropped"))
-            .select(*docs.columns, "_n_lines", "_n_dropped"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns],
+                         n_lines.cast("long").alias("_n_lines"),
+                         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_n_dropped"))
