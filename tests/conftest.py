@@ -4,16 +4,20 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+REPOSITORY = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, REPOSITORY)
+# Python workers import the package too
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [REPOSITORY, os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
                .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
