@@ -18,8 +18,6 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 128 << 20
 #: groups larger than this are cut into slices before ordered work
 GROUP_ROWS = 2_000_000
-#: only the largest groups can matter: one outside the list holds under 1/MAX of all rows
-MAX_LARGE_GROUPS = 10_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -77,23 +75,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, text_colum
     return F.broadcast(df) if small else df
 
 
-def large_groups(df: DataFrame, keys, group_rows: int | None = None) -> list:
-    """Key values and row counts of the groups above the bound.
+def _texts(df: DataFrame, names) -> list[str]:
+    return [f.name for f in df.schema if f.name in names and f.dataType.simpleString() == "string"]
 
-    One map-side combined count.  The list has at most MAX_LARGE_GROUPS rows; a
-    group left out of a full list holds under 1/MAX_LARGE_GROUPS of the table.
+
+def large_groups(df: DataFrame, keys, group_rows: int | None = None) -> tuple[DataFrame, int]:
+    """The groups above the bound with their row counts ``_n``, and the largest of these (0 if there is none).
+
+    One map-side combined count, kept as a checkpointed table.
     """
     bound = GROUP_ROWS if group_rows is None else group_rows
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") > bound)
-            .orderBy(F.desc("_n")).limit(MAX_LARGE_GROUPS).collect())
+    sized = checkpoint(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bound))
+    return sized, sized.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
 
 
 def ordered_slices(df: DataFrame, keys, position: Column, group_rows: int | None = None):
     """Cut large groups into ordered slices.
 
     Returns ``(df with _slice, large)``: ``_slice`` is 0 in ordinary groups, ``large``
-    has one row per cut group (None if there is none, always small enough to broadcast).
+    has one row per cut group (None if there is none).
     ``position`` must never decrease along the order used afterwards; then every
     row of slice s comes before every row of slice s+1.  The split points are
     approximate quantiles of ``position``: they affect balance, never results.
@@ -101,22 +101,22 @@ def ordered_slices(df: DataFrame, keys, position: Column, group_rows: int | None
     bound = GROUP_ROWS if group_rows is None else group_rows
     names = list(keys)
     placed = df.withColumn("_pos", position.cast("double"))
-    big = large_groups(df, names, bound)
-    if not big:
+    chosen, most = large_groups(df, names, bound)
+    if not most:
         return df.withColumn("_slice", F.lit(0)), None
-    parts = min(4096, 2 * (big[0]["_n"] // bound + 1))
-    schema = placed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).schema
-    chosen = df.sparkSession.createDataFrame([tuple(r) for r in big], schema)
+    parts = min(4096, 2 * (most // bound + 1))
+    chosen = broadcast_if_small(chosen, text_columns=_texts(chosen, names))
     # keep every step-th quantile, so that a group gets about 2 * n / bound points
     step = F.greatest(F.lit(1), F.floor(F.lit(parts * bound / 2.0) / F.col("_n")).cast("int"))
-    points = (placed.join(F.broadcast(chosen), names)
+    points = (placed.join(chosen, names)
               .groupBy(*names)
               .agg(F.percentile_approx("_pos", [i / parts for i in range(1, parts)], 10_000)
                    .alias("_q"), F.first("_n").alias("_n"))
               .select(*names, F.array_sort(F.array_distinct(
                   F.filter("_q", lambda p, i: i % step == 0))).alias("_points")))
-    # at most 2 * rows / bound split points in all
-    sliced = (placed.join(F.broadcast(points), names, "left")
+    # at most 2 * rows / bound split points in all: a hint only if they are few
+    points = broadcast_if_small(checkpoint(points), text_columns=_texts(points, names), edge_columns=("_points",))
+    sliced = (placed.join(points, names, "left")
               .withColumn("_slice", F.when(F.col("_points").isNull(), 0).otherwise(
                   F.size(F.filter("_points", lambda p: p <= F.col("_pos")))))
               .drop("_points", "_pos"))
@@ -139,7 +139,7 @@ def rank_in_group(df: DataFrame, keys, order, position: Column, name: str = "ran
     before = Window.partitionBy(*names).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     # one row per slice of the large groups
-    offsets = (sliced.join(F.broadcast(large), names, "left_semi").groupBy(*names, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = (sliced.join(large, names, "left_semi").groupBy(*names, "_slice").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_before", F.sum("_n").over(before))
                .where(F.col("_before") > 0).select(*names, "_slice", "_before"))
     return (numbered.join(offsets, [*names, "_slice"], "left")

@@ -1,18 +1,20 @@
 """Batch evaluation of recorded tool-calling conversations.
 
 ``turns`` holds transcripts (case_id, turn, role, content, tool_calls), ``cases``
-what is expected of them.  A transcript has at most five assistant rounds; that
-is the length limit of a recorded run, so per-case lists have at most five rows.
+what is expected of them.  Every assistant turn of a transcript counts; a case's
+lists are as long as its recorded conversation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sceneframe.functions.text import category, contains_any
+from sceneframe.operators.scale import rank_in_group
 from sceneframe.schema import CONTENT_BLOCKS
 
-MAX_ROUNDS = 5
+#: conversations with more assistant turns are numbered in slices
+GROUP_TURNS = 1_000_000
 
 
 def conversation_history(turns: DataFrame, prepended: DataFrame | None = None) -> DataFrame:
@@ -43,14 +45,9 @@ def content_blocks(messages: DataFrame, column: str = "content") -> DataFrame:
 
 
 def assistant_rounds(turns: DataFrame) -> DataFrame:
-    """Assistant turns numbered 1.. per case, the five rounds a run can have.
-
-    The rank filter is applied before the shuffle too, so a case of any size
-    sends at most five rows per task.
-    """
-    w = Window.partitionBy("case_id").orderBy("turn")
-    return (turns.where(F.col("role") == "assistant")
-            .withColumn("round", F.row_number().over(w)).where(F.col("round") <= MAX_ROUNDS))
+    """All assistant turns, numbered 1.. per case."""
+    return rank_in_group(turns.where(F.col("role") == "assistant"), ["case_id"], [F.asc("turn")],
+                         F.col("turn"), "round", GROUP_TURNS)
 
 
 def extract_tool_calls(turns: DataFrame) -> DataFrame:
@@ -71,11 +68,11 @@ def attach_tool_results(calls: DataFrame, cases: DataFrame) -> DataFrame:
 def case_transcripts(turns: DataFrame) -> DataFrame:
     """(case_id, final_text, calls): all assistant text and calls, in order.
 
-    Groups have at most five rows, see ``assistant_rounds``.
+    The result holds a case's whole text, so a group is as large as its own answer.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("round", F.coalesce("content", F.lit("")).alias("content"),
+    ordered = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("content", F.lit("")).alias("content"),
                                                    "tool_calls")))
-    return (assistant_rounds(turns).groupBy("case_id").agg(ordered.alias("_r"))
+    return (turns.where(F.col("role") == "assistant").groupBy("case_id").agg(ordered.alias("_r"))
             .select("case_id", F.array_join(F.transform("_r", lambda r: r["content"]), "").alias("final_text"),
                     F.flatten(F.transform("_r", lambda r: F.coalesce(
                         r["tool_calls"], F.array().cast("array<struct<id:string,name:string,arguments:string>>"))

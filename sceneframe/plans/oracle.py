@@ -126,9 +126,10 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id AS request_id, user_id AS robot_id, ts, event_type, props,
                ((event_id*7919)%5250)/10e0 AS x, ((event_id*104729)%1000)/10e0 AS y,
                (((event_id*31)%3600)/10e0-180e0)*{TO_RAD} AS yaw, {keyword('event_id')} AS keyword,
-               event_id % 155 AS zpick FROM events"""),
+               event_id AS zpick FROM events"""),
     "named": (("poses", "zones"), """
-        SELECT p.*, z.name AS zone_name, z.cx AS tx, z.cy AS ty FROM poses p JOIN zones z ON z.zord = p.zpick"""),
+        SELECT p.*, z.name AS zone_name, z.cx AS tx, z.cy AS ty FROM poses p
+        JOIN (SELECT *, row_number() OVER (ORDER BY zord) - 1 AS place, count(*) OVER () AS places FROM zones) z ON z.place = p.zpick % z.places"""),
     "inzone": (("hier", "allobj"), f"""
         SELECT o.id, z.zord, z.name, z.depth, z.parent, z.full_path
         FROM allobj o JOIN hier z ON {pip('o.x', 'o.y', 'z.edges')}"""),
@@ -187,8 +188,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN turn % 3 = 2 THEN '{{broken' ELSE '{{"object_type":"' || {keyword('conv_id')} || '"}}' END AS call_args
         FROM conversations"""),
     "rounds": (("turns",), """
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY turn) AS rn FROM turns
-                       WHERE role = 'assistant') WHERE rn <= 5"""),
+        SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY turn) AS rn FROM turns WHERE role = 'assistant'"""),
     "transcripts": (("rounds", "turns"), """
         SELECT c.case_id, coalesce(string_agg(content, '' ORDER BY r.turn), '') AS final_text,
                coalesce(list(call_name ORDER BY r.turn) FILTER (call_name IS NOT NULL), []) AS called,

@@ -802,10 +802,9 @@ def planned_journeys(spark, sf):
     z = p.zones.select("zord", "name")
     asked = D.events(spark, sf, "event_id").select(
         F.col("event_id").alias("journey_id"), F.lit(0).cast("long").alias("scene_id"),
-        *[((F.col("event_id") * k) % D.ZONES_TOTAL).alias(f"z{k}") for k in (1, 3, 7)])
+        *[(F.col("event_id") * k).alias(f"z{k}") for k in (1, 3, 7)])
     for k in (1, 3, 7):
-        asked = asked.join(broadcast_if_small(z.select(F.col("zord").alias(f"z{k}"),
-                                                       F.col("name").alias(f"n{k}"))), f"z{k}")
+        asked = D.with_zone_name(asked, z, f"z{k}").withColumnRenamed("zone_name", f"n{k}")
     trips = asked.select("journey_id", "scene_id", F.col("n1").alias("start_zone"),
                          F.array("n3", "n7").alias("destinations"))
     return J.plan_journeys(trips, p.zones, J.zone_adjacency(p.zones, 3.0)).select(

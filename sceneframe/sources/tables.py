@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sceneframe.functions.angles import DEG_TO_RAD
-from sceneframe.operators.scale import spread
+from sceneframe.operators.scale import broadcast_if_small, spread
 
 # Keywords and tools used by the derived requests.
 KEYWORDS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
@@ -19,7 +19,6 @@ TOOL_OF_EVENT = {"view": "describe_surroundings", "click": "find_nearest",
 STATUS_OF_EVENT = {"view": 2, "click": 1, "purchase": 4, "error": 6, "signup": 5}
 TAG_OF_EVENT = {"view": "pose", "click": "tool", "error": "error", "purchase": "nav",
                 "signup": "voice"}
-ZONES_TOTAL = 155
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,10 +38,9 @@ def _mapped(column, mapping):
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """155 sheared rectangles in three nested levels."""
+    """Sheared rectangles in three nested levels: regions, nations, market segments of nations."""
     region = table(spark, sf_dir, "region")
     nation = table(spark, sf_dir, "nation")
-    # at most five market segments exist
     segments = (table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
                 .withColumn("m", F.row_number().over(Window.orderBy("c_mktsegment")) - 1))
     # ranks run over the 25 nations, grouped by region
@@ -56,8 +54,7 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (F.col("n_nationkey") + 5).cast("long").alias("zord"), F.col("n_name").alias("name"),
                  F.col("nx").alias("x0"), F.lit(17.0).alias("w"), F.lit(2.0).alias("y0"),
                  F.lit(96.0).alias("h")))
-             .unionByName(nations.withColumn("m", F.explode(F.array(*[F.lit(i) for i in range(5)])))
-                          .join(segments, "m").select(
+             .unionByName(nations.withColumn("_all", F.lit(0)).join(segments.withColumn("_all", F.lit(0)), "_all").select(
                  (F.col("n_nationkey") * 5 + 30 + F.col("m")).cast("long").alias("zord"),
                  F.concat("n_name", F.lit("/"), "c_mktsegment").alias("name"),
                  (F.col("nx") + 1.0).alias("x0"), F.lit(15.0).alias("w"),
@@ -100,24 +97,26 @@ def keyword_of(event_id):
     return F.element_at(F.array(*[F.lit(k) for k in KEYWORDS]), (event_id % 8 + 1).cast("int"))
 
 
-def zone_names(zones: DataFrame) -> DataFrame:
-    """Broadcast (zord, zone_name): 155 rows at every scale."""
-    return F.broadcast(zones.select("zord", F.col("name").alias("zone_name")))
+def with_zone_name(rows: DataFrame, zones: DataFrame, number: str) -> DataFrame:
+    """Rows with the name of the zone at ``number`` modulo the count of zones, in list order.
+
+    The zones are those of the star schema, nations times market segments, and are counted here.
+    """
+    named = broadcast_if_small(zones.select(
+        (F.row_number().over(Window.orderBy("zord")) - 1).cast("long").alias("_place"), F.col("name").alias("zone_name")), text_columns=("zone_name",))
+    return (rows.withColumn("_place", F.pmod(F.col(number), F.lit(max(1, zones.count()))).cast("long"))
+            .join(named, "_place").drop("_place"))
 
 
 def named_poses(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
-    """Every pose with a zone name (zord = id % 155) and a label keyword to ask for."""
-    return (poses(spark, sf_dir).withColumn("keyword", keyword_of(F.col("request_id")))
-            .withColumn("zord", F.col("request_id") % ZONES_TOTAL)
-            .join(zone_names(zones), "zord").drop("zord"))
+    """Every pose with a zone name and a label keyword to ask for, both picked by its number."""
+    return with_zone_name(poses(spark, sf_dir).withColumn("keyword", keyword_of(F.col("request_id"))), zones, "request_id")
 
 
 def requests(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
     """Tool requests with JSON arguments."""
     kind = F.col("event_type")
-    asked = (events(spark, sf_dir, "event_id", "event_type", "user_id", "ts")
-             .withColumn("zord", F.col("event_id") % ZONES_TOTAL)
-             .join(zone_names(zones), "zord"))
+    asked = with_zone_name(events(spark, sf_dir, "event_id", "event_type", "user_id", "ts"), zones, "event_id")
     args = (F.when(kind == "click", F.to_json(F.struct(keyword_of(F.col("event_id")).alias("object_type"))))
             .when(kind.isin("error", "purchase"), F.to_json(F.struct(F.col("zone_name").alias("destination"))))
             .when(kind == "signup", F.to_json(F.struct("zone_name"))).otherwise("{}"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sceneframe.operators import asof, logs
 from sceneframe.operators.arrivals import detect_arrivals
+from sceneframe.operators.asof import as_of
 from sceneframe.operators.ranges import rank_nearby
 from sceneframe.operators.scale import large_groups, ordered_slices
 from sceneframe.plans.tools import latest_status, navigation_status
@@ -31,7 +32,7 @@ def test_as_of_both_directions(spark, rows):
     r = spark.createDataFrame(right, "robot_id long, ts timestamp, rid long")
     for direction in ("backward", "forward"):
         for tol in (None, "20 seconds"):
-            got = {x.lid: x.hit for x in asof.as_of(
+            got = {x.lid: x.hit for x in as_of(
                 l, r, ["robot_id"], "ts", "ts", {"rid": "hit"}, tie="rid", direction=direction,
                 tolerance=tol, group_rows=rows).collect()}
             assert len(got) == len(left)
@@ -49,7 +50,7 @@ def test_as_of_both_directions(spark, rows):
 
 def test_slices_follow_the_order(spark):
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
-    assert {r["k"] for r in large_groups(df, ["k"], 100)} == {0, 1} and large_groups(df, ["k"], 5000) == []
+    assert {r["k"] for r in large_groups(df, ["k"], 100)[0].collect()} == {0, 1} and large_groups(df, ["k"], 5000)[1] == 0
     sliced, large = ordered_slices(df, ["k"], F.col("v"), 100)
     assert large.count() == 2 and sliced.count() == 5000
     spans = sliced.groupBy("k", "_slice").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n"))
@@ -61,7 +62,7 @@ def test_slices_follow_the_order(spark):
 
 def test_ranks_in_large_groups(spark):
     rng = random.Random(12)
-    items = [(1 if rng.random() < 0.7 else rng.randint(2, 6), rng.choice([0.5, 1.25, rng.randint(0, 300) / 100]), i)
+    items = [(1 if rng.random() < 0.7 else rng.randint(2, 6), rng.choice([0.5, 1.25, rng.randint(0, 300) / 100]), i * 2 ** 33)
              for i in range(600)]
     df = spark.createDataFrame(items, "request_id long, distance double, obj_ord long")
     want = {}
@@ -72,6 +73,24 @@ def test_ranks_in_large_groups(spark):
         assert {r.obj_ord: r["rank"] for r in rank_nearby(df, group_rows=rows).collect()} == want
 
 
+def test_as_of_without_key_or_time(spark):
+    """Such rows stay, without a match, in both directions."""
+    left = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "a", None)], "id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    right = spark.createDataFrame([("a", 5), ("a", 7), (None, 5)], "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for direction in ("backward", "forward"):
+        for rows in (None, 1):
+            got = as_of(left, right, ["k"], "ts", "ts", {"s": "found"}, direction=direction, group_rows=rows)
+            assert {r.id: r.found for r in got.collect()} == {1: 5, 2: None, 3: None}
+
+
+def test_goals_of_one_time_go_by_tie(spark):
+    t = F.timestamp_seconds(F.col("s"))
+    poses = spark.createDataFrame([("r", 1, 0.0, 0.0), ("r", 2, 5.0, 5.0)], "robot_id string, s long, x double, y double").withColumn("ts", t)
+    goals = spark.createDataFrame([("r", 1, 5.0, 5.0, "far", 2), ("r", 1, 0.0, 0.0, "near", 1)],
+                                  "robot_id string, s long, x double, y double, destination string, seq long").withColumn("ts", t)
+    assert [(r.destination, r.x) for r in detect_arrivals(poses, goals, tie="seq").collect()] == [("far", 5.0)]
+
+
 def test_last_lines_and_utterances(spark):
     rng = random.Random(13)
     lines = [(r, t, i, f"[tool] {i}") for r, t, i in logs_of(rng, 400)]

@@ -208,10 +208,11 @@ def test_scoring(spark):
     assert res[(1, "find_nearest")] == "R" and json.loads(res[(2, "fly")]) == {"info": "Mock result for fly"}
 
 
-def test_rounds_stop_at_five(spark):
+def test_all_assistant_turns_count(spark):
     turns = spark.createDataFrame([(1, i, "assistant", str(i), [("c", f"t{i}", "{}")]) for i in range(8)], TURN)
     r = EV.case_transcripts(turns).first()
-    assert r.final_text == "01234" and [c.name for c in r.calls] == ["t0", "t1", "t2", "t3", "t4"]
+    assert r.final_text == "01234567" and [c.name for c in r.calls] == [f"t{i}" for i in range(8)]
+    assert {(c.turn, c.round, c.name) for c in EV.extract_tool_calls(turns).collect()} == {(i, i + 1, f"t{i}") for i in range(8)}
 
 
 def test_content_blocks(spark):

@@ -228,3 +228,20 @@ def test_routes(spark, limit):
     want = {(i, z) for i, e in enumerate(ends) for z, (_, _, v) in enumerate(rings)
             if v and math.hypot(e[2] - e[0], e[3] - e[1]) >= 1e-6 and meets(*e, v)}
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
+
+
+def test_long_routes_among_tiny_zones(spark):
+    """Cells per route stay bounded; zones without extent are never met."""
+    rings = [("dot", None, [(3.0, 0.0)]), ("same", None, [(3.0, 0.0)] * 4), ("tiny", None, [(250.0, -0.05), (250.1, -0.05), (250.1, 0.05), (250.0, 0.05)]),
+             ("hall", None, [(-10.0, -20.0), (600.0, -20.0), (600.0, 20.0), (-10.0, 20.0)]),
+             ("line", None, [(100.0, -1.0), (100.0, 1.0), (100.0, 0.5)])]
+    ends = [(0.0, 0.0, 500.0, 0.0), (0.0, 0.0, 1.0, 0.0), (249.9, 0.01, 250.3, 0.0), (-1e7, 0.0, 1e7, 0.0), (0.0, 9.0, 500.0, 9.5)]
+    routes = spark.createDataFrame([(i, 0, *e) for i, e in enumerate(ends)],
+                                   "request_id long, scene_id long, ax double, ay double, bx double, by double")
+    zones = prepared(spark, rings)
+    want = {(i, z) for i, e in enumerate(ends) for z, (_, _, v) in enumerate(rings) if meets(*e, v)}
+    for limit in (None, 0):
+        pairs = [(r.request_id, r.zone_ord) for r in RT.route_zones(routes, zones, broadcast_rows=limit).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    assert (0, 2) in want and (2, 2) in want and (3, 2) in want
+    assert RT.route_zones(routes, zones.where("name in ('dot', 'same')")).count() == 0
