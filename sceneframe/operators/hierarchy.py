@@ -113,6 +113,18 @@ def zone_children(hierarchy: DataFrame) -> DataFrame:
             .select("scene_id", "zord", "name", "child_ord", "child"))
 
 
+def with_children(hierarchy: DataFrame) -> DataFrame:
+    """Zones with ``children``: the names of their children in list order, an empty list if there are none.
+
+    The list belongs to one zone's answer, which holds it whole.
+    """
+    listed = (zone_children(hierarchy).groupBy("scene_id", "zord")
+              .agg(F.array_sort(F.collect_list(F.struct("child_ord", "child"))).alias("_kids"))
+              .select("scene_id", "zord", F.transform("_kids", lambda k: k["child"]).alias("children")))
+    return (hierarchy.drop("children").join(listed, ["scene_id", "zord"], "left")
+            .withColumn("children", F.coalesce("children", F.array().cast("array<string>"))))
+
+
 def location_index(hierarchy: DataFrame, force: str | None = None) -> ZoneIndex:
     return zone_index(hierarchy, LOCATION_COLUMNS, force)
 

@@ -92,7 +92,7 @@ def first_named(requests: DataFrame, table: DataFrame, name: str, column: str, o
     unique = (table.withColumn("_key", F.lower(column)).where("_key is not null")
               .groupBy("scene_id", "_key")
               .agg(pick(F.struct(*[F.col(c).alias(n) for c, n in take.items()]), order).alias("_r")))
-    unique = broadcast_if_small(unique, text_columns=["_key"])
+    unique = broadcast_if_small(unique, text_columns=["_key", F.to_json("_r")])    # the whole payload counts
     return (requests.withColumn("_key", name_key(F.col(name)))
             .join(unique, ["scene_id", "_key"], "left")
             .select(*requests.columns, F.col("_r").isNotNull().alias("found"), "_r.*"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sceneframe.functions.text import preview
 from sceneframe.operators.asof import pose_as_of
-from sceneframe.operators.hierarchy import zone_children
+from sceneframe.operators.hierarchy import with_children
 from sceneframe.operators.scale import broadcast_if_small, checkpoint
 from sceneframe.plans import tools as T
 from sceneframe.plans.publish import Published
@@ -120,6 +120,11 @@ def _json(*columns, keep_nulls: bool = True) -> Column:
     return F.to_json(F.struct(*columns), _NULLS if keep_nulls else {})
 
 
+def _quoted(column: str) -> Column:
+    """A JSON string: the only element of a one-element JSON array."""
+    return F.regexp_extract(F.to_json(F.array(column)), r"(?s)^\[(.*)\]$", 1)
+
+
 def _named(*columns: str) -> dict[str, Column]:
     return {c: F.col(c) for c in columns}
 
@@ -168,9 +173,7 @@ def _distance_to(ctx: Context, mine: DataFrame):
 def _describe_route(ctx: Context, mine: DataFrame):
     answers, met, passed = T.describe_route(ctx.located(mine), ctx.scene.objects, ctx.scene.zones,
                                             "_name", dialect=ctx.dialect)
-    # a JSON string: the only element of a one-element JSON array
-    quoted = F.regexp_extract(F.to_json(F.array("zone")), r"(?s)^\[(.*)\]$", 1)
-    items = [_items(met, _own(), "zones_along_path", F.lit(0.0), F.col("zone_ord"), quoted),
+    items = [_items(met, _own(), "zones_along_path", F.lit(0.0), F.col("zone_ord"), _quoted("zone")),
              _items(passed, _own(), "objects_along_path", F.col("distance_along_path_m"),
                     F.col("obj_ord"), _json("label", "distance_along_path_m", "side_offset_m"))]
     return _header(answers, _named("destination", "total_distance_m", "direction"),
@@ -206,8 +209,8 @@ def _to_object(ctx: Context, mine: DataFrame):
 def _query_zone(ctx: Context, mine: DataFrame):
     answers, contents = T.query_zone(mine, ctx.scene.objects, ctx.scene.zones, ctx.scene.index, "_name")
     zone = F.when(F.col("found"), F.struct(
-        F.col("zone").alias("name"), "display_name", "parent", "depth", "num_objects",
-        "num_direct_objects"))
+        F.col("zone").alias("name"), "display_name", "parent", "depth", "children",
+        F.col("vertices").alias("vertices_world"), "num_objects", "num_direct_objects"))
     key = _shared("zone", "scene_id", "zone_ord")
     place = F.when(F.col("zone").isNotNull(), F.struct("zone", "parent_zone", "full_path"))
     body = _json("id", "label", F.struct("x", "y").alias("map_position"), place.alias("location"))
@@ -238,14 +241,12 @@ def _listing(mine: DataFrame, table: DataFrame, kind: str) -> DataFrame:
 @tool("list_zones")
 def _list_zones(ctx: Context, mine: DataFrame):
     key = _shared("zones", "scene_id")
-    z = _of_scenes(ctx.scene.zones, mine).withColumn("display_name", F.col("full_path")).withColumn(
-        "parent", F.nullif(F.col("parent"), F.lit("")))
-    # absent parents are left out, not written as null
-    items = [_items(z, key, "zones", F.lit(0.0), F.col("zord"),
-                    _json("name", "display_name", "parent", keep_nulls=False)),
-             _items(zone_children(z), key, "children", F.col("zord"), F.col("child_ord"),
-                    _json("name", "child"))]
-    return _header(_listing(mine, ctx.scene.zones, "zone"), {}, ("zones", "children"), key), items
+    z = with_children(_of_scenes(ctx.scene.zones, mine))
+    # absent and empty parts are left out, not written as null
+    filled = [F.nullif(F.col(c), F.lit("")).alias(n) for c, n in (("full_path", "display_name"), ("parent", "parent"))]
+    kids = F.when(F.size("children") > 0, F.col("children")).alias("children")
+    items = [_items(z, key, "zones", F.lit(0.0), F.col("zord"), _json("name", *filled, kids, keep_nulls=False))]
+    return _header(_listing(mine, ctx.scene.zones, "zone"), {}, ("zones",), key), items
 
 
 @tool("list_objects")
@@ -253,7 +254,7 @@ def _list_objects(ctx: Context, mine: DataFrame):
     key = _shared("labels", "scene_id")
     # labels are read in text order: the item itself is the last sort key
     items = _items(T.list_objects(_of_scenes(ctx.scene.objects, mine)), key, "objects", F.lit(0.0),
-                   F.lit(0), F.to_json(F.struct("label")))
+                   F.lit(0), _quoted("label"))
     return _header(_listing(mine, ctx.scene.objects, "object"), {}, ("objects",), key), [items]
 
 
@@ -304,40 +305,29 @@ def answer_requests(requests: DataFrame, poses: DataFrame, scene: Published, sta
     return Answers(reduce(DataFrame.unionByName, headers), reduce(DataFrame.unionByName, [empty, *items]))
 
 
-def documents(answers: Answers, max_items: int = 10_000):
-    """(documents, oversize items).
+def documents(answers: Answers) -> DataFrame:
+    """Whole JSON answers, for every size: (request_id, tool, result_json, error, items_key).
 
-    Answers with at most ``max_items`` items become one JSON text.  Larger ones
-    keep their header text and their items are returned as rows, complete and in
-    the same form, instead of being gathered into one row.
+    An answer's text holds all its items, so it is as large as what was asked for; callers who want
+    rows instead read ``answers.headers`` and ``answers.items``.
     """
-    items = checkpoint(answers.items)  # read several times below
-    sizes = items.groupBy("items_key").agg(F.count(F.lit(1)).alias("_n"))
-    fitting = sizes.where(F.col("_n") <= max_items).select("items_key")
     order = F.array_sort(F.collect_list(F.struct("pos1", "pos2", "item_json")))
-    # groups hold at most max_items rows here
-    lists = (items.join(fitting, "items_key", "left_semi")
-             .groupBy("items_key", "section").agg(F.concat(
+    lists = (answers.items.groupBy("items_key", "section").agg(F.concat(
                  F.lit("["), F.array_join(F.transform(order, lambda i: i["item_json"]), ","),
                  F.lit("]")).alias("_list"))
              .groupBy("items_key").agg(F.map_from_entries(
                  F.collect_list(F.struct("section", "_list"))).alias("_lists")))
-    large = sizes.where(F.col("_n") > max_items).select("items_key", F.lit(True).alias("_large"))
-    joined = (answers.headers.join(lists, "items_key", "left")
-              .join(broadcast_if_small(large), "items_key", "left"))
+    joined = answers.headers.join(lists, "items_key", "left")
     has_lists = F.col("_lists").isNotNull()
     parts = F.transform("sections", lambda s: F.concat(
         F.lit('"'), s, F.lit('":'),
         F.coalesce(F.when(has_lists, F.try_element_at("_lists", s)), F.lit("[]"))))
     comma = F.when(F.col("result_json") == "{}", "").otherwise(",")
     whole = F.when(
-        (F.size("sections") > 0) & F.col("_large").isNull() & F.col("items_key").isNotNull(),
+        (F.size("sections") > 0) & F.col("items_key").isNotNull(),
         F.concat(F.substring("result_json", F.lit(1), F.length("result_json") - 1), comma,
                  F.array_join(parts, ","), F.lit("}"))).otherwise(F.col("result_json"))
-    docs = joined.select("request_id", "tool", whole.alias("result_json"), "error",
-                         F.coalesce("_large", F.lit(False)).alias("oversize"), "items_key")
-    rest = items.join(large.select("items_key"), "items_key", "left_semi")
-    return docs, rest
+    return joined.select("request_id", "tool", whole.alias("result_json"), "error", "items_key")
 
 
 def debug_lines(requests: DataFrame, results: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                (((event_id*31)%3600)/10e0-180e0)*{TO_RAD} AS yaw, {keyword('event_id')} AS keyword,
                event_id AS zpick FROM events"""),
     "named": (("poses", "zones"), """
-        SELECT p.*, z.name AS zone_name, z.cx AS tx, z.cy AS ty FROM poses p
+        SELECT p.*, z.name AS zone_name, z.zord AS zone_zord, z.cx AS tx, z.cy AS ty FROM poses p
         JOIN (SELECT *, row_number() OVER (ORDER BY zord) - 1 AS place, count(*) OVER () AS places FROM zones) z ON z.place = p.zpick % z.places"""),
     "inzone": (("hier", "allobj"), f"""
         SELECT o.id, z.zord, z.name, z.depth, z.parent, z.full_path
@@ -413,9 +413,11 @@ def statements() -> dict[str, str]:
     s["objects_snapshot"] = query(
         "SELECT o.ord, o.id, o.label, o.confidence, o.x, o.y, d.zone, d.full_path, d.zone IS NULL AS null_written "
         "FROM obj o LEFT JOIN deepest d ON d.id = o.id", "deepest", "obj")
-    report = (f"SELECT z.zord, z.name, z.full_path AS display_name, z.parent, z.depth, c.num_objects, c.num_direct_objects "
-              f"FROM hier z JOIN ({counts.format(f=only)}) c USING (zord)")
-    s["zones_snapshot"] = query(f"SELECT *, 4::BIGINT AS num_vertices FROM ({report})", "deepest", "obj")
+    corners = " || ';' || ".join(f"(x{i}*100)::BIGINT || ',' || (y{i}*100)::BIGINT" for i in (1, 2, 3, 4))
+    report = (f"SELECT z.zord, z.name, z.full_path AS display_name, z.parent, z.depth, c.num_objects, c.num_direct_objects, "
+              f"coalesce((SELECT string_agg(k.name, '|' ORDER BY k.zord) FROM hier k WHERE k.parent = z.name), '') AS children, "
+              f"{corners} AS corners FROM hier z JOIN ({counts.format(f=only)}) c USING (zord)")
+    s["zones_snapshot"] = query(report, "deepest", "obj")
     colors = s["label_colors"].replace("FROM part", "FROM (SELECT label AS p_name FROM obj)")
     zcolors = s["label_colors"].replace("FROM part", "FROM (SELECT name AS p_name FROM zones)")
     s["map_features"] = query(
@@ -478,11 +480,11 @@ def statements() -> dict[str, str]:
         "SELECT z.zord, z.name, z.full_path AS display_name, z.parent, c.zord AS child_ord, c.name AS child FROM hier z LEFT JOIN hier c ON c.parent = z.name", "hier")
     s["list_objects"] = query("SELECT DISTINCT label FROM obj", "obj")
     s["query_zone"] = query(
-        f"SELECT n.request_id, true AS found, r.name AS zone, r.display_name, r.parent, r.depth, r.num_objects, r.num_direct_objects "
+        f"SELECT n.request_id, true AS found, r.name AS zone, r.display_name, r.parent, r.depth, r.num_objects, r.num_direct_objects, r.children, r.corners "
         f"FROM named n JOIN ({report}) r ON r.name = n.zone_name", "deepest", "obj", "named")
     s["query_zone_contents"] = query(
         "SELECT i.zord AS zone_ord, o.id, o.label, o.x, o.y, d.full_path, d.zone = i.name AS direct "
-        "FROM inzone i JOIN obj o ON o.id = i.id JOIN deepest d ON d.id = i.id WHERE i.zord IN (SELECT zpick FROM poses)", "deepest", "obj", "poses")
+        "FROM inzone i JOIN obj o ON o.id = i.id JOIN deepest d ON d.id = i.id WHERE i.zord IN (SELECT zone_zord FROM named)", "deepest", "obj", "named")
     s["query_object"] = query(
         "SELECT request_id, n IS NOT NULL AS found, coalesce(n, 0) AS count FROM labelreq LEFT JOIN (SELECT lower(label) AS k, count(*) AS n "
         "FROM obj GROUP BY 1) ON k = label_key", "labelreq", "obj")

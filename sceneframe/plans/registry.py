@@ -399,12 +399,17 @@ def objects_snapshot(spark, sf):
         F.contains("json", F.lit('"zone":null')).alias("null_written"))
 
 
+def _corners(name: str):
+    """Vertices as text, in hundredths; the coordinates are multiples of a quarter."""
+    return F.array_join(F.transform(name, lambda v: F.concat_ws(",", *[(v[i] * 100).cast("long").cast("string") for i in (0, 1)])), ";")
+
+
 def zones_snapshot(spark, sf):
     p = published(spark, sf)
     doc = F.from_json("json", scenes.S.PUBLISHED_ZONE)
     return sinks.zones_snapshot(p.zones, p.objects, p.index).withColumn("d", doc).select(
-        "zord", "d.name", "d.display_name", "d.parent", "d.depth", "d.num_objects",
-        "d.num_direct_objects", F.size("d.vertices_world").cast("long").alias("num_vertices"))
+        "zord", "d.name", "d.display_name", "d.parent", "d.depth", "d.num_objects", "d.num_direct_objects",
+        F.array_join("d.children", "|").alias("children"), _corners("d.vertices_world").alias("corners"))
 
 
 def map_features(spark, sf):
@@ -517,8 +522,9 @@ def list_objects(spark, sf):
 def query_zone(spark, sf):
     p = published(spark, sf)
     answers, _ = T.query_zone(_named_poses(spark, sf), p.objects, p.zones, p.index)
-    return answers.select("request_id", "found", "zone", "display_name", "parent", "depth",
-                          "num_objects", "num_direct_objects")
+    return answers.select("request_id", "found", "zone", "display_name", "parent", "depth", "num_objects",
+                          "num_direct_objects", F.array_join("children", "|").alias("children"),
+                          _corners("vertices").alias("corners"))
 
 
 def query_zone_contents(spark, sf):
@@ -542,7 +548,8 @@ def query_object_matches(spark, sf):
 def zones_report(spark, sf):
     p = published(spark, sf)
     return T.zones_report(p.objects, p.zones, p.index).select(
-        "zord", "name", "display_name", "parent", "depth", "num_objects", "num_direct_objects")
+        "zord", "name", "display_name", "parent", "depth", "num_objects", "num_direct_objects",
+        F.array_join("children", "|").alias("children"), _corners("vertices").alias("corners"))
 
 
 def _goal_log(spark, sf):
@@ -621,7 +628,7 @@ def answer_items(spark, sf):
 def answer_documents(spark, sf):
     """Whole JSON answers: list lengths counted from the texts."""
     _, got = _answers(spark, sf)
-    docs, _ = dispatch.documents(got)
+    docs = dispatch.documents(got)
     size = lambda p: F.json_array_length(F.get_json_object("result_json", p)).cast("long")
     return docs.select("request_id", size("$.nearby_objects").alias("nearby"),
                        size("$.zones_along_path").alias("zones"),

@@ -15,7 +15,7 @@ from sceneframe.functions.rounding import py_round
 from sceneframe.functions.text import name_key, status_message, status_name
 from sceneframe.operators.asof import as_of
 from sceneframe.operators.containment import ZoneIndex, assign_zone
-from sceneframe.operators.hierarchy import zone_children, zone_contents, zone_counts
+from sceneframe.operators.hierarchy import with_children, zone_children, zone_contents, zone_counts
 from sceneframe.operators.lookup import first_named, lookup_exact, resolve_destination
 from sceneframe.operators.nearest import nearest_object
 from sceneframe.operators.ranges import nearby_items, objects_within
@@ -236,12 +236,12 @@ def query_zone(requests: DataFrame, objects: DataFrame, hierarchy: DataFrame, in
     zone wins among equal names); ``contents`` lists the objects of every zone
     asked for, once per zone and not once per request.
     """
-    counted = zone_counts(objects, hierarchy, index)
+    counted = with_children(zone_counts(objects, hierarchy, index))
     slim = requests.select(*dict.fromkeys([*key, "scene_id", name]))
     answers = first_named(slim, counted, name, "name", "zord", {
         "zord": "zone_ord", "name": "zone", "full_path": "display_name", "parent": "parent",
         "depth": "depth", "num_objects": "num_objects",
-        "num_direct_objects": "num_direct_objects"}, last=True)
+        "num_direct_objects": "num_direct_objects", "children": "children", "vertices": "vertices"}, last=True)
     keyed = hierarchy.select("scene_id", "zord", F.lower("name").alias("_key"))
     asked = slim.select("scene_id", name_key(F.col(name)).alias("_key")).distinct()
     wanted = (keyed.join(broadcast_if_small(asked, text_columns=["_key"]), ["scene_id", "_key"], "left_semi")
@@ -263,9 +263,10 @@ def query_object(requests: DataFrame, objects: DataFrame, index: ZoneIndex,
 
 
 def zones_report(objects: DataFrame, hierarchy: DataFrame, index: ZoneIndex | None = None) -> DataFrame:
-    return zone_counts(objects, hierarchy, index).select(
+    """All zones with counts, children and vertices."""
+    return with_children(zone_counts(objects, hierarchy, index)).select(
         "scene_id", "zord", "name", F.col("full_path").alias("display_name"), "parent", "depth",
-        "num_objects", "num_direct_objects", "vertices")
+        "children", "num_objects", "num_direct_objects", "vertices")
 
 
 def status_events(statuses: DataFrame, goals: DataFrame | None = None) -> DataFrame:

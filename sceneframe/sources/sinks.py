@@ -12,7 +12,7 @@ from sceneframe.functions import geometry as G
 from sceneframe.functions.rounding import py_round
 from sceneframe.functions.text import label_color
 from sceneframe.operators.containment import ZoneIndex, assign_zone
-from sceneframe.operators.hierarchy import zone_counts
+from sceneframe.operators.hierarchy import with_children, zone_counts
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -32,12 +32,9 @@ def objects_snapshot(enriched: DataFrame) -> DataFrame:
 
 
 def zones_snapshot(hierarchy: DataFrame, objects: DataFrame, index: ZoneIndex | None = None) -> DataFrame:
-    """(scene_id, zord, json): one published zone per row with its counts.
-
-    Children are rows of ``zone_children``; here only their parent link is kept.
-    """
-    counted = zone_counts(objects, hierarchy, index)
-    body = F.struct("name", F.col("full_path").alias("display_name"), "parent", "depth",
+    """(scene_id, zord, json): one published zone per row with its children and counts."""
+    counted = with_children(zone_counts(objects, hierarchy, index))
+    body = F.struct("name", F.col("full_path").alias("display_name"), "parent", "depth", "children",
                     F.col("vertices").alias("vertices_world"), "num_objects", "num_direct_objects")
     return counted.select("scene_id", "zord", F.to_json(body, _KEEP_NULLS).alias("json"))
 

@@ -18,14 +18,13 @@ def _logs(spark):
     return poses, st, goals
 
 
-def _ask(spark, asks, dialect="cloud", scene=0, **kw):
+def _ask(spark, asks, dialect="cloud", scene=0):
     s = flat_scene(spark)
     poses, st, goals = _logs(spark)
     req = spark.createDataFrame([(i, scene, 1, at(5), t, a) for i, (t, a) in enumerate(asks)], REQ)
     answers = dispatch.answer_requests(req, poses, s, st, goals, dialect, {t for t, _ in asks})
-    docs, rest = dispatch.documents(answers, **kw)
-    rows = {r.request_id: r for r in docs.collect()}
-    return req, answers, rows, rest
+    rows = {r.request_id: r for r in dispatch.documents(answers).collect()}
+    return req, answers, rows
 
 
 def test_every_tool_as_document(spark):
@@ -38,8 +37,8 @@ def test_every_tool_as_document(spark):
             ("query_object", '{"object_label": "Couch"}'), ("query_object", '{"object_label": "sofa"}'),
             ("list_zones", "{}"), ("list_objects", "{}"), ("get_navigation_status", "{}"), ("cancel_navigation", "{}"),
             ("fly", "{}"), ("find_nearest", "{broken"), ("query_zone", None), ("describe_surroundings", '{"radius": "far"}')]
-    _, answers, rows, rest = _ask(spark, asks)
-    assert len(rows) == len(asks) and rest.count() == 0
+    _, answers, rows = _ask(spark, asks)
+    assert len(rows) == len(asks)
     doc = {i: json.loads(r.result_json) for i, r in rows.items()}
     assert doc[0] == {"x": 2.0, "y": 1.5, "yaw_deg": 0.0, "frame": "map", "current_zone": "kitchen"}
     assert doc[1]["count"] == 2 and [o["label"] for o in doc[1]["nearby_objects"]] == ["microwave", "fridge"]
@@ -57,7 +56,9 @@ def test_every_tool_as_document(spark):
     assert doc[13]["count"] == 1 and doc[13]["objects"][0]["location"]["zone"] == "living_room"
     assert doc[14]["found"] is False and doc[14]["objects"] == []
     assert [z["name"] for z in doc[15]["zones"]] == ["kitchen", "living_room", "hallway"]
-    assert [o["label"] for o in doc[16]["objects"]] == ["chair", "couch", "fridge", "lamp", "microwave", "table"]
+    assert doc[11]["zone"]["children"] == [] and len(doc[11]["zone"]["vertices_world"]) == 4
+    assert all("parent" not in z and "children" not in z and z["display_name"] == z["name"] for z in doc[15]["zones"])
+    assert doc[16]["objects"] == ["chair", "couch", "fridge", "lamp", "microwave", "table"]
     assert doc[17] == {"status": "arrived", "destination": "kitchen", "message": "Arrived at kitchen"}
     assert doc[18] == {"success": True, "message": "Navigation cancelled"}
     assert doc[19] == {"error": "Unknown tool: fly"} and rows[19].tool == "fly"
@@ -65,23 +66,21 @@ def test_every_tool_as_document(spark):
     assert "error" in doc[22]
 
 
-def test_local_dialect_and_oversize(spark):
+def test_local_dialect(spark):
     asks = [("describe_surroundings", "{}"), ("cancel_navigation", "{}"), ("navigate_to_zone", '{"zone_name": "hallway"}'),
             ("navigate_to_zone", '{"zone_name": "attic"}')]
-    req, answers, rows, _ = _ask(spark, asks, "local")
+    req, answers, rows = _ask(spark, asks, "local")
     doc = {i: json.loads(r.result_json) for i, r in rows.items()}
     assert doc[0]["radius_m"] == 3.0 and doc[0]["nearby_objects"][1]["direction"] == "behind-right"
     assert doc[1] == {"error": "Unknown tool: cancel_navigation"}
     assert doc[2] == {"status": "goal_sent", "zone": "hallway", "goal_x": 2.0, "goal_y": 4.0}
     assert doc[3] == {"error": "Zone 'attic' not found.", "hint": "Use list_zones to see available zone names."}
-    _, _, rows, rest = _ask(spark, [("describe_surroundings", "{}")], max_items=1)
-    assert rows[0].oversize and rest.count() == 2  # whole list kept as rows
     lines = dispatch.debug_lines(req, answers.headers).where("request_id = 2").first()
     assert lines.text.startswith('[tool] navigate_to_zone({"zone_name": "hallway"}) -> {"status":"goal_sent"')
 
 
 def test_scene_without_data(spark):
-    _, _, rows, _ = _ask(spark, [("find_nearest", '{"object_type": "x"}'), ("list_zones", "{}"),
+    _, _, rows = _ask(spark, [("find_nearest", '{"object_type": "x"}'), ("list_zones", "{}"),
                                  ("list_objects", "{}"), ("navigate_to_zone", '{"zone_name": "kitchen"}')], scene=7)
     assert [json.loads(rows[i].result_json)["error"] for i in range(4)] == [
         "No object data available", "No zone data available", "No object data available", "No zone data available"]
