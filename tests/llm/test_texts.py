@@ -133,6 +133,7 @@ def test_crowded_grams_and_chains(spark, monkeypatch):
     """Blocks of two rows, tries of two candidates, and a chain of copies that only link to their neighbours."""
     monkeypatch.setattr(overlap, "BLOCK", 2)
     monkeypatch.setattr(overlap, "TRIE", 2)
+    monkeypatch.setattr(overlap, "CROWD", 3)
     rng = random.Random(2)
     base = plain.sentence(rng, "en", 60).split()
     rows = []
