@@ -104,15 +104,23 @@ def telling_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
              .select("entity", F.explode("w").alias("term")).where(F.length("term") >= TERM_LENGTH)
              .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT))
     pairs = settle(pairs.join(seen.groupBy("entity").agg(F.count(F.lit(1)).alias("c_e")), "entity"))
-    candidates = broadcast_if_small(settle(pairs.select("term").distinct()), text_columns=("term",))
-    places = settle(lines.select("kid", "th", F.xxhash64("line").alias("h"), F.explode_outer(words(F.col("line"))).alias("term"))
-                    .join(candidates, "term", "left_semi").distinct())
     n = lines.agg(F.approx_count_distinct(F.xxhash64("line")).alias("n")).first()["n"]
-    terms = places.groupBy("term").agg(F.count_distinct("h").alias("c_t"))
-    bits = F.log2(F.lit(float(max(n, 2))) * F.col("both") / (F.col("c_e") * F.col("c_t")))
     whole = F.log2(F.lit(float(max(n, 2))) / F.col("c_e"))
-    return (settle(pairs.join(terms, "term").where(bits >= DISCLOSURE * whole).select("term").distinct()),
-            places.select("kid", "th", "term").distinct())
+
+    def telling(counts: DataFrame, slack: float) -> DataFrame:
+        """Terms whose share reaches the threshold, or would if they were found on ``slack`` times as many lines."""
+        bits = F.log2(F.lit(float(max(n, 2))) * F.col("both") / (F.col("c_e") * F.col("c_t") * slack))
+        return settle(pairs.join(counts, "term").where(bits >= DISCLOSURE * whole).select("term").distinct())
+
+    def held_by(terms: DataFrame) -> DataFrame:
+        small = broadcast_if_small(terms, text_columns=("term",))
+        return (lines.select("kid", "th", F.xxhash64("line").alias("h"), F.explode_outer(words(F.col("line"))).alias("term"))
+                .join(small, "term", "left_semi"))
+    # frequent words are ruled out by sketches of their lines, which need no rows of their own; the rest are counted exactly
+    sketched = held_by(settle(pairs.select("term").distinct())).groupBy("term").agg(F.approx_count_distinct("h").alias("c_t"))
+    places = settle(held_by(telling(sketched, 0.5)).distinct())
+    terms = telling(places.groupBy("term").agg(F.count_distinct("h").alias("c_t")), 1.0)
+    return terms, places.select("kid", "th", "term").distinct()
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
