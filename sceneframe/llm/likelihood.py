@@ -36,12 +36,12 @@ WIDTH = 16
 #: tokens whose counts every task holds (16 bytes each); others are looked up by a join
 HELD = 1 << 20
 #: training rounds; one of SHARE training documents is used in each, others in each round
-ROUNDS, SHARE = 2, 12
+ROUNDS, SHARE = 2, 24
 #: lanes and steps of a training window, and of a scoring window
 LANES, STEPS = 64, 24
-SCORE_LANES, SCORE_STEPS = 512, 32
-#: tokens a task holds at once
-_BLOCK = 1 << 22
+SCORE_LANES, SCORE_STEPS = 256, 64
+#: tokens a task counts at once, and characters of the documents it trains on or scores side by side
+_BLOCK, _TEXT = 1 << 21, 1 << 23
 RATE = 0.15
 END = np.uint64(0x0123456789ABCDEF)
 _NO_ID = -(1 << 63)
@@ -82,16 +82,18 @@ def first_weights(counts: np.ndarray, rest: float) -> Weights:
     return w
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def gru_step(given: np.ndarray, h: np.ndarray, state: np.ndarray):
     """New state from input rows and old state; also the gates for backpropagation."""
     u = h @ state
-    gates = _sigmoid(given[:, :2 * WIDTH] + u[:, :2 * WIDTH])
+    gates = given[:, :2 * WIDTH] + u[:, :2 * WIDTH]
+    gates *= 0.5
+    np.tanh(gates, out=gates)                   # the logistic function by way of tanh
+    gates *= 0.5
+    gates += 0.5
     z, r = gates[:, :WIDTH], gates[:, WIDTH:]
-    n = np.tanh(given[:, 2 * WIDTH:] + r * u[:, 2 * WIDTH:])
+    n = r * u[:, 2 * WIDTH:]
+    n += given[:, 2 * WIDTH:]
+    np.tanh(n, out=n)
     return n + z * (h - n), z, r, n, u[:, 2 * WIDTH:]
 
 
@@ -100,15 +102,27 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _picked(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Log softmax of one column of each row; overwrites x."""
+    rows = np.arange(len(x))
+    top = x.max(axis=1)
+    own = x[rows, pick] - top
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(axis=1))
+
+
 def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights | None = None):
     """Natural log probability of each target id given its state; with ``grads``, adds gradients and gives those of h."""
     kind = np.where(target > 0, (target - 1) // SIZE, CLASSES)
     wide = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
-    logs = _log_softmax(wide @ w.classes.T)
     rows = np.arange(len(h))
-    total = logs[rows, kind].astype(np.float64)
     back = None
-    if grads is not None:
+    if grads is None:
+        total = _picked(wide @ w.classes.T, kind).astype(np.float64)
+    else:
+        logs = _log_softmax(wide @ w.classes.T)
+        total = logs[rows, kind].astype(np.float64)
         d = np.exp(logs)
         d[rows, kind] -= 1
         grads.classes[...] += d.T @ wide
@@ -119,10 +133,13 @@ def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights |
         own = order[bounds[c]:bounds[c + 1]]
         if not len(own):
             continue
-        logs = _log_softmax(wide[own] @ w.words[c].T)
         pick = (target[own] - 1) % SIZE
-        total[own] += logs[np.arange(len(own)), pick]
-        if grads is not None:
+        x = wide[own] @ w.words[c].T
+        if grads is None:
+            total[own] += _picked(x, pick)
+        else:
+            logs = _log_softmax(x)
+            total[own] += logs[np.arange(len(own)), pick]
             d = np.exp(logs)
             d[np.arange(len(own)), pick] -= 1
             grads.words[c] += d.T @ wide[own]
@@ -257,19 +274,24 @@ class Vocabulary(NamedTuple):
 
 def token_runs(texts: list[str | None]):
     """``(hashes, starts, sizes)`` of the tokens of texts, each ended by END."""
-    _, owner, _, _, words = word_hashes([(t or "").encode() for t in texts], lower=True)
-    sizes = np.bincount(owner, minlength=len(texts)) + 1
-    starts = np.cumsum(sizes) - sizes
-    out = np.full(int(sizes.sum()), END, np.uint64)
-    out[np.arange(len(words)) + owner] = words
-    return out, starts, sizes
+    runs, sizes = [], []
+    for part in chunks_of([t or "" for t in texts], 1 << 19):        # hashing takes some ten words of memory per byte
+        some = texts[part]
+        _, owner, _, _, words = word_hashes([(t or "").encode() for t in some], lower=True)
+        size = np.bincount(owner, minlength=len(some)) + 1
+        out = np.full(int(size.sum()), END, np.uint64)
+        out[np.arange(len(words)) + owner] = words
+        runs.append(out)
+        sizes.append(size)
+    sizes = np.concatenate([*sizes, np.zeros(0, np.int64)])
+    return np.concatenate([*runs, np.zeros(0, np.uint64)]), np.cumsum(sizes) - sizes, sizes
 
 
 def _blocks(batches, column: int):
     """(batch parts, token runs) with a bounded number of characters."""
     for batch in batches:
         texts = batch.column(column).to_pylist()
-        for part in chunks_of([t or "" for t in texts], _BLOCK * 4):
+        for part in chunks_of([t or "" for t in texts], _TEXT):
             yield batch.slice(part.start, part.stop - part.start), token_runs(texts[part])
 
 
