@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sceneframe.llm.common import remainder, settle
+from sceneframe.operators.scale import broadcast_if_small
 
 #: hashed n-gram dimensions
 DIMENSIONS = 4096
@@ -145,7 +146,8 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, k: int = CENTROIDS)
     few rows per language) and the n-gram weights reach the driver.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # a row per language: with the sizes at hand the texts are sampled where they are read
+    sizes = broadcast_if_small(settle(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))), text_columns=("lang",))
     spot = (F.xxhash64(F.col("doc_id"), F.lit(9)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     sample = known.join(sizes, "lang").where(spot < F.lit(float(training_rows)) / F.col("n")).select("lang", "text")
     rows = settle(sample.mapInArrow(_sparse_rows, "lang string, slots array<int>, counts array<float>"))
