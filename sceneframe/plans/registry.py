@@ -22,7 +22,7 @@ from sceneframe.streaming import jobs
 from sceneframe.streaming.snapshots import SnapshotTable
 
 #: alignment used by the projection queries
-ALIGN = (-2.9133, 2.6299, -2.31, 1.0)
+ALIGN = (4.3127, -1.8406, 12.75, 1.0)
 #: pose estimate used by the re-alignment queries
 ESTIMATE = (10.5, -4.25, 30.0)
 

@@ -234,13 +234,13 @@ def test_journeys(spark):
     assert [(r.journey_id, r.stop_no, r.zone, r.is_stop, r.error) for r in rows] == [
         (1, 1, "b", False, None), (1, 1, "c", True, None), (1, 2, "b", True, None), (2, 1, None, None, "No route to 'far'"),
         (3, 1, "b", True, None), (3, 2, None, None, "No route to 'attic'")]
-    way = [(1, i, f"enter room{i}", i == 4, "kitchen_area") for i in range(5)]
-    way[3] = (1, 3, "enter kitchen_area", False, "")
-    way += [(2, i, "exit hallway_0" if i == 4 else "x", i in (5, 8, 11), {5: "kitchen_area", 8: "elevator_area", 11: "lobby"}.get(i, ""))
+    way = [(1, i, f"enter room{i}", i == 4, "pump_room") for i in range(5)]
+    way[3] = (1, 3, "enter pump_room", False, "")
+    way += [(2, i, "exit gallery_2" if i == 4 else "x", i in (5, 8, 11), {5: "pump_room", 8: "loading_bay", 11: "foyer"}.get(i, ""))
             for i in range(12)]
     w = spark.createDataFrame(way, "journey_id long, idx int, action string, is_stop boolean, stop string")
     p = spark.createDataFrame([(1, 3), (2, 4)], "journey_id long, current_waypoint int")
     got = {r.journey_id: r for r in J.journey_status(w, p).collect()}
-    assert got[1].narration == "Waypoint 4 of 5: enter kitchen_area. 60.0% complete." and got[1].progress_percent == 60.0
-    assert got[2].narration == "Waypoint 5 of 12: exit hallway_0. (stop 1 of 3: kitchen_area) 33.3% complete."
+    assert got[1].narration == "Waypoint 4 of 5: enter pump_room. 60.0% complete." and got[1].progress_percent == 60.0
+    assert got[2].narration == "Waypoint 5 of 12: exit gallery_2. (stop 1 of 3: pump_room) 33.3% complete."
     assert (got[2].current_stop, got[2].total_stops) == (1, 3)
