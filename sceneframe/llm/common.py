@@ -62,6 +62,13 @@ def by_batch(step: Callable[[dict[str, list]], dict[str, Iterable]], schema: pa.
     return run
 
 
+def thin(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at one time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """A one-to-one mixing of 64-bit values."""
     a, b, c, p, q = _MIX

@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sceneframe.llm.common import settle
+from sceneframe.llm.common import settle, thin
 from sceneframe.operators.scale import broadcast_if_small
 
 #: elements that never hold main text, and those whose content is not markup
@@ -199,14 +199,14 @@ class Page:
 
 
 def _vote(batches):
-    for batch in batches:
+    for batch in thin(batches):
         found = [Page(h or "").best() for h in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p for p, _ in found], pa.string()),
                                           pa.array([s for _, s in found], pa.float64())], names=["host", "path", "score"])
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in thin(batches):
         paths, pages = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         texts = [Page(h or "").text(p) for p, h in zip(paths, pages)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),

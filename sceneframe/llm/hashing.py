@@ -50,7 +50,7 @@ def word_hashes(texts: list[bytes], lower: bool = False, apart: int = 32):
     return data, np.searchsorted(limits, start, side="right"), start, end, hashes
 
 
-def chunks_of(texts: list, size: int = 1 << 20):
+def chunks_of(texts: list, size: int = 1 << 19):
     """Slices of a list of texts with about ``size`` bytes or characters each (or one longer text)."""
     start, held = 0, 0
     for i, t in enumerate(texts):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sceneframe.llm.common import remainder, settle
+from sceneframe.llm.common import remainder, settle, thin
 from sceneframe.operators.scale import broadcast_if_small
 
 #: hashed n-gram dimensions
@@ -105,7 +105,7 @@ def blocks(texts: list[str]):
 
 def _sparse_rows(batches):
     schema = pa.schema([("lang", pa.string()), ("slots", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
-    for batch in batches:
+    for batch in thin(batches):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for part in blocks(texts):
             dense = count_vectors(texts[part])
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     kept = docs.select(*keep).schema
 
     def label(batches):
-        for batch in batches:
+        for batch in thin(batches):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             langs, scores, out = [], [], []
             for part in blocks(texts):

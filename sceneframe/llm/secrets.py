@@ -22,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sceneframe.llm.common import settle
+from sceneframe.llm.common import settle, thin
 
 #: fixed patterns: kind -> (pattern, least length of the secret part, its group)
 BASE = {
@@ -123,7 +123,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 def _scan(batches):
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
     maybe = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("length", pa.int32()), ("p", pa.float64())]))
-    for batch in batches:
+    for batch in thin(batches):
         base, more, hashes = [], [], []
         for text in batch.column(1).to_pylist():
             text = text or ""

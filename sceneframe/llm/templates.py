@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sceneframe.llm.common import scramble, settle, whole_groups
+from sceneframe.llm.common import scramble, settle, thin, whole_groups
 from sceneframe.llm.hashing import chunks_of, word_hashes
 from sceneframe.operators.scale import broadcast_if_small
 
@@ -86,7 +86,7 @@ def _tally(batches):
             [pa.array(leaf[at].view(np.int64)), pa.array(template[at].view(np.int64)), pa.array(seen, pa.int64()), pa.array(doc[at]),
              pa.array(line[at], pa.int32()), pa.array([small[b:b + k].tobytes() for b, k in zip(base[at].tolist(), n[at].tolist())], pa.binary())],
             schema=schema)
-    for batch in batches:
+    for batch in thin(batches):
         ids, texts = _ids(batch), _texts(batch)
         for part in chunks_of(texts):
             of, line, leaf, template, _, size, words = parse_lines(texts[part])
@@ -161,7 +161,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def _lines(batches):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("line", pa.int32()), ("template", pa.int64())])
-    for batch in batches:
+    for batch in thin(batches):
         ids, texts, hashes = _ids(batch), _texts(batch), batch.column(2).to_numpy()
         for part in chunks_of(texts):
             of, line, _, template, *_ = parse_lines(texts[part])

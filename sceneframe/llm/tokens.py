@@ -25,12 +25,12 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from sceneframe.llm.common import by_batch
+from sceneframe.llm.common import by_batch, thin
 
 #: above every rank
 _NONE = np.int64(1) << 40
 #: encoded chunks remembered by a worker; a bound on memory, results don't depend on it
-CACHED = 800_000
+CACHED = 250_000
 #: matches up to so many bytes are merged side by side
 _SHORT = 256
 
@@ -267,7 +267,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...]
     kept = docs.select(*keep).schema
 
     def step(batches):
-        for batch in batches:
+        for batch in thin(batches):
             bpe = _loaded(name, pattern)
             texts = batch.column(0).to_pylist()
             n, ids, back = [], [], []
