@@ -34,14 +34,18 @@ class SnapshotTable:
         return self.spark.read.parquet(f"{self.path}/data/version={version}")
 
     def merge(self, batch: DataFrame, batch_id: int,
-              reduce: Callable[[DataFrame], DataFrame]) -> None:
+              reduce: Callable[[DataFrame], DataFrame], known_wins=()) -> None:
         """New state = reduce(state before this batch, plus the batch).
 
-        ``reduce`` must return the columns of ``batch``.
+        ``reduce`` must return the columns of ``batch``.  With ``known_wins`` (key columns) a key that
+        is in the state already stays as it is, whatever the times of later messages.
         """
         before = self.last_version(before=batch_id)
         rows = reduce(batch)
-        if before is not None:
+        if before is not None and known_wins:
+            state = self.read(before)
+            rows = state.unionByName(rows.join(state.select(*known_wins), list(known_wins), "left_anti"), allowMissingColumns=True)
+        elif before is not None:
             rows = reduce(self.read(before).unionByName(rows, allowMissingColumns=True))
         self.write(rows, batch_id)
 

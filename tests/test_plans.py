@@ -79,6 +79,16 @@ def test_local_dialect(spark):
     assert lines.text.startswith('[tool] navigate_to_zone({"zone_name": "hallway"}) -> {"status":"goal_sent"')
 
 
+def test_lines_of_a_file_are_scenes(spark, tmp_path):
+    (tmp_path / "many.json").write_text(json.dumps(SCENE) + "\n\n" + json.dumps(dict(SCENE, zones=[])) + "\n")
+    scene = scenes.read_scene(spark, str(tmp_path / "many.json"), multi_line=False)
+    got = {}
+    for r in scene.objects.collect():
+        got.setdefault(r.scene_id, []).append(r.ord)
+    assert len(got) == 2 and all(sorted(v) == [0, 1, 2] for v in got.values()) and all(k.startswith("many#") for k in got)
+    assert scene.zones.select("scene_id").distinct().count() == 1
+
+
 def test_scene_without_data(spark):
     _, _, rows = _ask(spark, [("find_nearest", '{"object_type": "x"}'), ("list_zones", "{}"),
                                  ("list_objects", "{}"), ("navigate_to_zone", '{"zone_name": "kitchen"}')], scene=7)
