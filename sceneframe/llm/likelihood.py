@@ -18,6 +18,7 @@ and the model is the untrained one.
 
 from __future__ import annotations
 
+import heapq
 import math
 from typing import NamedTuple
 
@@ -148,9 +149,12 @@ def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights |
 
 
 def lanes_of(sizes: np.ndarray, lanes: int) -> list[list[int]]:
-    """Deal documents (by number of tokens) to lanes of about equal length, longest first."""
-    import heapq
-    heap = [(0, k) for k in range(min(lanes, max(1, len(sizes))))]
+    """Deal documents (by number of tokens) to lanes of about equal length, longest first.
+
+    No more lanes than it takes for all to be as long as the longest document: others would wait for it.
+    """
+    useful = -(-5 * int(sizes.sum()) // (4 * int(sizes.max()))) if len(sizes) else 1
+    heap = [(0, k) for k in range(min(lanes, max(1, min(useful, len(sizes)))))]
     out: list[list[int]] = [[] for _ in heap]
     for d in np.argsort(-sizes, kind="stable").tolist():
         held, k = heap[0]
