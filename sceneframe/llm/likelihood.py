@@ -7,9 +7,9 @@ of their own, inside which a token's probability comes from its count:
 
     P(token | past) = P(class | state) * P(token | class, state),
 
-with a gated recurrent unit for the state.  Training is truncated backpropagation in numpy: tasks train side by side on a
-fixed share of the training documents, from the same parameters, and the mean of their
-results begins the next round.  Scoring carries the state from window to window, so a document is scored
+with a gated recurrent unit for the state.  Training is truncated backpropagation in numpy, one pass over all training documents: the
+rounds part them by a hash of the id; in a round tasks train side by side, from the same parameters, and the
+mean of their results begins the next round.  Scoring carries the state from window to window, so a document is scored
 as a whole, whatever its length.
 
 A null text is only an end.  Repeated rows get equal scores.  Without training documents all counts are 0
@@ -36,8 +36,8 @@ SIZE = WORDS // CLASSES
 WIDTH = 16
 #: tokens whose counts every task holds (16 bytes each); others are looked up by a join
 HELD = 1 << 20
-#: training rounds; one of SHARE training documents is used in each, others in each round
-ROUNDS, SHARE = 2, 24
+#: training rounds; each has its own part of the training documents, together they have all
+ROUNDS = 2
 #: lanes and steps of a training window, and of a scoring window
 LANES, STEPS = 64, 24
 SCORE_LANES, SCORE_STEPS = 256, 64
@@ -129,22 +129,29 @@ def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights |
         grads.classes[...] += d.T @ wide
         back = d @ w.classes[:, :-1]
     order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[bounds[c]:bounds[c + 1]]
-        if not len(own):
-            continue
-        pick = (target[own] - 1) % SIZE
-        x = wide[own] @ w.words[c].T
-        if grads is None:
-            total[own] += _picked(x, pick)
-        else:
-            logs = _log_softmax(x)
-            total[own] += logs[np.arange(len(own)), pick]
-            d = np.exp(logs)
-            d[np.arange(len(own)), pick] -= 1
-            grads.words[c] += d.T @ wide[own]
-            back[own] += d @ w.words[c][:, :-1]
+    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    runs = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+    order = order[:bounds[-1]]
+    pick = (target[order] - 1) % SIZE
+    own = wide[order]
+    x = np.empty((len(order), SIZE), np.result_type(wide, w.words))
+    for c, run in runs:
+        np.matmul(own[run], w.words[c].T, out=x[run])
+    if not len(order):
+        pass
+    elif grads is None:
+        total[order] += _picked(x, pick)
+    else:
+        logs = _log_softmax(x)
+        rows = np.arange(len(order))
+        total[order] += logs[rows, pick]
+        d = np.exp(logs)
+        d[rows, pick] -= 1
+        lower = np.empty((len(order), WIDTH), back.dtype)
+        for c, run in runs:
+            grads.words[c] += d[run].T @ own[run]
+            np.matmul(d[run], w.words[c][:, :-1], out=lower[run])
+        back[order] += lower
     return total, back
 
 
@@ -220,8 +227,10 @@ def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
         grads = Weights(*(np.zeros_like(p) for p in w))
         saved, states = [], []
         for t in range(some.start, some.stop):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            x = np.where(fresh[t][:, None], np.float32(0), w.inputs[given[t]])
+            x = w.inputs[given[t]]
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+                x[fresh[t]] = 0
             before = h
             h, z, r, n, u = gru_step(x, before, w.state)
             saved.append((before, z, r, n, u))
@@ -233,6 +242,7 @@ def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
         upper[live] = back
         upper = upper.reshape(len(states), -1, WIDTH)
         carry = np.zeros_like(h)
+        throughs, gates = (np.empty((len(states), h.shape[0], 3 * WIDTH), h.dtype) for _ in range(2))
         count = max(1, int(live.sum()))
         for k in range(len(states) - 1, -1, -1):
             before, z, r, n, u = saved[k]
@@ -242,14 +252,23 @@ def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
             dr = dn * u * r * (1 - r)
             gate = np.concatenate([dz, dr, dn], axis=1)
             through = np.concatenate([dz, dr, dn * r], axis=1)
-            grads.state[...] += before.T @ through
-            new = fresh[begin + k]
-            np.add.at(grads.inputs, given[begin + k][~new], gate[~new])
-            carry = (d * z + through @ w.state.T) * ~new[:, None]
+            throughs[k], gates[k] = through, gate
+            carry = d * z + through @ w.state.T
+            carry[fresh[begin + k]] = 0
+        grads.state[...] = np.concatenate([x[0] for x in saved]).T @ throughs.reshape(-1, 3 * WIDTH)
+        old = ~fresh[some].ravel()
+        used, which = given[some].ravel()[old], gates.reshape(-1, 3 * WIDTH)[old]
+        order = np.argsort(used, kind="stable")
+        if len(order):
+            starts_of = np.flatnonzero(np.r_[True, np.diff(used[order]) != 0])
+            grads.inputs[used[order][starts_of]] = np.add.reduceat(which[order], starts_of, axis=0)
         for p, g, s in zip(w, grads, squares):
-            g = np.clip(g / count * 32, -1, 1)
+            g *= np.float32(32 / count)
+            np.clip(g, -1, 1, out=g)
             s += g * g
-            p -= RATE * g / np.sqrt(s)
+            g *= np.float32(RATE)
+            g /= np.sqrt(s)
+            p -= g
     return w
 
 
@@ -356,17 +375,17 @@ def _mean(key, table):
     return pa.table({"weight": pa.array([float(weight.sum())]), "flat": pa.array([(total / weight.sum()).astype(np.float32)], pa.list_(pa.float32()))})
 
 
-def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = SHARE) -> Weights:
-    """Train on the given documents.  Each task's weights (half a megabyte) are averaged in groups, then on the driver."""
+def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Weights:
+    """Train on the given documents, on each in one of the rounds.  Each task's weights (half a megabyte) are averaged in groups, then on the driver."""
     sc = docs.sparkSession.sparkContext
     top = np.zeros(WORDS)
     own = v.ranks < WORDS
     top[v.ranks[own]] = v.counts[own]
     w = first_weights(top, v.tokens - v.known)
     shared = sc.broadcast(v)
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(share))
+    slot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds))
     for k in range(rounds):
-        part = docs.where(slot == k % share).select("text")
+        part = docs.where(slot == k).select("text")
         groups = max(1, math.isqrt(part.rdd.getNumPartitions()))
         results = (part.mapInArrow(_trainer(shared, sc.broadcast(w.flat())), "weight double, flat array<float>")
                    .withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))

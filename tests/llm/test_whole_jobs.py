@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import plain
+from sceneframe.llm import likelihood
 
 
 def test_near_copies_of_the_pipeline(spark):
@@ -12,3 +13,15 @@ def test_near_copies_of_the_pipeline(spark):
     rows = [(1, " ".join(base)), (2, " ".join([*base[:20], "other", *base[21:]])), (3, plain.sentence(random.Random(1), "en", 50))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.without_copies(spark, docs, "").collect()) == [1, 3]
+
+
+def test_all_training_documents_reach_the_model(spark):
+    """Every document has a word of its own; input weights move only for words that were trained on."""
+    import numpy as np
+    docs = spark.createDataFrame([(i, f"own{i} own{i} own{i} end") for i in range(60)], "doc_id long, text string").repartition(3)
+    v = likelihood.vocabulary(likelihood.count_tokens(docs).cache())
+    top = np.zeros(likelihood.WORDS)
+    top[v.ranks] = v.counts
+    moved = np.abs(likelihood.fit(docs, v).inputs - likelihood.first_weights(top, v.tokens - v.known).inputs).max(axis=1) > 0
+    own, _, _ = likelihood.token_runs([f"own{i}" for i in range(60)])
+    assert moved[v.ids(v.find(own[::2]))].all()
