@@ -5,6 +5,7 @@ characters inside words).  Every language is described by a few centroids, found
 by spherical k-means among its training vectors; a text takes the language of the
 centroid with the highest cosine.  A text whose cosine lies far below what texts of
 its length reach in training is *rejected*: its language is none of those learned.
+What is usual for a length, and how common an n-gram is, is counted over all training texts.
 
 Nulls and texts without a letter get ``und``, score 0 and are rejected.  Repeated rows get equal
 answers, ties go to the alphabetically first language.  With no training rows every
@@ -28,8 +29,10 @@ from sceneframe.operators.scale import broadcast_if_small
 DIMENSIONS = 4096
 #: centroids per language
 CENTROIDS = 3
-#: expected number of training texts per language; the classifier is fitted on a sample of this size
+#: expected number of training texts per language; the centroids are fitted on a sample of this size
 TRAINING_ROWS = 400
+#: training texts a length class needs for a floor of its own
+CLASS_ROWS = 20
 #: standard deviations below the usual cosine at which a text is rejected
 REJECT_SIGMAS = 6.0
 #: characters vectorised at once
@@ -141,44 +144,62 @@ def _clusterer(idf: np.ndarray, k: int):
 def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, k: int = CENTROIDS) -> Model:
     """Learn from ``doc_id``, ``text`` and ``lang`` of the given rows.
 
-    At most about ``training_rows`` texts per language, chosen by a hash of the id, are
-    vectorised; their statistics and k-means run in Spark, only the centroids (a
-    few rows per language) and the n-gram weights reach the driver.
+    The centroids come from at most about ``training_rows`` texts per language, chosen by a hash
+    of the id; n-gram weights and floors from all rows.  Statistics and k-means run in Spark, only the
+    centroids (a few rows per language), the n-gram weights and a row per length class reach the driver.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     # a row per language: with the sizes at hand the texts are sampled where they are read
-    sizes = broadcast_if_small(settle(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))), text_columns=("lang",))
+    by_lang = settle(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sizes = broadcast_if_small(by_lang, text_columns=("lang",))
     spot = (F.xxhash64(F.col("doc_id"), F.lit(9)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     sample = known.join(sizes, "lang").where(spot < F.lit(float(training_rows)) / F.col("n")).select("lang", "text")
     rows = settle(sample.mapInArrow(_sparse_rows, "lang string, slots array<int>, counts array<float>"))
-    total = rows.count()
     idf = np.full(DIMENSIONS, np.log(1.0 + total) + 1, np.float32)
-    for r in rows.select(F.explode("slots").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in known.select("text").mapInArrow(_slot_rows, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():
         idf[r["s"]] = np.log((1.0 + total) / (1.0 + r["n"])) + 1
     found = rows.groupBy("lang").applyInArrow(_clusterer(idf, k), "lang string, centroid array<float>").collect()
     found.sort(key=lambda r: (r["lang"], r["centroid"]))
     centroids = np.array([r["centroid"] for r in found], np.float32).reshape(len(found), DIMENSIONS)
     model = Model([r["lang"] for r in found], centroids, idf, np.zeros(25, np.float32))
-    return model._replace(floors=_floors(rows, model))
+    return model._replace(floors=_floors(known.select("text"), model))
 
 
-def _floors(rows: DataFrame, model: Model) -> np.ndarray:
-    """Mean less REJECT_SIGMAS deviations of the training cosines, by length class."""
+def _slot_rows(batches):
+    """For each dimension the number of a task's texts that have it."""
+    held = np.zeros(DIMENSIONS, np.int64)
+    for batch in thin(batches):
+        texts = batch.column(0).to_pylist()
+        for part in blocks(texts):
+            held += np.count_nonzero(count_vectors(texts[part]), axis=0)
+    slots = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(held[slots])], names=["s", "n"])
+
+
+def _floors(texts: DataFrame, model: Model) -> np.ndarray:
+    """Mean less REJECT_SIGMAS deviations of all training cosines, by length class.
+
+    A class with too few texts has the floor of the nearest class with enough (of two, the lower one).
+    Texts without a letter have no cosine and don't count.
+    """
     def measure(batches):
-        for batch in batches:
-            dense = np.zeros((batch.num_rows, DIMENSIONS), np.float32)
-            for row, (s, c) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                dense[row, s] = c
-            best = (unit_vectors(dense, model.idf) @ model.centroids.T).max(axis=1).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(length_class(dense), pa.int32()), pa.array(best)],
-                                             names=["length", "cosine"])
+        for batch in thin(batches):
+            texts = batch.column(0).to_pylist()
+            for part in blocks(texts):
+                counts = count_vectors(texts[part])
+                some = counts.any(axis=1)
+                best = (unit_vectors(counts, model.idf) @ model.centroids.T).max(axis=1).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(length_class(counts)[some], pa.int32()), pa.array(best[some])],
+                                                 names=["length", "cosine"])
     floors = np.zeros(25, np.float32)
     if model.langs:
-        stats = (rows.mapInArrow(measure, "length int, cosine double").groupBy("length")
+        stats = (texts.mapInArrow(measure, "length int, cosine double").groupBy("length")
                  .agg(F.count(F.lit(1)).alias("n"), F.avg("cosine").alias("m"), F.stddev_pop("cosine").alias("d")))
-        for r in stats.collect():
-            if r["n"] >= 20:
-                floors[r["length"]] = max(0.0, r["m"] - REJECT_SIGMAS * max(r["d"], 0.02))
+        own = {r["length"]: max(0.0, r["m"] - REJECT_SIGMAS * max(r["d"], 0.02)) for r in stats.collect() if r["n"] >= CLASS_ROWS}
+        for c in range(len(floors) if own else 0):
+            least = min(abs(c - x) for x in own)
+            floors[c] = min(f for x, f in own.items() if abs(c - x) == least)
     return floors
 
 

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import plain
-from sceneframe.llm import likelihood
+from sceneframe.llm import language, likelihood
 
 
 def test_near_copies_of_the_pipeline(spark):
@@ -25,3 +25,21 @@ def test_all_training_documents_reach_the_model(spark):
     moved = np.abs(likelihood.fit(docs, v).inputs - likelihood.first_weights(top, v.tokens - v.known).inputs).max(axis=1) > 0
     own, _, _ = likelihood.token_runs([f"own{i}" for i in range(60)])
     assert moved[v.ids(v.find(own[::2]))].all()
+
+
+def test_lengths_that_the_sample_lacks_are_rejected_too(spark):
+    """All training texts are of one length; a shorter and a longer one in another script are none of the languages."""
+    rng = random.Random(4)
+    rows = [(i, plain.sentence(rng, lang := ["en", "de"][i % 2], 30), lang) for i in range(120)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = [(1, "слова на другом языке"), (2, "слова другого языка всегда стоят здесь " * 400), (3, rows[0][1])]
+    found = {r.doc_id: r.rejected for r in language.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert found == {1: True, 2: True, 3: False}
+
+
+def test_floors_come_from_all_training_texts(spark):
+    """A sample of a few texts per language has no length class with enough rows, all texts together have."""
+    rng = random.Random(6)
+    rows = [(i, plain.sentence(rng, lang := ["en", "de"][i % 2], 30), lang) for i in range(120)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), training_rows=8)
+    assert (model.floors > 0).all()
