@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sceneframe.llm.common import scramble, settle, thin, whole_groups
+from sceneframe.llm.common import scramble, settle, thin
 from sceneframe.llm.hashing import chunks_of, word_hashes
 from sceneframe.operators.scale import broadcast_if_small
 
@@ -28,8 +28,8 @@ MIN_DOCS = 10
 DEPTH = 3
 #: least share of a line's words that are constants of its leaf's template
 ALIKE = 0.7
-#: documents of equal lines a task counts together before they are shuffled
-_HELD = 4000
+#: documents, and words of them, whose equal lines a task counts together before they are shuffled
+_HELD, _HELD_WORDS = 4000, 1 << 22
 _FIELD = np.uint64(0x5851F42D4C957F2D)
 _NO_ID = np.iinfo(np.int64).max
 
@@ -66,97 +66,103 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode() for t in batch.column(1).to_pylist()]
 
 
-def _tally(batches):
-    """Rows (leaf, template, docs, doc_id, line, words): equal lines of a run of documents counted together."""
-    schema = pa.schema([("leaf", pa.int64()), ("template", pa.int64()), ("docs", pa.int64()), ("doc_id", pa.int64()),
-                        ("line", pa.int32()), ("words", pa.binary())])
-    held: list[tuple] = []
-    docs = 0
-
-    def flush():
-        leaf, template, doc, line, n, words = (np.concatenate([h[k] for h in held]) for k in range(6))
-        base = np.cumsum(np.r_[0, n])[:-1]
-        order = np.lexsort((line, doc, template))
-        key = template[order]
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        seen = np.diff(np.r_[new, len(key)])
-        at = order[new]
-        small = (words >> np.uint64(48)).astype(np.uint16)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(leaf[at].view(np.int64)), pa.array(template[at].view(np.int64)), pa.array(seen, pa.int64()), pa.array(doc[at]),
-             pa.array(line[at], pa.int32()), pa.array([small[b:b + k].tobytes() for b, k in zip(base[at].tolist(), n[at].tolist())], pa.binary())],
-            schema=schema)
-    for batch in thin(batches):
-        ids, texts = _ids(batch), _texts(batch)
-        for part in chunks_of(texts):
-            of, line, leaf, template, _, size, words = parse_lines(texts[part])
-            if not len(of):
-                continue
-            order = np.lexsort((template, of))              # a document's equal lines, the first one first
-            new = np.r_[True, (of[order][1:] != of[order][:-1]) | (template[order][1:] != template[order][:-1])]
-            once = np.sort(order[new])
-            keep = np.zeros(len(of), bool)
-            keep[once] = True
-            keep = np.repeat(keep, size)
-            held.append((leaf[once], template[once], ids[part][of[once]], line[once], size[once], words[keep]))
-            docs += part.stop - part.start
-            if docs >= _HELD:
-                yield flush()
-                held, docs = [], 0
-    if held:
-        yield flush()
-
-
-def _judge(min_docs: int):
-    """Recurring templates from rows (leaf, template, docs, doc_id, line, words) sorted by leaf.
-
-    Gives (leaf, template, doc_id, line): the template's own hash, its first document and line.  Lines of a leaf that
-    only recur together get one row each, all with the leaf's first line.
+def _tally(worded: bool):
+    """Rows (leaf, template, docs, doc_id, line): equal lines of a run of documents counted together.
+
+    ``worded`` rows are (leaf, template, docs, words) instead, with the 64-bit hashes of the words.
     """
     def run(batches):
-        schema = pa.schema([("leaf", pa.int64()), ("template", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
-        for table in whole_groups(batches):
-            leaf, template, docs, doc, line = (table.column(c).to_numpy() for c in range(5))
-            starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
-            busy = np.add.reduceat(docs, starts) >= min_docs
-            out: list[tuple] = []
-            stops = np.r_[starts[1:], len(leaf)]
-            for begin, end in zip(starts[busy].tolist(), stops[busy].tolist()):
-                own, kind = np.unique(template[begin:end], return_inverse=True)
-                seen = np.bincount(kind, weights=docs[begin:end]).astype(np.int64)
-                order = np.lexsort((line[begin:end], doc[begin:end]))[::-1]
-                first = np.zeros(len(own), int)
-                first[kind[order]] = order + begin                       # the least (doc, line) is written last
-                group = np.arange(len(own))
-                width = len(table.column(5)[begin].as_py()) // 2
-                if len(own) > 1:
-                    grid = np.frombuffer(b"".join(table.column(5)[int(r)].as_py() for r in first), np.uint16).reshape(len(own), width)
-                    constant = np.zeros(len(own), int)
-                    for p in range(width):
-                        values, which = np.unique(grid[:, p], return_inverse=True)
-                        share = np.bincount(which, weights=seen)
-                        top = int(share.argmax())
-                        if 2 * share[top] > seen.sum():
-                            constant += which == top
-                    alike = (constant >= ALIKE * width) & (constant > min(DEPTH, width))
-                    if alike.any():
-                        group[alike] = int(np.flatnonzero(alike)[0])
-                total = np.bincount(group, weights=seen, minlength=len(own))
-                for g in np.flatnonzero(total >= min_docs).tolist():
-                    members = np.flatnonzero(group == g)
-                    head = min((first[m] for m in members), key=lambda r: (doc[r], line[r]))
-                    out += [(leaf[begin], own[m], doc[head], line[head]) for m in members]
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+        held: list[tuple] = []
+        docs = 0
+
+        def flush():
+            leaf, template, doc, line, n, words = (np.concatenate([h[k] for h in held]) for k in range(6))
+            base = np.cumsum(np.r_[0, n])[:-1]
+            order = np.lexsort((line, doc, template))
+            key = template[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            seen = np.diff(np.r_[new, len(key)])
+            at = order[new]
+            columns = {"leaf": pa.array(leaf[at].view(np.int64)), "template": pa.array(template[at].view(np.int64)), "docs": pa.array(seen, pa.int64())}
+            if not worded:
+                yield pa.RecordBatch.from_pydict(columns | {"doc_id": pa.array(doc[at]), "line": pa.array(line[at], pa.int32())})
+                return
+            sizes = n[at]
+            for part in chunks_of([range(k) for k in sizes.tolist()], 1 << 20):
+                size = sizes[part]
+                starts = np.cumsum(np.r_[0, size])
+                place = np.arange(starts[-1]) + np.repeat(base[at[part]] - starts[:-1], size)
+                listed = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(words[place].view(np.int64)))
+                yield pa.RecordBatch.from_pydict({k: c[part.start:part.stop] for k, c in columns.items()} | {"words": listed})
+        for batch in thin(batches):
+            ids, texts = _ids(batch), _texts(batch)
+            for part in chunks_of(texts):
+                of, line, leaf, template, _, size, words = parse_lines(texts[part])
+                if not len(of):
+                    continue
+                once = _once(of, template)
+                keep = np.zeros(len(of), bool)
+                keep[once] = True
+                kept = words[np.repeat(keep, size)] if worded else words[:0]
+                held.append((leaf[once], template[once], ids[part][of[once]], line[once], size[once], kept))
+                docs += part.stop - part.start
+                if docs >= _HELD or sum(len(h[5]) for h in held) > _HELD_WORDS:
+                    yield from flush()
+                    held, docs = [], 0
+        if held:
+            yield from flush()
     return run
 
 
+def _once(of: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Places of the first of each document's equal lines."""
+    order = np.lexsort((template, of))
+    new = np.r_[True, (of[order][1:] != of[order][:-1]) | (template[order][1:] != template[order][:-1])]
+    return np.sort(order[new])
+
+
+def _constants(lines: DataFrame) -> DataFrame:
+    """``(leaf, constants)``: per word position the word that holds a majority, or null, from ``(leaf, total, docs, words)``."""
+    votes = (lines.select("leaf", "total", "docs", F.posexplode("words").alias("place", "word"))
+             .groupBy("leaf", "total", "place", "word").agg(F.sum("docs").alias("votes"))
+             .groupBy("leaf", "total", "place").agg(F.max("votes").alias("votes"), F.max_by("word", "votes").alias("word")))
+    majority = F.when(2 * F.col("votes") > F.col("total"), F.col("word"))
+    return (votes.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", majority.alias("word")))).alias("x"))
+            .select("leaf", F.col("x.word").alias("constants")))
+
+
+def _alike(docs: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
+    """``(leaf, template)`` of the lines that have enough of their leaf's constants.
+
+    Only leaves of several templates and of lines enough take part.  No leaf is gathered: words are
+    counted by leaf and position, and each line meets the row of its leaf's constants.
+    """
+    leaves = settle(kinds.groupBy("leaf").agg(F.sum("docs").alias("total"), F.count(F.lit(1)).alias("own"))
+                    .where((F.col("total") >= min_docs) & (F.col("own") > 1)).select("leaf", "total"))
+    lines = settle(docs.select("doc_id", "text").mapInArrow(_tally(True), "leaf long, template long, docs long, words array<long>")
+                   .join(broadcast_if_small(leaves), "leaf"))
+    constants = broadcast_if_small(settle(_constants(lines)), edge_columns=("constants",))
+    width = F.size("words")
+    same = F.size(F.filter(F.zip_with("words", "constants", lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+    return (lines.join(constants, "leaf").where((same >= F.lit(ALIKE) * width) & (same > F.least(F.lit(DEPTH), width)))
+            .select("leaf", "template").distinct())
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``(leaf, template, first_doc, first_line)`` of the lines to drop."""
-    return (docs.select("doc_id", "text")
-            .mapInArrow(_tally, "leaf long, template long, docs long, doc_id long, line int, words binary")
-            .repartition("leaf").sortWithinPartitions("leaf")
-            .mapInArrow(_judge(min_docs), "leaf long, template long, first_doc long, first_line int"))
+    """``(leaf, template, first_doc, first_line)`` of the lines to drop.
+
+    Lines of a leaf that only recur together get one row each, all with the first line of them.
+    """
+    kinds = settle(docs.select("doc_id", "text").mapInArrow(_tally(False), "leaf long, template long, docs long, doc_id long, line int")
+                   .groupBy("leaf", "template").agg(F.sum("docs").alias("docs"), F.min(F.struct("doc_id", "line")).alias("head")))
+    alike = settle(_alike(docs, kinds, min_docs))
+    own = broadcast_if_small(alike)
+    single = kinds.where(F.col("docs") >= min_docs).join(own, ["leaf", "template"], "left_anti").select("leaf", "template", "head")
+    members = settle(kinds.join(own, ["leaf", "template"]))
+    groups = (members.groupBy("leaf").agg(F.sum("docs").alias("n"), F.min("head").alias("head"))
+              .where(F.col("n") >= min_docs).select("leaf", "head"))
+    several = members.select("leaf", "template").join(broadcast_if_small(settle(groups)), "leaf").select("leaf", "template", "head")
+    return single.unionByName(several).select("leaf", "template", F.col("head.doc_id").alias("first_doc"), F.col("head.line").alias("first_line"))
 
 
 def _lines(batches):

@@ -4,7 +4,8 @@ import random
 
 import corpus_pipeline
 import plain
-from sceneframe.llm import language, likelihood
+from sceneframe.llm import language, likelihood, templates
+from sceneframe.llm.hashing import word_hashes
 
 
 def test_near_copies_of_the_pipeline(spark):
@@ -43,3 +44,20 @@ def test_floors_come_from_all_training_texts(spark):
     rows = [(i, plain.sentence(rng, lang := ["en", "de"][i % 2], 30), lang) for i in range(120)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), training_rows=8)
     assert (model.floors > 0).all()
+
+
+def dropped(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r._n_dropped for r in templates.drop_recurring(docs).collect()}
+
+
+def test_constants_are_compared_by_whole_hashes(spark):
+    """A word that shares the first 16 bits of a constant's hash is another word: its line has six constants of ten."""
+    tries = [b"line", *(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}".encode() for k in range(26 ** 4))]
+    hashes = word_hashes([b" ".join(tries)])[4]
+    twin = tries[1 + int((hashes[1:] >> 48 == hashes[0] >> 48).argmax())].decode()
+    assert hashes[1 + tries[1:].index(twin.encode())] >> 48 == hashes[0] >> 48
+    letters = "abcdefghijklmnop"
+    rows = [(k, f"all the words of this log line {c}x {c}y {c}z") for k, c in enumerate(letters)]
+    found = dropped(spark, [*rows, (99, f"all the words of this log {twin} q r s")])
+    assert found == {0: 0, **{k: 1 for k in range(1, len(letters))}, 99: 0}
