@@ -4,7 +4,7 @@ A line is parsed down a tree of fixed depth: its number of words, then its leadi
 hold a digit are variable fields and count as one symbol.  The lines that reach a leaf share a template:
 word positions at which one word holds a majority are constant, all others are variable fields.  A line
 belongs to its leaf's template if enough of its words are constants; otherwise its own words are its
-template.  Templates found in at least ``min_docs`` documents recur: their lines are dropped, save
+template.  Templates found in at least ``min_docs`` different documents recur: their lines are dropped, save
 the first one (by document id, then line), so that no text vanishes from the corpus altogether.
 
 Blank lines are kept and never counted.  A null text stays null and has no lines; an empty one stays
@@ -148,6 +148,17 @@ def _alike(docs: DataFrame, kinds: DataFrame, min_docs: int) -> DataFrame:
             .select("leaf", "template").distinct())
 
 
+def _held_lines(batches):
+    """The distinct lines of each row."""
+    for batch in thin(batches):
+        rows, texts = batch.column(0).to_numpy(), _texts(batch)
+        for part in chunks_of(texts):
+            of, _, _, template, *_ = parse_lines(texts[part])
+            if len(of):
+                once = _once(of, template)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[part][of[once]]), pa.array(template[once].view(np.int64))], names=["row", "template"])
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """``(leaf, template, first_doc, first_line)`` of the lines to drop.
 
@@ -159,8 +170,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     own = broadcast_if_small(alike)
     single = kinds.where(F.col("docs") >= min_docs).join(own, ["leaf", "template"], "left_anti").select("leaf", "template", "head")
     members = settle(kinds.join(own, ["leaf", "template"]))
-    groups = (members.groupBy("leaf").agg(F.sum("docs").alias("n"), F.min("head").alias("head"))
-              .where(F.col("n") >= min_docs).select("leaf", "head"))
+    # the sum of the lines' documents is a bound: a document may hold several lines of a group
+    groups = members.groupBy("leaf").agg(F.sum("docs").alias("n"), F.min("head").alias("head")).where(F.col("n") >= min_docs).select("leaf", "head")
+    groups = broadcast_if_small(settle(groups))
+    asked = broadcast_if_small(settle(members.select("leaf", "template").join(groups, "leaf").select("leaf", "template")))
+    holders = (docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_held_lines, "row long, template long")
+               .join(asked, "template").select("leaf", "row").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("n")))
+    groups = groups.join(holders.where(F.col("n") >= min_docs).select("leaf"), "leaf")
     several = members.select("leaf", "template").join(broadcast_if_small(settle(groups)), "leaf").select("leaf", "template", "head")
     return single.unionByName(several).select("leaf", "template", F.col("head.doc_id").alias("first_doc"), F.col("head.line").alias("first_line"))
 

@@ -61,3 +61,12 @@ def test_constants_are_compared_by_whole_hashes(spark):
     rows = [(k, f"all the words of this log line {c}x {c}y {c}z") for k, c in enumerate(letters)]
     found = dropped(spark, [*rows, (99, f"all the words of this log {twin} q r s")])
     assert found == {0: 0, **{k: 1 for k in range(1, len(letters))}, 99: 0}
+
+
+def test_templates_count_documents_not_lines(spark):
+    """Ten alike lines of one document are no template; with the line of nine more documents they are."""
+    towns = ["Rome", "Paris", "Oslo", "Bern", "Cairo", "Lima", "Quito", "Riga", "Minsk", "Sofia"]
+    line = "The capital city of {} is a very nice town".format
+    alone = [(1, "\n".join(map(line, towns))), (2, line("Accra"))]
+    assert dropped(spark, alone) == {1: 0, 2: 0}
+    assert dropped(spark, [*alone, *((3 + k, line(f"Town{'abcdefgh'[k]}")) for k in range(8))]) == {1: 9, **{k: 1 for k in range(2, 11)}}
