@@ -7,6 +7,8 @@ belongs to its leaf's template if enough of its words are constants; otherwise i
 template.  Templates found in at least ``min_docs`` different documents recur: their lines are dropped, save
 the first one (by document id, then line), so that no text vanishes from the corpus altogether.
 
+The unit is the whole line: passages repeated inside longer lines are not found.
+
 Blank lines are kept and never counted.  A null text stays null and has no lines; an empty one stays
 empty.  Repeated rows count as documents of their own and get equal results, equal lines
 of one document count once.  Null ids come after all others.
