@@ -128,7 +128,7 @@ def train(docs: DataFrame, name: str, end_id: int) -> tuple[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary()), pa.array([encoder.kind.itemsize], pa.int32())], names=["data", "width"])
 
     found = sample.coalesce(1).mapInArrow(step, "data binary, width int").first()
-    return bytes(found.data), found.width
+    return (bytes(found.data), found.width) if found else (b"", 4)     # an empty table may have no task at all
 
 
 def _dictionary(data: bytes) -> dict:
