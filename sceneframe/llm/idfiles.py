@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import lru_cache
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sceneframe.llm.common import thin
 from sceneframe.llm.ordering import by_ranges, numbered_input
 
-#: documents that the dictionary is trained on, those with the smallest hashes, and their largest length: short documents are what it is for
+#: documents that the dictionary is trained on (about as many: a share of the table by a hash, of which the short ones count), and
+#: their largest length: short documents are what it is for
 SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8192
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+_HASHES = 1 << 40
 #: a shard ends at so many documents or bytes of frames
 SHARD_DOCS, SHARD_BYTES = 512, 1 << 20
 #: bytes of chunks and their ids that a worker remembers; results don't depend on it
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 192 << 20
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                      ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary()), ("dictionary_sha256", pa.string())])
 _SHARDS_DDL = ("part int, shard int, first_id long, last_id long, start long, n_tokens long, doc_ids array<long>, sizes array<int>, "
@@ -84,7 +86,11 @@ class Encoder:
             self.cache = dict(islice(self.cache.items(), len(self.cache) // 3))    # the first third holds the frequent pieces
             self.held = sum(len(k) + len(v) + 150 for k, v in self.cache.items())
         known, single = self.cache, [p[0] for p in split if len(p) == 1]
-        new = list(set().union(*(p for p in split if len(p) > 1)).difference(known))
+        missing: set[str] = set()
+        for pieces in split:
+            if len(pieces) > 1:
+                missing.update(filterfalse(known.__contains__, pieces))
+        new = list(missing)
         for start in range(0, len(new), 4096):
             some = new[start:start + 4096]
             for piece, ids in zip(some, self._ids(some)):
@@ -115,8 +121,10 @@ def train(docs: DataFrame, name: str, end_id: int) -> tuple[bytes, int]:
 
     A table with too little to train on gives a dictionary without content.
     """
-    sample = (numbered_input(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).where(F.length("text").between(1, SAMPLE_CHARS))
-              .orderBy(F.xxhash64("doc_id", "text", "_tie"), "_tie").limit(SAMPLE_DOCS).select("text"))
+    short = (numbered_input(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).where(F.length("text").between(1, SAMPLE_CHARS))
+             .select("text", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(_HASHES)).alias("_hash")))
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    sample = short.where(F.col("_hash") < int(share * _HASHES)).select("text")
 
     def step(batches):
         encoder = _encoder(name, end_id)
