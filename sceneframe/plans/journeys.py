@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sceneframe.functions import geometry as G
 from sceneframe.functions.rounding import py_round
 from sceneframe.functions.text import name_key
 from sceneframe.operators.containment import cell_no, level_of
-from sceneframe.operators.scale import checkpoint
+from sceneframe.operators.scale import broadcast_if_small, checkpoint
+
+#: steps of a tree between two looks at what is still wanted
+LEAP = 12
 
 
 def _boundaries_meet(a, b, gap: float):
@@ -61,37 +66,80 @@ def zone_adjacency(zones: DataFrame, max_gap: float = 1.0) -> DataFrame:
     return a.join(b, cond).select("scene_id", F.col("a_zord").alias("a"), F.col("b_zord").alias("b"))
 
 
+def zone_trees(roots: DataFrame, adjacency: DataFrame, pending) -> DataFrame:
+    """(scene_id, root, node, dist, link): breadth-first trees, one row per zone and root.
+
+    ``link`` is the neighbour one step nearer to the root, of several the one with the lowest number, so that
+    following links gives the path with the fewest zones and then the lowest numbers.
+    ``roots`` has (scene_id, root); ``pending(trees)`` returns the roots that still lack a zone they want.
+
+    A leap takes LEAP steps in one stage: trees stay partitioned by their root, a step joins the
+    last zones with their (broadcast, if proven small) neighbours and keeps the least (dist, link) per zone.
+    Between leaps finished and exhausted roots leave.
+    """
+    move = lambda at, to, stay: F.struct(F.col(at).alias("_at"), F.col(to).alias("next"), F.lit(stay).alias("stay"))
+    moves = broadcast_if_small(checkpoint(adjacency.select(F.col("scene_id").alias("_scene"), F.explode(F.array(
+        move("a", "b", False), move("b", "a", False), move("a", "a", True), move("b", "b", True))).alias("m")).select("_scene", "m.*").distinct()))
+    growing = (roots.select("scene_id", "root", F.col("root").alias("node"), F.lit(0).alias("dist"), F.lit(None).cast("long").alias("link"))
+               .repartition("scene_id", "root"))
+    done, level = None, 0
+    while True:
+        for dist in range(level, level + LEAP):
+            moved = growing.join(moves, (F.col("scene_id") == F.col("_scene")) & (F.col("node") == F.col("_at"))
+                                 & (F.col("stay") | (F.col("dist") == dist)), "left")
+            kept = F.coalesce(F.col("stay"), F.lit(True))
+            growing = (moved.select("scene_id", "root", F.coalesce("next", "node").alias("node"),
+                                    F.struct(F.when(kept, F.col("dist")).otherwise(dist + 1).alias("dist"),
+                                             F.when(kept, F.col("link")).otherwise(F.col("node")).alias("link")).alias("_nearest"))
+                       .groupBy("scene_id", "root", "node").agg(F.min("_nearest").alias("_nearest")).select("scene_id", "root", "node", "_nearest.*"))
+        level += LEAP
+        growing = checkpoint(growing)
+        if growing.agg(F.max("dist")).first()[0] != level:
+            return growing if done is None else done.unionByName(growing)
+        grown = growing.where(F.col("dist") == level).select("scene_id", "root").distinct()
+        left = checkpoint(pending(growing).join(grown, ["scene_id", "root"], "left_semi"))
+        if left.isEmpty():
+            return growing if done is None else done.unionByName(growing)
+        finished = growing.join(left, ["scene_id", "root"], "left_anti")
+        done = checkpoint(finished if done is None else done.unionByName(finished))
+        growing = growing.join(left, ["scene_id", "root"], "left_semi").repartition("scene_id", "root")
+
+
+def _followed(key, legs: pa.Table, tree: pa.Table) -> pa.Table:
+    """The paths of all legs to one root, by pointer doubling over its links."""
+    nodes, dist = tree.column("node").to_numpy(), tree.column("dist").to_numpy()
+    order = np.argsort(nodes)
+    nodes, dist = nodes[order], dist[order]
+    jump = np.searchsorted(nodes, tree.column("link").fill_null(key[1].as_py()).to_numpy()[order])     # the root stays where it is
+    sources = legs.column("source").to_numpy()
+    sources = sources[np.isin(sources, nodes)]
+    places = np.searchsorted(nodes, sources)[:, None]
+    longest = dist[places].max(initial=0)
+    while places.shape[1] <= longest:                   # a jump leads as many steps ahead as there are places
+        places, jump = np.concatenate([places, jump[places]], axis=1), jump[jump]
+    hops = dist[places[:, 0]]
+    leg, hop = np.nonzero(np.arange(places.shape[1]) <= hops[:, None])
+    return pa.table({"scene_id": pa.array([key[0].as_py()] * len(leg), key[0].type), "source": pa.array(sources[leg], pa.int64()),
+                     "target": pa.array([key[1].as_py()] * len(leg), pa.int64()), "hop": pa.array(hop, pa.int32()),
+                     "node": pa.array(nodes[places[leg, hop]], pa.int64()), "hops": pa.array(hops[leg], pa.int32())})
+
+
 def shortest_zone_paths(legs: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """(scene_id, source, target, path): fewest zones, then lowest zone numbers.
+    """(scene_id, source, target, hop, node, hops): fewest zones, then lowest zone numbers; a row per zone of a path.
 
-    Breadth-first rounds over the distinct sources; each round joins the frontier
-    with its neighbours and keeps the smallest path per (source, zone).  Stops
-    when every target is reached or nothing new is found.
+    Trees grow from the targets; a target's legs and tree - at most a row per zone of the scene each -
+    meet once to follow the links.
     """
-    both = adjacency.select("scene_id", F.col("a").alias("node"), F.col("b").alias("next")).unionByName(
-        adjacency.select("scene_id", F.col("b").alias("node"), F.col("a").alias("next")))
-    wanted = checkpoint(legs.select("scene_id", "source", "target").distinct())
-    frontier = wanted.select("scene_id", "source").distinct().select(
-        "scene_id", "source", F.col("source").alias("node"),
-        F.array(F.col("source")).alias("path"))
-    reached = frontier
-    while True:  # every round reaches a new zone or ends
-        step = (frontier.join(both, ["scene_id", "node"])
-                .groupBy("scene_id", "source", "next")
-                .agg(F.min("path").alias("path"))
-                .select("scene_id", "source", F.col("next").alias("node"),
-                        F.concat("path", F.array("next")).alias("path"))
-                .join(reached.select("scene_id", "source", "node"),
-                      ["scene_id", "source", "node"], "left_anti"))
-        frontier = checkpoint(step)
-        if frontier.isEmpty():
-            break
-        reached = checkpoint(reached.unionByName(frontier))
-        open_ = wanted.join(reached.withColumnRenamed("node", "target"),
-                            ["scene_id", "source", "target"], "left_anti")
-        if open_.isEmpty():
-            break
-    return wanted.join(reached.withColumnRenamed("node", "target"), ["scene_id", "source", "target"])
+    wanted = checkpoint(legs.select("scene_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct())
+
+    def pending(trees):
+        reached = trees.select("scene_id", F.col("root").alias("target"), F.col("node").alias("source"))
+        return (wanted.join(reached, ["scene_id", "source", "target"], "left_anti")
+                .select("scene_id", F.col("target").alias("root")).distinct())
+    trees = zone_trees(wanted.select("scene_id", F.col("target").alias("root")).distinct(), adjacency, pending)
+    key = wanted.schema["scene_id"].dataType.simpleString()
+    return (wanted.groupBy("scene_id", "target").cogroup(trees.groupBy("scene_id", "root"))
+            .applyInArrow(_followed, f"scene_id {key}, source long, target long, hop int, node long, hops int"))
 
 
 def plan_journeys(journeys: DataFrame, zones: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -103,24 +151,22 @@ def plan_journeys(journeys: DataFrame, zones: DataFrame, adjacency: DataFrame) -
     """
     named = zones.groupBy("scene_id", F.lower("name").alias("_key")).agg(
         F.min_by(F.struct("zord", "name"), "zord").alias("_z"))
-    stops = (journeys.select("journey_id", "scene_id", F.posexplode(F.concat(
-                F.array("start_zone"), "destinations")).alias("stop_no", "stop"))
-             .withColumn("_key", name_key(F.col("stop"))).join(named, ["scene_id", "_key"], "left"))
-    ends = stops.select("journey_id", "scene_id", "stop_no", "stop", F.col("_z.zord").alias("target"))
-    begins = ends.select("journey_id", (F.col("stop_no") + 1).alias("stop_no"),
-                         F.col("target").alias("source"))
-    legs = ends.where("stop_no > 0").join(begins, ["journey_id", "stop_no"])
+    end = lambda name: named.select("scene_id", "_key", F.col("_z.zord").alias(name))
+    leg = lambda stop, i: F.struct((i + 1).alias("stop_no"), F.when(i == 0, F.col("start_zone")).otherwise(
+        F.get("destinations", i - 1)).alias("begin"), stop.alias("stop"))
+    legs = (journeys.select("journey_id", "scene_id", F.explode(F.transform("destinations", leg)).alias("_leg")).select("journey_id", "scene_id", "_leg.*")
+            .withColumn("_key", name_key(F.col("begin"))).join(end("source"), ["scene_id", "_key"], "left")
+            .withColumn("_key", name_key(F.col("stop"))).join(end("target"), ["scene_id", "_key"], "left").drop("_key", "begin"))
+    legs = checkpoint(legs)
     paths = shortest_zone_paths(legs.where("source is not null and target is not null"), adjacency)
-    routed = legs.join(paths, ["scene_id", "source", "target"], "left")
-    info = zones.select("scene_id", F.col("zord").alias("zone_ord"), F.col("name").alias("zone"), "cx", "cy")
-    hops = (routed.select("journey_id", "scene_id", "stop_no", "stop", F.posexplode_outer("path")
-                          .alias("hop", "zone_ord"), F.size("path").alias("_n")))
-    return (hops.join(info, ["scene_id", "zone_ord"], "left")
-            .where("hop is null or hop > 0 or _n = 1")
+    # the first row of a path is where the leg begins, unless it ends there too
+    walked = paths.where("hop > 0 or hops = 0")
+    info = zones.select("scene_id", F.col("zord").alias("node"), F.col("name").alias("zone"), "cx", "cy")
+    return (legs.join(walked, ["scene_id", "source", "target"], "left").join(info, ["scene_id", "node"], "left")
             .select("journey_id", "stop_no", "stop", F.coalesce("hop", F.lit(0)).alias("hop"), "zone",
                     F.col("cx").alias("x"), F.col("cy").alias("y"),
                     F.concat(F.lit("enter "), F.col("zone")).alias("action"),
-                    (F.col("hop") == F.col("_n") - 1).alias("is_stop"),
+                    (F.col("hop") == F.col("hops")).alias("is_stop"),
                     F.when(F.col("hop").isNull(), F.concat(F.lit("No route to '"), F.col("stop"),
                                                            F.lit("'"))).alias("error")))
 

@@ -87,8 +87,8 @@ def inverse(x, y, tx, ty, deg, scale):
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "rects": ((), """
         SELECT r_regionkey::BIGINT AS zord, r_name AS name, r_regionkey*100e0 AS x0, 100e0 AS w, 0e0 AS y0, 100e0 AS h FROM region
-        UNION ALL SELECT 5+n_nationkey, n_name, nx, 17e0, 2e0, 96e0 FROM nations
-        UNION ALL SELECT 30+5*n_nationkey+m, n_name || '/' || seg, nx+1e0, 15e0, m*18e0+4e0, 16e0 FROM nations, segments"""),
+        UNION ALL SELECT (SELECT max(r_regionkey)+1 FROM region)+n_nationkey, n_name, nx, 17e0, 2e0, 96e0 FROM nations
+        UNION ALL SELECT (SELECT max(r_regionkey)+1 FROM region)+(SELECT max(n_nationkey)+1 FROM nation)+(SELECT count(*) FROM segments)*n_nationkey+m, n_name || '/' || seg, nx+1e0, 15e0, m*18e0+4e0, 16e0 FROM nations, segments"""),
     "nations": ((), """
         SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey*100e0 + 2e0
                + (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)-1)*19e0 AS nx FROM nation"""),
@@ -214,12 +214,13 @@ def _closure(names) -> list[str]:
     return out
 
 
-def query(body: str, *ctes: str) -> str:
+def query(body: str, *ctes: str, extra: str = "") -> str:
+    """The body over the named common tables, then over ``extra`` ones of its own."""
     if not ctes:
         return body
     parts = ", ".join(f"{n} AS {'' if n == 'climb' else 'MATERIALIZED '}({_CTES[n][1]})"
                       for n in _closure(ctes))
-    return f"WITH RECURSIVE {parts} {body}"
+    return f"WITH RECURSIVE {parts}{',' if extra else ''} {extra} {body}"
 
 
 def _scored() -> str:
@@ -354,10 +355,32 @@ def statements() -> dict[str, str]:
     den = "((e.xb-e.xa)*(f.yb-f.ya)-(e.yb-e.ya)*(f.xb-f.xa))"
     tt = f"(((f.xa-e.xa)*(f.yb-f.ya)-(f.ya-e.ya)*(f.xb-f.xa))/{den})"
     uu = f"(((f.xa-e.xa)*(e.yb-e.ya)-(f.ya-e.ya)*(e.xb-e.xa))/{den})"
-    s["zone_adjacency"] = query(
+    adjacent = lambda gap: (
         f"SELECT DISTINCT e.zord AS a, f.zord AS b FROM ({seg}) e JOIN ({seg}) f ON e.zord < f.zord AND ("
         f"CASE WHEN abs({den}) < 1e-12 THEN false ELSE {tt} BETWEEN 0 AND 1 AND {uu} BETWEEN 0 AND 1 END "
-        f"OR {pseg('e.xa', 'e.ya', 'f')} <= 1 OR {pseg('f.xa', 'f.ya', 'e')} <= 1)", "zones")
+        f"OR {pseg('e.xa', 'e.ya', 'f')} <= {gap} OR {pseg('f.xa', 'f.ya', 'e')} <= {gap})")
+    s["zone_adjacency"] = query(adjacent(1), "zones")
+    # distances by rounds from every target, then a walk that always takes the lowest neighbour that is nearer
+    s["planned_journeys"] = query(
+        """SELECT journey_id, stop_no, coalesce(hop, 0) AS hop, zone, hop = d AS is_stop,
+                  CASE WHEN hop IS NULL THEN 'No route to ''' || stop || '''' END AS error
+           FROM (SELECT l.*, w.hop, w.zone, r.d FROM legs l LEFT JOIN reach r ON r.root = l.target AND r.node = l.source
+                 LEFT JOIN (SELECT s, t, hop, z.name AS zone FROM walk JOIN zones z ON z.zord = walk.node) w
+                 ON w.s = l.source AND w.t = l.target AND (w.hop > 0 OR r.d = 0))""", "zones", extra=f"""
+        pairs_of AS MATERIALIZED ({adjacent(3)}),
+        adj AS MATERIALIZED (SELECT a AS node, b AS next FROM pairs_of UNION ALL SELECT b, a FROM pairs_of),
+        placed AS (SELECT zord, name, row_number() OVER (ORDER BY zord) - 1 AS place, count(*) OVER () AS places FROM zones),
+        legs AS MATERIALIZED (SELECT event_id AS journey_id, k AS stop_no, s.zord AS source, t.zord AS target, t.name AS stop
+             FROM events, (VALUES (1, 1, 3), (2, 3, 7)) v(k, f, g), placed s, placed t
+             WHERE s.place = (event_id * f) % s.places AND t.place = (event_id * g) % t.places),
+        seen(root, node, d) USING KEY (root, node) AS (SELECT DISTINCT target, target, 0 FROM legs
+             UNION SELECT DISTINCT s.root, adj.next, s.d + 1 FROM seen s JOIN adj ON adj.node = s.node
+                   WHERE NOT EXISTS (SELECT 1 FROM recurring.seen r WHERE r.root = s.root AND r.node = adj.next)),
+        reach AS MATERIALIZED (SELECT root, node, d FROM seen),
+        pairs AS (SELECT DISTINCT source, target FROM legs),
+        walk AS (SELECT source AS s, target AS t, 0 AS hop, source AS node, d AS rest FROM pairs JOIN reach ON root = target AND node = source
+             UNION ALL SELECT s, t, any_value(hop) + 1, min(adj.next), any_value(rest) - 1 FROM walk JOIN adj ON adj.node = walk.node
+                  JOIN reach ON reach.root = walk.t AND reach.node = adj.next AND reach.d = walk.rest - 1 WHERE rest > 0 GROUP BY s, t)""")
 
     s["distinct_labels"] = query("SELECT DISTINCT lower(label) AS label FROM obj", "obj")
     s["label_index"] = query(
@@ -543,7 +566,7 @@ def statements() -> dict[str, str]:
     asked = f"SELECT * FROM named n WHERE {good}"
     own = lambda t, kind: f"JOIN ({asked}) n ON n.request_id = t.request_id AND n.event_type = '{kind}'"
     zone_items = (f"SELECT i.zord, d.zone = i.name AS direct FROM inzone i JOIN obj o ON o.id = i.id JOIN deepest d ON d.id = i.id "
-                  f"WHERE i.zord IN (SELECT zpick FROM ({asked}) WHERE event_type = 'signup')")
+                  f"WHERE i.zord IN (SELECT zone_zord FROM ({asked}) WHERE event_type = 'signup')")
     s["answer_items"] = query(
         f"SELECT 'nearby_objects' AS section, count(*) AS items, count(DISTINCT t.request_id) AS answers FROM near3 t {own('t', 'view')} "
         f"UNION ALL SELECT 'zones_along_path', count(*), count(DISTINCT t.request_id) FROM met t {own('t', 'purchase')} "

@@ -806,7 +806,7 @@ def journey_status(spark, sf):
 def planned_journeys(spark, sf):
     """Two-stop journeys between the zones of three consecutive requests."""
     p = published(spark, sf)
-    z = p.zones.select("zord", "name")
+    z = D.zone_places(p.zones.select("zord", "name"))
     asked = D.events(spark, sf, "event_id").select(
         F.col("event_id").alias("journey_id"), F.lit(0).cast("long").alias("scene_id"),
         *[(F.col("event_id") * k).alias(f"z{k}") for k in (1, 3, 7)])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sceneframe.functions.angles import DEG_TO_RAD
-from sceneframe.operators.scale import broadcast_if_small, spread
+from sceneframe.operators.scale import broadcast_if_small, checkpoint, spread
 
 # Keywords and tools used by the derived requests.
 KEYWORDS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
@@ -43,19 +43,23 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     segments = (table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
                 .withColumn("m", F.row_number().over(Window.orderBy("c_mktsegment")) - 1))
-    # ranks run over the 25 nations, grouped by region
-    ranked = nation.withColumn("k", F.row_number().over(
-        Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    # rooms are numbered after all regions and nations, nation by nation: one row of counts, from these small tables
+    whole = Window.partitionBy()
+    segments = segments.withColumn("_per", F.count(F.lit(1)).over(whole))
+    regions = region.agg((F.max("r_regionkey") + 1).alias("_regions"), F.lit(0).alias("_all"))
+    # ranks run over the nations, grouped by region
+    ranked = (nation.withColumn("k", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+              .withColumn("_nations", F.max("n_nationkey").over(whole) + 1).withColumn("_all", F.lit(0)).join(regions, "_all"))
     nations = ranked.withColumn("nx", F.col("n_regionkey") * 100.0 + 2.0 + F.col("k") * 19.0)
     rects = (region.select(F.col("r_regionkey").cast("long").alias("zord"),
                            F.col("r_name").alias("name"), (F.col("r_regionkey") * 100.0).alias("x0"),
                            F.lit(100.0).alias("w"), F.lit(0.0).alias("y0"), F.lit(100.0).alias("h"))
              .unionByName(nations.select(
-                 (F.col("n_nationkey") + 5).cast("long").alias("zord"), F.col("n_name").alias("name"),
+                 (F.col("n_nationkey") + F.col("_regions")).cast("long").alias("zord"), F.col("n_name").alias("name"),
                  F.col("nx").alias("x0"), F.lit(17.0).alias("w"), F.lit(2.0).alias("y0"),
                  F.lit(96.0).alias("h")))
-             .unionByName(nations.withColumn("_all", F.lit(0)).join(segments.withColumn("_all", F.lit(0)), "_all").select(
-                 (F.col("n_nationkey") * 5 + 30 + F.col("m")).cast("long").alias("zord"),
+             .unionByName(nations.join(segments.withColumn("_all", F.lit(0)), "_all").select(
+                 (F.col("_regions") + F.col("_nations") + F.col("n_nationkey") * F.col("_per") + F.col("m")).cast("long").alias("zord"),
                  F.concat("n_name", F.lit("/"), "c_mktsegment").alias("name"),
                  (F.col("nx") + 1.0).alias("x0"), F.lit(15.0).alias("w"),
                  (F.col("m") * 18.0 + 4.0).alias("y0"), F.lit(16.0).alias("h"))))
@@ -97,26 +101,28 @@ def keyword_of(event_id):
     return F.element_at(F.array(*[F.lit(k) for k in KEYWORDS]), (event_id % 8 + 1).cast("int"))
 
 
-def with_zone_name(rows: DataFrame, zones: DataFrame, number: str) -> DataFrame:
-    """Rows with the name of the zone at ``number`` modulo the count of zones, in list order.
+def zone_places(zones: DataFrame) -> tuple[DataFrame, int]:
+    """The zones' names by place in list order, and how many there are (nations times market segments and more, counted here)."""
+    named = checkpoint(zones.select(
+        (F.row_number().over(Window.orderBy("zord")) - 1).cast("long").alias("_place"), F.col("name").alias("zone_name")))
+    return broadcast_if_small(named, text_columns=("zone_name",)), max(1, named.count())
 
-    The zones are those of the star schema, nations times market segments, and are counted here.
-    """
-    named = broadcast_if_small(zones.select(
-        (F.row_number().over(Window.orderBy("zord")) - 1).cast("long").alias("_place"), F.col("name").alias("zone_name")), text_columns=("zone_name",))
-    return (rows.withColumn("_place", F.pmod(F.col(number), F.lit(max(1, zones.count()))).cast("long"))
-            .join(named, "_place").drop("_place"))
+
+def with_zone_name(rows: DataFrame, places: tuple[DataFrame, int], number: str) -> DataFrame:
+    """Rows with the name of the zone at ``number`` modulo the count of zones."""
+    named, n = places
+    return rows.withColumn("_place", F.pmod(F.col(number), F.lit(n)).cast("long")).join(named, "_place").drop("_place")
 
 
 def named_poses(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
     """Every pose with a zone name and a label keyword to ask for, both picked by its number."""
-    return with_zone_name(poses(spark, sf_dir).withColumn("keyword", keyword_of(F.col("request_id"))), zones, "request_id")
+    return with_zone_name(poses(spark, sf_dir).withColumn("keyword", keyword_of(F.col("request_id"))), zone_places(zones), "request_id")
 
 
 def requests(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
     """Tool requests with JSON arguments."""
     kind = F.col("event_type")
-    asked = with_zone_name(events(spark, sf_dir, "event_id", "event_type", "user_id", "ts"), zones, "event_id")
+    asked = with_zone_name(events(spark, sf_dir, "event_id", "event_type", "user_id", "ts"), zone_places(zones), "event_id")
     args = (F.when(kind == "click", F.to_json(F.struct(keyword_of(F.col("event_id")).alias("object_type"))))
             .when(kind.isin("error", "purchase"), F.to_json(F.struct(F.col("zone_name").alias("destination"))))
             .when(kind == "signup", F.to_json(F.struct("zone_name"))).otherwise("{}"))

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -254,3 +255,36 @@ def test_journeys(spark):
     assert got[1].narration == "Waypoint 4 of 5: enter pump_room. 60.0% complete." and got[1].progress_percent == 60.0
     assert got[2].narration == "Waypoint 5 of 12: exit gallery_2. (stop 1 of 3: pump_room) 33.3% complete."
     assert (got[2].current_stop, got[2].total_stops) == (1, 3)
+
+
+def shortest(edges, source, target):
+    """Breadth-first over whole paths, smallest path first."""
+    around = {}
+    for a, b in edges:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    paths, seen = {source: (source,)}, {source}
+    while paths and target not in paths:
+        nxt = {}
+        for path in sorted(paths.values()):
+            for node in around.get(path[-1], ()):
+                if node not in seen:
+                    nxt[node] = min(nxt.get(node, (9e9,)), path + (node,))
+        seen |= set(nxt)
+        paths = nxt
+    return paths.get(target)
+
+
+def test_shortest_paths_in_several_leaps(spark, monkeypatch):
+    """Two scenes, one with a long corridor; unreachable zones, zones without neighbours, a leg to its own start."""
+    rng = random.Random(6)
+    graphs = {0: [(a, b) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.09], 7: [(k, k + 1) for k in range(24)] + [(40, 41)]}
+    legs = [(0, rng.randrange(34), rng.randrange(34)) for _ in range(60)] + [(7, 0, 24), (7, 24, 1), (7, 3, 40), (7, 5, 5), (7, 99, 2), (7, 2, 99), (7, 99, 99), (5, 1, 2)]
+    adjacency = spark.createDataFrame([(s, a, b) for s, e in graphs.items() for a, b in e], "scene_id long, a long, b long")
+    frame = spark.createDataFrame(legs, "scene_id long, source long, target long")
+    want = sorted((s, a, b, k, node, len(p) - 1) for s, a, b in set(legs) if (p := shortest(graphs.get(s, []), a, b)) for k, node in enumerate(p))
+    for leap in (12, 3):
+        monkeypatch.setattr(J, "LEAP", leap)
+        assert sorted(map(tuple, J.shortest_zone_paths(frame, adjacency).collect())) == want
+    assert J.shortest_zone_paths(frame.limit(0), adjacency).count() == 0
+    assert {r.hop for r in J.shortest_zone_paths(frame, adjacency.limit(0)).collect()} == {0}
