@@ -45,9 +45,9 @@ class Context:
     frame: str = "map"
 
     def located(self, mine: DataFrame) -> DataFrame:
-        """Requests with the pose of their robot at their time."""
+        """Requests with the pose of their robot at their time, found once for all tools (``_pose``)."""
         extra = [c for c in ("_name", "_radius") if c in mine.columns]
-        return pose_as_of(mine.select("request_id", "scene_id", "robot_id", "ts", *extra), self.poses)
+        return mine.select("request_id", "scene_id", "robot_id", "ts", *extra, "_pose.*")
 
 
 @dataclass
@@ -273,17 +273,20 @@ def _cancel(ctx: Context, mine: DataFrame):
 def answer_requests(requests: DataFrame, poses: DataFrame, scene: Published, statuses: DataFrame,
                     goals: DataFrame, dialect: str = "cloud", tools=None,
                     frame: str = "map") -> Answers:
-    """One branch per tool; each reads only its own requests.
+    """One branch per tool that is asked for; each reads only its own requests.
 
-    ``tools`` names the tools that can occur and limits the branches planned;
-    requests for other known tools are then not answered.
+    All requests meet the poses once, before the branches part.
+    ``tools`` limits the tools; requests for other known ones are then not answered.
     """
     ctx = Context(scene, poses, statuses, goals, dialect, frame)
     known = known_tools(dialect)
+    located = pose_as_of(requests.select("request_id", "scene_id", "robot_id", "ts", "tool", "args"), poses)
+    requests = checkpoint(located.withColumn("_pose", F.struct("x", "y", "yaw")).drop("x", "y", "yaw"))
     parsed = requests.withColumn("_args", parse_arguments(F.col("args")))
+    asked = {r[0] for r in requests.where(F.col("tool").isin(known)).select("tool").distinct().collect()}    # no more than the known ones
     headers, items = [], []
     for name in known:
-        if tools is not None and name not in tools:
+        if name not in asked or tools is not None and name not in tools:
             continue
         mine = parsed.where(F.col("tool") == name)
         need = TOOLS[name].argument

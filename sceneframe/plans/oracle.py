@@ -613,7 +613,19 @@ def statements() -> dict[str, str]:
     edge_of = lambda order: (
         f"SELECT user_id AS scene_id, props AS payload FROM (SELECT *, row_number() OVER "
         f"(PARTITION BY user_id ORDER BY ts {order}, props {order}) AS rn FROM events) WHERE rn = 1")
-    s["stream_latched_state"], s["stream_first_receipt"] = edge_of("DESC"), edge_of("ASC")
+    s["stream_latched_state"] = edge_of("DESC")
+    # of the first of the batches (by event number) that has the topic
+    s["stream_first_receipt"] = edge_of("ASC").replace("ORDER BY ts", "ORDER BY event_id % 3, ts")
+    s["stream_statuses"] = s["latest_status"]
+    s["stream_timeouts"] = s["matched_responses"]
+    s["stream_realigned"] = s["realigned_objects"]
+    held = f"*, {rel_deg('yaw', 'x', 'y', 'tx', 'ty')} AS g"
+    s["stream_answers"] = query(
+        f"SELECT n.request_id, {tools} AS tool, CASE WHEN event_type = 'error' THEN zone_name END AS destination, "
+        f"CASE WHEN event_type = 'error' THEN {sector('n.g')} END AS direction, CASE WHEN event_type = 'view' THEN z.current_zone END AS current_zone, "
+        f"CASE WHEN event_type = 'view' THEN coalesce(k.n, 0) END AS count FROM (SELECT {held} FROM named) n "
+        f"LEFT JOIN posezone z ON z.request_id = n.request_id LEFT JOIN (SELECT request_id, count(*) AS n FROM near3 GROUP BY 1) k ON k.request_id = n.request_id "
+        f"WHERE event_type IN ('error', 'view')", "named", "posezone", "near3")
     s["stream_pose_zone"] = s["live_pose_zone"].replace(f", {rnd(f'(yaw*{TO_DEG})', 1)} AS yaw_deg", "")
     s["stream_log_ring"] = s["last_log_lines"]
     s["stream_arrivals"] = s["arrivals_detected"]

@@ -6,9 +6,10 @@ once per session and data folder and then shared, as a published scene is.
 
 from __future__ import annotations
 
+import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sceneframe.functions import angles as A, geometry as G, text as X
 from sceneframe.functions.rounding import py_round
@@ -19,7 +20,7 @@ from sceneframe.operators.scale import broadcast_if_small, checkpoint_folder
 from sceneframe.plans import dispatch, evaluation as EV, journeys as J, publish as P, tools as T
 from sceneframe.sources import scenes, sinks, tables as D
 from sceneframe.streaming import jobs
-from sceneframe.streaming.snapshots import SnapshotTable
+from sceneframe.streaming.sinks import BatchTable
 
 #: alignment used by the projection queries
 ALIGN = (4.3127, -1.8406, 12.75, 1.0)
@@ -709,82 +710,163 @@ def live_pose_zone(spark, sf):
         "robot_id", "x", "y", "yaw_deg", "current_zone")
 
 
-# -- streams, run to the end of the event log ------------------------------
-
-def _event_stream(spark, sf, *columns):
-    """The event log as a file stream, with times as TIMESTAMP."""
-    raw = (spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, "
-                                   "value double, props string")
-           .option("pathGlobFilter", "events.parquet").parquet(sf))
-    return raw.select(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
-
+# -- streams, several micro-batches to the end of the event log ------------------------------
 
 def _stream_folder(spark) -> str:
     """A new folder next to the session's checkpoints."""
     return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _drain(start, spark):
+def _played(spark, topics, start, batches=3):
+    """Topics kept as files, filled part after part (``_batch``); the stream is started again after each part, from its checkpoint."""
     folder = _stream_folder(spark)
-    table = SnapshotTable(spark, f"{folder}/table")
-    query = start(table, f"{folder}/progress")
-    query.awaitTermination()
-    return table.read()
+    table = BatchTable(spark, f"{folder}/table")
+    for k in range(batches):
+        for kind, rows in topics.items():
+            rows.where(F.col("_batch") == k).drop("_batch").write.mode("append").parquet(f"{folder}/{kind}")
+        feeds = {kind: scenes.read_stream(spark, kind, f"{folder}/{kind}") for kind in topics}
+        start(feeds, table, f"{folder}/progress").awaitTermination()
+    return table
+
+
+def _mixed():
+    """Batches in which times are mixed: later ones hold earlier times."""
+    return (F.col("event_id") % 3).cast("int").alias("_batch")
+
+
+def _by_time(spark, sf):
+    """Batches in the order of time: thirds of the log's span."""
+    low, high = D.table(spark, sf, "events").agg(F.min(wall_micros(F.col("ts"))), F.max(wall_micros(F.col("ts")))).first()
+    span = max(1, (high or 0) - (low or 0))
+    return F.least(F.lit(2), F.floor((wall_micros(F.col("ts")) - F.lit(low or 0)) * 3 / F.lit(span)).cast("int")).alias("_batch")
+
+
+def _at():
+    return F.col("ts").cast("timestamp").alias("ts")
+
+
+def _messages(spark, sf):
+    return D.events(spark, sf, "event_id", "user_id", "ts", "props").select(
+        F.col("user_id").alias("scene_id"), F.lit("props").alias("topic"), _at(), F.col("props").alias("payload"), _mixed())
 
 
 def stream_latched_state(spark, sf):
-    """Last message per topic, one topic per robot."""
-    messages = _event_stream(spark, sf, "user_id", "ts", "props").select(
-        F.col("user_id").alias("scene_id"), F.lit("props").alias("topic"), "ts",
-        F.col("props").alias("payload"))
-    last = _drain(lambda t, c: jobs.latched_state(messages, t, c, available_now=True), spark)
-    return last.select("scene_id", "payload")
+    """Last message per topic, one topic per robot, over batches of mixed times."""
+    table = _played(spark, {"message": _messages(spark, sf)}, lambda f, t, c: jobs.latched_state(f["message"], t, c, available_now=True))
+    return table.latest("scene_id", "topic").select("scene_id", "payload")
 
 
 def stream_first_receipt(spark, sf):
-    messages = _event_stream(spark, sf, "user_id", "ts", "props").select(
-        F.col("user_id").alias("scene_id"), F.lit("props").alias("topic"), "ts",
-        F.col("props").alias("payload"))
-    first = _drain(lambda t, c: jobs.latched_state(messages, t, c, True, available_now=True), spark)
-    return first.select("scene_id", "payload")
+    """The first message of each topic to arrive, whatever the times of later batches."""
+    table = _played(spark, {"message": _messages(spark, sf)}, lambda f, t, c: jobs.latched_state(f["message"], t, c, True, available_now=True))
+    return table.read().select("scene_id", "payload")
+
+
+def _pose_messages(spark, sf, batch):
+    zero, half = F.lit(0.0), F.col("yaw_deg") * A.DEG_TO_RAD / 2.0
+    return D.poses(spark, sf).withColumn("event_id", F.col("request_id")).select(
+        "scene_id", "robot_id", _at(), "x", "y", zero.alias("qx"), zero.alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"), batch)
 
 
 def stream_pose_zone(spark, sf):
-    e, zero = F.col("event_id"), F.lit(0.0)
-    half = (((e * 31) % 3600).cast("double") / 10.0 - 180.0) * A.DEG_TO_RAD / 2.0
-    poses = _event_stream(spark, sf, "event_id", "user_id", "ts").select(
-        F.lit(0).cast("long").alias("scene_id"), F.col("user_id").alias("robot_id"), "ts",
-        (((e * 7919) % 5250).cast("double") / 10.0).alias("x"),
-        (((e * 104729) % 1000).cast("double") / 10.0).alias("y"),
-        zero.alias("qx"), zero.alias("qy"), F.sin(half).alias("qz"), F.cos(half).alias("qw"))
     index = published(spark, sf).index
-    live = _drain(lambda t, c: jobs.live_pose_zone(poses, index, t, c, available_now=True), spark)
-    return live.select("robot_id", "x", "y", F.col("zone").alias("current_zone"))
+    table = _played(spark, {"pose": _pose_messages(spark, sf, _mixed())}, lambda f, t, c: jobs.live_pose_zone(f["pose"], index, t, c, available_now=True))
+    return table.latest("robot_id").select("robot_id", "x", "y", F.col("zone").alias("current_zone"))
+
+
+def stream_statuses(spark, sf):
+    """The last status code of each robot, over batches of mixed times."""
+    rows = D.nav_status(spark, sf).withColumn("event_id", F.col("seq")).select("robot_id", _at(), "status_codes", _mixed())
+    table = _played(spark, {"status": rows}, lambda f, t, c: jobs.latest_statuses(f["status"], t, c, available_now=True))
+    return table.latest("robot_id").select("robot_id", "status_code")
 
 
 def stream_log_ring(spark, sf):
-    tag = D._mapped(F.col("event_type"), D.TAG_OF_EVENT)
-    lines = _event_stream(spark, sf, "event_id", "event_type", "user_id", "ts", "props").select(
-        F.col("user_id").alias("robot_id"), "ts", F.col("event_id").alias("seq"),
-        F.concat(F.lit("["), tag, F.lit("] "), F.col("props")).alias("text"))
-    ring = _drain(lambda t, c: jobs.log_ring(lines, t, c, available_now=True), spark)
-    return ring.select("robot_id", "seq", "text")
+    rows = D.debug_lines(spark, sf).withColumn("event_id", F.col("seq")).select("robot_id", _at(), "seq", "text", _mixed())
+    table = _played(spark, {"debug": rows}, lambda f, t, c: jobs.log_ring(f["debug"], t, c, available_now=True))
+    return table.latest("robot_id").select("robot_id", "seq", "text")
 
 
 def stream_arrivals(spark, sf):
-    """Goals two hours before every pose, both in one stream."""
-    e = F.col("event_id")
-    x, y = ((e * 7919) % 5250).cast("double") / 10.0, ((e * 104729) % 1000).cast("double") / 10.0
-    log = _event_stream(spark, sf, "event_id", "user_id", "ts")
-    both = log.withColumn("kind", F.explode(F.array(F.lit("pose"), F.lit("goal")))).select(
-        F.col("user_id").alias("robot_id"),
-        F.when(F.col("kind") == "goal", F.col("ts") - F.expr("interval 2 hours")).otherwise(
-            F.col("ts")).alias("ts"), "kind", x.alias("x"), y.alias("y"),
-        F.concat(F.lit("goal "), e.cast("string")).alias("destination"))
-    found = _drain(lambda t, c: jobs.arrival_stream(both, t, c, 60.0, available_now=True), spark)
-    return found.where("arrived_ts is not null").select(
-        "robot_id", "destination",
-        wall_micros(F.col("arrived_ts").cast("timestamp_ntz")).alias("arrived_us"))
+    """Goals two hours before every pose, both topics in the order of time."""
+    batch = _by_time(spark, sf)
+    poses = _pose_messages(spark, sf, batch)
+    goals = (D.poses(spark, sf).withColumn("ts", F.col("ts") - F.expr("interval 2 hours"))
+             .select("robot_id", _at(), "x", "y", "yaw", F.concat(F.lit("goal "), F.col("request_id").cast("string")).alias("destination"), batch)
+             .withColumn("_batch", F.greatest(F.lit(0), "_batch")))
+
+    def start(feeds, table, progress):
+        columns = ("robot_id", "ts", "kind", "x", "y", "destination")
+        both = (feeds["pose"].withColumns({"kind": F.lit("pose"), "destination": F.lit(None).cast("string")}).select(*columns)
+                .unionByName(feeds["goal"].withColumn("kind", F.lit("goal")).select(*columns)))
+        return jobs.arrival_stream(both, table, progress, 60.0, available_now=True)
+    return _played(spark, {"pose": poses, "goal": goals}, start).read().select(
+        "robot_id", "destination", wall_micros(F.col("arrived_ts").cast("timestamp_ntz")).alias("arrived_us"))
+
+
+def stream_timeouts(spark, sf):
+    """Requests and results as two topics; two last messages of no robot move the watermarks past all others."""
+    kind = F.col("event_type")
+    log = D.events(spark, sf, "event_id", "user_id", "event_type", "ts", "props")
+    batch = _by_time(spark, sf)
+    ends = spark.range(2).select(F.lit(-1).cast("long").alias("robot_id"), F.col("id"), (F.col("id") + 3).cast("int").alias("_batch"))
+    last = log.agg(F.max("ts").cast("timestamp").alias("ts"))
+    ends = ends.withColumn("_all", F.lit(0)).join(last.withColumn("_all", F.lit(0)), "_all").withColumn(
+        "ts", F.col("ts") + F.make_interval(days=(F.col("id") + 1).cast("int")))
+    asks = log.where(kind.isin("signup", "click")).select(
+        F.col("event_id").alias("request_id"), F.lit(0).cast("long").alias("scene_id"), F.col("user_id").alias("robot_id"), _at(), F.lit("query_zone").alias("tool"),
+        F.lit(None).cast("string").alias("args"), batch)
+    results = log.where(~kind.isin("signup", "click")).select(
+        F.col("user_id").alias("scene_id"), F.lit("zone").alias("topic"), _at(), F.col("props").alias("payload"), batch)
+    asks = asks.unionByName(ends.select((-F.col("id") - 1).alias("request_id"), "robot_id", "ts", "_batch"), allowMissingColumns=True)
+    results = results.unionByName(ends.select(F.col("robot_id").alias("scene_id"), F.lit("zone").alias("topic"), "ts", "_batch"), allowMissingColumns=True)
+
+    def start(feeds, table, progress):
+        return jobs.timed_out_requests(feeds["request"].withColumn("topic", F.lit("zone")), feeds["message"].withColumnRenamed("scene_id", "robot_id"),
+                                       table, progress, "3 hours", "1 minute", available_now=True)
+    got = _played(spark, {"request": asks, "message": results}, start, batches=5).read().where("robot_id >= 0")
+    return got.select("request_id", "result", F.when(F.col("result").isNull(), F.concat(
+        F.lit("Timeout waiting for zone query result for '"), F.col("request_id").cast("string"), F.lit("'"))).alias("error"))
+
+
+def stream_realigned(spark, sf):
+    """The scene under the last estimate of a stream of estimates, robots in turn."""
+    whole = scenes.Scene(D.objects(spark, sf).drop("x", "y"), D.zones(spark, sf), _alignments(spark))
+    x, y, deg = ESTIMATE
+    half = math.radians(deg) / 2.0
+    last = F.max("ts").over(Window.partitionBy())
+    newest = D.table(spark, sf, "events").select("ts").orderBy(F.desc("ts")).limit(3)
+    rows = newest.select(F.lit(0).cast("long").alias("scene_id"), F.lit(1).cast("long").alias("robot_id"), _at(),
+                         (F.lit(x) + F.when(F.col("ts") == last, 0.0).otherwise(1.0)).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"),
+                         F.lit(math.sin(half)).alias("qz"), F.lit(math.cos(half)).alias("qw"), F.when(F.col("ts") == last, 1).otherwise(0).alias("_batch"))
+    spots = {}
+
+    def start(feeds, table, progress):
+        spots["objects"] = BatchTable(spark, f"{table.path}/objects")
+        return jobs.realign_stream(feeds["pose"], whole, spots["objects"], BatchTable(spark, f"{table.path}/zones"), progress, available_now=True,
+                                   min_confidence=-1.0, min_points=-1)
+    _played(spark, {"pose": rows}, start, batches=2)
+    return spots["objects"].latest().select("id", _r("x", 3).alias("map_x"), _r("y", 3).alias("map_y"))
+
+
+def stream_answers(spark, sf):
+    """Requests answered as they arrive, each with the last pose, status and goal of its robot: scalar fields of the answers."""
+    batch = _by_time(spark, sf)
+    asked = _requests(spark, sf).select("request_id", "scene_id", "robot_id", _at(), "tool", "args", batch)
+    status = D.nav_status(spark, sf).select("robot_id", _at(), "status_codes", batch)
+    goals = _goal_log(spark, sf).withColumn("yaw", F.lit(0.0)).select("robot_id", _at(), "x", "y", "yaw", "destination", batch).withColumn(
+        "_batch", F.greatest(F.lit(0), "_batch"))
+    scene, out = published(spark, sf), _stream_folder(spark)
+
+    def start(feeds, table, progress):
+        yaw = A.yaw_from_quaternion(*[F.col(c) for c in ("qx", "qy", "qz", "qw")])
+        events = jobs.robot_events(feeds["pose"].withColumn("yaw", yaw), feeds["status"], feeds["goal"], feeds["request"])
+        return jobs.answer_stream(events, scene, out, progress, tools=("distance_to", "describe_surroundings"), available_now=True)
+    _played(spark, {"pose": _pose_messages(spark, sf, batch), "status": status, "goal": goals, "request": asked}, start)
+    field = lambda p: F.get_json_object("result_json", p)
+    return spark.read.parquet(f"{out}/headers").select(
+        "request_id", "tool", field("$.destination").alias("destination"), field("$.direction").alias("direction"),
+        field("$.current_zone").alias("current_zone"), field("$.count").cast("long").alias("count"))
 
 
 # -- journeys --------------------------------------------------------------
@@ -835,4 +917,4 @@ QUERIES = {f.__name__: f for f in (
     last_log_lines, log_counts, utterances, request_arguments, answered_requests, answer_items,
     answer_documents, debug_lines, pose_log_lines, goal_log_lines, conversation_history, content_blocks, tool_calls, tool_results,
     final_texts, scored_cases, eval_report, live_pose_zone, stream_latched_state, stream_first_receipt, stream_pose_zone,
-    stream_log_ring, stream_arrivals, journey_status, planned_journeys)}
+    stream_statuses, stream_log_ring, stream_arrivals, stream_timeouts, stream_realigned, stream_answers, journey_status, planned_journeys)}
