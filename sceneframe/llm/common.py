@@ -6,6 +6,7 @@ never clash with working columns; a missing (null) text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -62,11 +63,36 @@ def by_batch(step: Callable[[dict[str, list]], dict[str, Iterable]], schema: pa.
     return run
 
 
-def thin(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are Python objects at one time."""
+#: what operators remember between the tasks of a worker: name -> a function that forgets it
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def release(keep: str | None = None) -> None:
+    """Forget what other operators' tasks left in this worker, and return freed memory to the system.
+
+    Workers go from stage to stage; without this each would keep the most that any stage took.
+    """
+    for name, forget in MEMORIES.items():
+        if name != keep:
+            forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):        # another C library
+        pass
+
+
+def thin(batches: Iterator[pa.RecordBatch], rows: int = 1000, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are Python objects at one time.
+
+    ``keep`` names the task's own memory, which outlives it.
+    """
+    release(keep)
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    batch = None
+    release(keep)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm.common import thin
+from sceneframe.llm.common import MEMORIES, thin
 from sceneframe.llm.ordering import by_ranges, numbered_input
 
 #: documents that the dictionary is trained on (about as many: a share of the table by a hash, of which the short ones count), and
@@ -119,6 +119,9 @@ def _encoder(name: str, end_id: int) -> Encoder:
     return Encoder(SparkFiles.get(name), end_id)
 
 
+MEMORIES["id encoder"] = _encoder.cache_clear
+
+
 def _runs(texts: list, size: int = 1 << 20):
     """Slices of some texts with a bounded number of characters each (or one longer text)."""
     start, held = 0, 0
@@ -177,7 +180,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
                 "part": part, "shard": shard, "first_id": ids[0], "last_id": ids[-1], "start": start, "n_tokens": sum(sizes), "doc_ids": ids,
                 "sizes": sizes, "offsets": offsets.tolist(), "data": b"".join(frames), "dictionary_sha256": digest}], _SHARDS)
 
-        for batch in thin(batches, 500):
+        for batch in thin(batches, 500, keep="id encoder"):
             found, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for run in _runs(texts):
                 for doc_id, packed in zip(found[run], encoder.encode(texts[run])):

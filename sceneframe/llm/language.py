@@ -145,7 +145,7 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, k: int = CENTROIDS)
     """Learn from ``doc_id``, ``text`` and ``lang`` of the given rows.
 
     The centroids come from at most about ``training_rows`` texts per language, chosen by a hash
-    of the id; n-gram weights and floors from all rows.  Statistics and k-means run in Spark, only the
+    of the id and the text; n-gram weights and floors from all rows.  Statistics and k-means run in Spark, only the
     centroids (a few rows per language), the n-gram weights and a row per length class reach the driver.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
@@ -153,8 +153,9 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, k: int = CENTROIDS)
     by_lang = settle(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     total = by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     sizes = broadcast_if_small(by_lang, text_columns=("lang",))
-    spot = (F.xxhash64(F.col("doc_id"), F.lit(9)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
-    sample = known.join(sizes, "lang").where(spot < F.lit(float(training_rows)) / F.col("n")).select("lang", "text")
+    # rows that share an id differ in their texts; equal texts count once
+    spot = (F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(9)).bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
+    sample = known.join(sizes, "lang").where(spot < F.lit(float(training_rows)) / F.col("n")).select("lang", "text").dropDuplicates()
     rows = settle(sample.mapInArrow(_sparse_rows, "lang string, slots array<int>, counts array<float>"))
     idf = np.full(DIMENSIONS, np.log(1.0 + total) + 1, np.float32)
     for r in known.select("text").mapInArrow(_slot_rows, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).collect():

@@ -138,6 +138,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows without a hit, unchanged."""
-    marked = settle(hits(docs, items).select(F.col("kid").alias("_kid"), F.col("th").alias("_th")))
-    same = (F.coalesce(docs["doc_id"], F.lit(_NO_ID)) == F.col("_kid")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
-    return docs.join(broadcast_if_small(marked), same, "left_anti")
+    marked = settle(hits(docs, items).select("kid", "th"))
+    # the row travels in a struct, so that its columns can have any name
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("kid"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return rows.join(broadcast_if_small(marked), ["kid", "th"], "left_anti").select("row.*")

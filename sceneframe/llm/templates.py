@@ -31,7 +31,7 @@ DEPTH = 3
 #: least share of a line's words that are constants of its leaf's template
 ALIKE = 0.7
 #: documents, and words of them, whose equal lines a task counts together before they are shuffled
-_HELD, _HELD_WORDS = 4000, 1 << 22
+_HELD, _HELD_WORDS = 4000, 1 << 20
 _FIELD = np.uint64(0x5851F42D4C957F2D)
 _NO_ID = np.iinfo(np.int64).max
 

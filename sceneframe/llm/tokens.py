@@ -25,12 +25,15 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-from sceneframe.llm.common import by_batch, thin
+from public_tokenizers import PATTERN
+from sceneframe.llm.common import MEMORIES, by_batch, thin
 
 #: above every rank
 _NONE = np.int64(1) << 40
-#: encoded chunks remembered by a worker; a bound on memory, results don't depend on it
-CACHED = 250_000
+#: bytes of encoded chunks remembered by a worker; a bound on memory, results don't depend on it
+CACHE_BYTES = 48 << 20
+#: what a chunk takes beside its characters and ids
+_ENTRY = 160
 #: matches up to so many bytes are merged side by side
 _SHORT = 256
 
@@ -66,7 +69,9 @@ class Bpe:
             self.keys[slot[put]], self.values[slot[put]] = left[put], merged[put]
             left, merged, slot = left[~put], merged[~put], (slot[~put] + 1) & self.mask
         self.split = regex.compile(pattern).findall
+        self.parts = pattern == PATTERN
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _slot(self, pair: np.ndarray) -> np.ndarray:
         return ((pair * np.int64(0x9E3779B97F4A7C1)) >> np.int64(20)) & self.mask
@@ -198,24 +203,26 @@ class Bpe:
     def _chunks(self, text: str) -> list[str]:
         """Pieces of a text between which no match can reach.
 
-        Where white space stands alone, a match always begins before a space and
-        before and after a line feed.  Other texts are split by the pattern as a whole.
+        Where white space is lone spaces and line feeds, a match of the packaged pattern always begins before a space and
+        before and after a line feed.  Other texts, and texts under other patterns, are split by the pattern as a whole.
         """
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+        if not self.parts or "\0" in text or " ".join(text.split()) != text.replace("\n", " "):
             return self.split(text)
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of whole texts."""
         chunked = [self._chunks(t) for t in texts]
-        if len(self.cache) > CACHED:      # the first half holds the frequent chunks
-            self.cache = dict(islice(self.cache.items(), CACHED // 2))
+        if self.held > CACHE_BYTES:      # the first half holds the frequent chunks
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2))
+            self.held = sum(len(k) + len(v) + _ENTRY for k, v in self.cache.items())
         cache = self.cache
         new = list(set().union(*chunked).difference(cache))
         matches = [self.split(chunk) for chunk in new]
         flat = list(set().union(*matches))
         ids = dict(zip(flat, self.merge([m.encode() for m in flat])))
         cache.update(zip(new, [b"".join([ids[m] for m in found]) for found in matches]))
+        self.held += sum(len(chunk) + len(cache[chunk]) + _ENTRY for chunk in new)
         known = cache.__getitem__
         return [b"".join(map(known, chunks)) for chunks in chunked]
 
@@ -230,6 +237,9 @@ def _loaded(name: str, pattern: str) -> Bpe:
         return Bpe(file.read(), pattern)
 
 
+MEMORIES["bpe"] = _loaded.cache_clear
+
+
 def _shipped(docs: DataFrame, ranks: str) -> str:
     """Give every executor the rank file (under a megabyte); its name there."""
     docs.sparkSession.sparkContext.addFile(ranks)
@@ -267,7 +277,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...]
     kept = docs.select(*keep).schema
 
     def step(batches):
-        for batch in thin(batches):
+        for batch in thin(batches, keep="bpe"):
             bpe = _loaded(name, pattern)
             texts = batch.column(0).to_pylist()
             n, ids, back = [], [], []

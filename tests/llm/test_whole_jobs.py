@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import plain
-from sceneframe.llm import language, likelihood, templates
+from sceneframe.llm import language, leakage, likelihood, templates
 from sceneframe.llm.hashing import word_hashes
 
 
@@ -70,3 +70,43 @@ def test_templates_count_documents_not_lines(spark):
     alone = [(1, "\n".join(map(line, towns))), (2, line("Accra"))]
     assert dropped(spark, alone) == {1: 0, 2: 0}
     assert dropped(spark, [*alone, *((3 + k, line(f"Town{'abcdefgh'[k]}")) for k in range(8))]) == {1: 9, **{k: 1 for k in range(2, 11)}}
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    """Five texts under one id, one of them twice (with other columns), and columns named like working columns."""
+    rng = random.Random(9)
+    texts = [plain.sentence(rng, "en", 40) for _ in range(6)]
+    rows = [(7, t, k, "a") for k, t in enumerate(texts[:5])] + [(7, texts[0], -1, "b"), (3, texts[5], 0, "c"), (9, texts[5], 0, "d"), (None, texts[5], 0, "e"), (None, texts[5], 0, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, key string").repartition(4)
+    docs = docs.selectExpr("*", "1 AS _kid", "2 AS _th", "3 AS id", "4 AS row", "5 AS kid", "6 AS th", "7 AS n")
+    found = sorted((r.doc_id or -1, r.text, r._id) for r in corpus_pipeline.without_copies(spark, docs, "").collect())
+    assert [f[:2] for f in found] == sorted([(7, t) for t in texts[:5]] + [(3, texts[5]), (-1, texts[5]), (-1, texts[5])])
+    assert docs.columns == corpus_pipeline.without_copies(spark, docs, "").columns
+    item = spark.createDataFrame([(1, " ".join(texts[1].split()[:12]))], "item_id long, text string")
+    clean = leakage.drop_contaminated(docs, item)
+    assert clean.columns == docs.columns and sorted(r.text for r in clean.collect()) == sorted(r[1] for r in rows if r[1] != texts[1])
+
+
+def test_languages_of_rows_that_share_an_id(spark):
+    """A language whose texts all have one id is learnt like any other; equal texts enter the sample once."""
+    rng = random.Random(10)
+    rows = [(5 if lang == "de" else k, plain.sentence(rng, lang, 30), lang) for k in range(300) for lang in ("en", "de")]
+    rows += [(5, rows[1][1], "de")] * 300
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5), training_rows=100)
+    assert set(model.langs) == {"en", "de"}
+
+
+def test_other_patterns_split_whole_texts():
+    """Patterns whose matches reach over spaces, and white space that only looks lone by its count."""
+    import base64
+
+    import tiktoken
+    from sceneframe.llm import tokens
+    from sceneframe.llm.queries import PATTERN, RANKS
+    lines = open(RANKS, "rb").read()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+    odd = ["the end of it", "a b\nc", "", "a\xa0b\xa0c   d", "x  y\x0bz w", "\x1c a  b"]
+    for pattern in (r"(?s)..?", r"(?s).+", PATTERN):
+        known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        ours = tokens.Bpe(lines, pattern)
+        assert [list(int.from_bytes(p[k:k + 4], "little") for k in range(0, len(p), 4)) for p in ours.encode(odd)] == [known.encode_ordinary(t) for t in odd]
