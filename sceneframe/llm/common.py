@@ -7,6 +7,7 @@ never clash with working columns; a missing (null) text counts as an empty one.
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -38,6 +39,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    Its cleaner goes by the driver's garbage collection, which a job of many stages and little data on the driver may not see
+    before its end; call this after a settled table has replaced a large shuffle.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
