@@ -87,8 +87,8 @@ def shingle_set(text: str | None, n: int = 4) -> frozenset:
     return frozenset(tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def components(rows, percent: int = 85) -> dict:
-    sets = [shingle_set(t) for _, t in rows]
+def components(rows, percent: int = 85, n: int = 4) -> dict:
+    sets = [shingle_set(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -130,7 +130,7 @@ def line_templates(rows, min_docs: int = 10, depth: int = 3, alike: float = 0.7)
             same = sum(a == b for a, b in zip(w, constant))
             groups[None if len(own) > 1 and same >= alike * size and same > min(depth, size) else w].append(w)
         for members in groups.values():
-            if sum(len(own[w]) for w in members) >= min_docs:
+            if len({doc for w in members for doc in own[w]}) >= min_docs:
                 head = min((i, n) for w in members for (i, _), n in own[w].items())
                 first |= {w: head for w in members}
     out = {}

@@ -127,7 +127,7 @@ def test_pipeline(spark, tmp_path):
     # the later stages by their plain versions
     lines = plain.line_templates(kept)
     kept = [(i, lines[i, t][2]) for i, t in kept if not (lines[i, t][1] and not (lines[i, t][2] or "").strip())]
-    groups = plain.components(kept)
+    groups = plain.components(kept, 80, 5)
     kept = list({i: (i, t) for i, t in kept if i is not None and groups[i, t][1] == i}.values()) + [(i, t) for i, t in kept if i is None]
     leaks = plain.contamination(kept, bench)
     kept = [(i, t) for i, t in kept if not leaks[i, t][4]]
