@@ -288,3 +288,17 @@ def test_shortest_paths_in_several_leaps(spark, monkeypatch):
         assert sorted(map(tuple, J.shortest_zone_paths(frame, adjacency).collect())) == want
     assert J.shortest_zone_paths(frame.limit(0), adjacency).count() == 0
     assert {r.hop for r in J.shortest_zone_paths(frame, adjacency.limit(0)).collect()} == {0}
+
+
+def test_split_scenes_in_lines(spark, tmp_path):
+    """Two scenes as lines of split files, in different orders; one line without an id."""
+    parts = {"objects": [{"scene_id": k, "objects": [{"id": 1, "label": f"lamp {k}", "centroid": {"x": 1.0, "y": 2.0, "z": 0.0}, "confidence": 0.9, "num_points": 99}]} for k in ("one", "two")]
+             + [{"objects": []}],
+             "offset": [{"scene_id": k, "translate_x": x, "translate_y": 0.0, "rotate_deg": 0.0} for k, x in (("two", 2.0), ("one", 1.0))],
+             "zones": [{"scene_id": k, "zones": [{"name": f"room {k}", "vertices_world": rect(0, 0, 4, 4)}]} for k in ("two", "one")]}
+    for kind, docs in parts.items():
+        (tmp_path / kind).mkdir()
+        (tmp_path / kind / "house.json").write_text("\n".join(map(json.dumps, docs)))
+    scene = scenes.read_scene_split(spark, *(str(tmp_path / k) for k in parts), multi_line=False)
+    met = scene.objects.join(scene.alignments, "scene_id").join(scene.zones, "scene_id").collect()
+    assert sorted((r.scene_id, r.label, r.translate_x, r["name"]) for r in met) == [("house#one", "lamp one", 1.0, "room one"), ("house#two", "lamp two", 2.0, "room two")]
