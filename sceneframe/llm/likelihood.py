@@ -98,9 +98,16 @@ def gru_step(given: np.ndarray, h: np.ndarray, state: np.ndarray):
     return n + z * (h - n), z, r, n, u[:, 2 * WIDTH:]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, pick: np.ndarray):
+    """Log softmax of one column of each row, and its loss gradient, which overwrites x."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, pick]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x /= total[:, None]
+    x[rows, pick] -= 1
+    return own - np.log(total), x
 
 
 def _picked(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
@@ -110,22 +117,19 @@ def _picked(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
     own = x[rows, pick] - top
     x -= top[:, None]
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
 
 def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights | None = None):
     """Natural log probability of each target id given its state; with ``grads``, adds gradients and gives those of h."""
     kind = np.where(target > 0, (target - 1) // SIZE, CLASSES)
     wide = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
-    rows = np.arange(len(h))
     back = None
     if grads is None:
         total = _picked(wide @ w.classes.T, kind).astype(np.float64)
     else:
-        logs = _log_softmax(wide @ w.classes.T)
-        total = logs[rows, kind].astype(np.float64)
-        d = np.exp(logs)
-        d[rows, kind] -= 1
+        own, d = _softmax(wide @ w.classes.T, kind)
+        total = own.astype(np.float64)
         grads.classes[...] += d.T @ wide
         back = d @ w.classes[:, :-1]
     order = np.argsort(kind, kind="stable")
@@ -142,11 +146,8 @@ def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights |
     elif grads is None:
         total[order] += _picked(x, pick)
     else:
-        logs = _log_softmax(x)
-        rows = np.arange(len(order))
-        total[order] += logs[rows, pick]
-        d = np.exp(logs)
-        d[rows, pick] -= 1
+        logs, d = _softmax(x, pick)
+        total[order] += logs
         lower = np.empty((len(order), WIDTH), back.dtype)
         for c, run in runs:
             grads.words[c] += d[run].T @ own[run]
@@ -219,56 +220,71 @@ def score_documents(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.n
 def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Weights:
     """One pass of truncated backpropagation with Adagrad; the state is carried from window to window."""
     w = Weights(*(p.copy() for p in w))
-    squares = [np.full(p.shape, 0.1, np.float32) for p in w]
+    squares = Weights(*(np.full(p.shape, 0.1, np.float32) for p in w))
     target, given, fresh, _ = lane_arrays(ids, starts, sizes, LANES)
-    h = np.zeros((target.shape[1], WIDTH), np.float32)
+    begins = fresh.any(axis=1).tolist()
+    lanes = target.shape[1]
+    h = np.zeros((lanes, WIDTH), np.float32)
+
+    def adapt(p, g, s):
+        """Adagrad: the new squares and the step of a scaled gradient."""
+        g *= scale
+        np.clip(g, -1, 1, out=g)
+        s = s + g * g
+        g *= np.float32(RATE)
+        g /= np.sqrt(s)
+        return p - g, s
+
     for begin in range(0, len(target), STEPS):
         some = slice(begin, min(len(target), begin + STEPS))
-        grads = Weights(*(np.zeros_like(p) for p in w))
-        saved, states = [], []
-        for t in range(some.start, some.stop):
-            x = w.inputs[given[t]]
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-                x[fresh[t]] = 0
-            before = h
-            h, z, r, n, u = gru_step(x, before, w.state)
-            saved.append((before, z, r, n, u))
-            states.append(h)
+        n_steps = some.stop - begin
+        x = w.inputs[given[some]]
+        x[fresh[some]] = 0
+        before, z, r, n, u, after = (np.empty((n_steps, lanes, WIDTH), np.float32) for _ in range(6))
+        for k in range(n_steps):
+            if begins[begin + k]:
+                h = np.where(fresh[begin + k][:, None], np.float32(0), h)
+            before[k] = h
+            h, z[k], r[k], n[k], u[k] = gru_step(x[k], h, w.state)
+            after[k] = h
         live = target[some].ravel() >= 0
-        flat = np.concatenate(states)
+        flat = after.reshape(-1, WIDTH)
+        grads = Weights(w.inputs, w.state, np.zeros_like(w.classes), np.zeros_like(w.words))       # of the outputs only
         _, back = output_loss(w, flat[live], target[some].ravel()[live], grads)
         upper = np.zeros_like(flat)
         upper[live] = back
-        upper = upper.reshape(len(states), -1, WIDTH)
+        upper = upper.reshape(after.shape)
+        # what a gradient of the state is multiplied with on its way to the gates, for all steps at once
+        by_n = (1 - z) * (1 - n * n)
+        factors = np.concatenate([(before - n) * z * (1 - z), by_n * u * r * (1 - r), by_n * r], axis=2).reshape(n_steps, lanes, 3, WIDTH)
+        throughs = np.empty_like(factors)
+        back_state = np.ascontiguousarray(w.state.T)
         carry = np.zeros_like(h)
-        throughs, gates = (np.empty((len(states), h.shape[0], 3 * WIDTH), h.dtype) for _ in range(2))
-        count = max(1, int(live.sum()))
-        for k in range(len(states) - 1, -1, -1):
-            before, z, r, n, u = saved[k]
-            d = upper[k] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            gate = np.concatenate([dz, dr, dn], axis=1)
-            through = np.concatenate([dz, dr, dn * r], axis=1)
-            throughs[k], gates[k] = through, gate
-            carry = d * z + through @ w.state.T
-            carry[fresh[begin + k]] = 0
-        grads.state[...] = np.concatenate([x[0] for x in saved]).T @ throughs.reshape(-1, 3 * WIDTH)
+        for k in range(n_steps - 1, -1, -1):
+            d = upper[k]
+            d += carry
+            np.multiply(d[:, None, :], factors[k], out=throughs[k])
+            carry = throughs[k].reshape(lanes, 3 * WIDTH) @ back_state
+            d_z = d * z[k]
+            carry += d_z
+            if begins[begin + k]:
+                carry[fresh[begin + k]] = 0
+        gates = throughs.reshape(-1, 3 * WIDTH)
+        scale = np.float32(32 / max(1, int(live.sum())))
+        of_state = before.reshape(-1, WIDTH).T @ gates
+        gates[:, 2 * WIDTH:] = (upper * by_n).reshape(-1, WIDTH)
+        w.state[...], squares.state[...] = adapt(w.state, of_state, squares.state)
         old = ~fresh[some].ravel()
-        used, which = given[some].ravel()[old], gates.reshape(-1, 3 * WIDTH)[old]
+        used, which = given[some].ravel()[old], gates[old]
         order = np.argsort(used, kind="stable")
         if len(order):
+            # tokens that weren't given have no gradient: their rows stay
             starts_of = np.flatnonzero(np.r_[True, np.diff(used[order]) != 0])
-            grads.inputs[used[order][starts_of]] = np.add.reduceat(which[order], starts_of, axis=0)
-        for p, g, s in zip(w, grads, squares):
-            g *= np.float32(32 / count)
-            np.clip(g, -1, 1, out=g)
-            s += g * g
-            g *= np.float32(RATE)
-            g /= np.sqrt(s)
-            p -= g
+            token = used[order][starts_of]
+            sums = np.add.reduceat(which[order], starts_of, axis=0)
+            w.inputs[token], squares.inputs[token] = adapt(w.inputs[token], sums, squares.inputs[token])
+        for p, g, s in ((w.classes, grads.classes, squares.classes), (w.words, grads.words, squares.words)):
+            p[...], s[...] = adapt(p, g, s)
     return w
 
 
