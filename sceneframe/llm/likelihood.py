@@ -98,10 +98,16 @@ def gru_step(given: np.ndarray, h: np.ndarray, state: np.ndarray):
     return n + z * (h - n), z, r, n, u[:, 2 * WIDTH:]
 
 
-def _softmax(x: np.ndarray, pick: np.ndarray):
+def _tame(weights: np.ndarray) -> bool:
+    """Whether no state (its values are within 1) can take the outputs where exp leaves the range of its type."""
+    return float(np.abs(weights).sum(axis=-1).max()) <= 80
+
+
+def _softmax(x: np.ndarray, pick: np.ndarray, tame: bool):
     """Log softmax of one column of each row, and its loss gradient, which overwrites x."""
     rows = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
+    if not tame:
+        x -= x.max(axis=1, keepdims=True)
     own = x[rows, pick]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
@@ -110,12 +116,11 @@ def _softmax(x: np.ndarray, pick: np.ndarray):
     return own - np.log(total), x
 
 
-def _picked(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+def _picked(x: np.ndarray, pick: np.ndarray, tame: bool) -> np.ndarray:
     """Log softmax of one column of each row; overwrites x."""
-    rows = np.arange(len(x))
-    top = x.max(axis=1)
-    own = x[rows, pick] - top
-    x -= top[:, None]
+    if not tame:
+        x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), pick]
     np.exp(x, out=x)
     return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
@@ -126,9 +131,9 @@ def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights |
     wide = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
     back = None
     if grads is None:
-        total = _picked(wide @ w.classes.T, kind).astype(np.float64)
+        total = _picked(wide @ w.classes.T, kind, _tame(w.classes)).astype(np.float64)
     else:
-        own, d = _softmax(wide @ w.classes.T, kind)
+        own, d = _softmax(wide @ w.classes.T, kind, _tame(w.classes))
         total = own.astype(np.float64)
         grads.classes[...] += d.T @ wide
         back = d @ w.classes[:, :-1]
@@ -144,9 +149,9 @@ def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights |
     if not len(order):
         pass
     elif grads is None:
-        total[order] += _picked(x, pick)
+        total[order] += _picked(x, pick, _tame(w.words))
     else:
-        logs, d = _softmax(x, pick)
+        logs, d = _softmax(x, pick, _tame(w.words))
         total[order] += logs
         lower = np.empty((len(order), WIDTH), back.dtype)
         for c, run in runs:
@@ -310,6 +315,11 @@ class Vocabulary(NamedTuple):
             return np.zeros(len(place), np.int64)
         return np.where((place >= 0) & (self.ranks[place] < WORDS), self.ranks[place] + 1, 0)
 
+    def model_part(self) -> Vocabulary:
+        """Only the tokens with weights of their own."""
+        own = self.ranks < WORDS
+        return self._replace(hashes=self.hashes[own], ranks=self.ranks[own], counts=self.counts[own])
+
 
 def token_runs(texts: list[str | None]):
     """``(hashes, starts, sizes)`` of the tokens of texts, each ended by END."""
@@ -398,7 +408,7 @@ def fit(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Weights:
     own = v.ranks < WORDS
     top[v.ranks[own]] = v.counts[own]
     w = first_weights(top, v.tokens - v.known)
-    shared = sc.broadcast(v)
+    shared = sc.broadcast(v.model_part())
     slot = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(rounds))
     for k in range(rounds):
         part = docs.where(slot == k).select("text")
