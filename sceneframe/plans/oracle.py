@@ -13,7 +13,7 @@ from sceneframe.functions.angles import COMPACT, SPOKEN
 from sceneframe.functions.rounding import round_sql
 from sceneframe.functions.text import CONTAINED_TAGS, PREFIX_TAGS, STATUS_NAMES
 from sceneframe.plans.registry import ALIGN, ESTIMATE
-from sceneframe.sources.tables import KEYWORDS, STATUS_OF_EVENT, TAG_OF_EVENT, TOOL_OF_EVENT
+from sceneframe.sources.tables import KEYWORDS, STATUS_OF_EVENT, TAG_OF_EVENT, TOOL_ARGUMENTS, TOOL_OF_EVENT
 
 PI = repr(math.pi) + "e0"
 TWO_PI = repr(2 * math.pi) + "e0"
@@ -214,6 +214,112 @@ def _closure(names) -> list[str]:
     return out
 
 
+def obj(**fields: str) -> str:
+    """SQL for the text of a JSON object from SQL texts of JSON values; a missing value reads null."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || coalesce({v}, 'null')" for k, v in fields.items()) + " || '}'"
+
+
+def quoted(v: str) -> str:
+    return f"('\"' || {v} || '\"')"
+
+
+def number(v: str) -> str:
+    return f"({v})::VARCHAR"
+
+
+def listed(v: str, order: str) -> str:
+    return f"'[' || string_agg({v}, ',' ORDER BY {order}) || ']'"
+
+
+def whole_answers(dialect: str, message: str, status: str, counts: str) -> str:
+    """Whole answers of all tools, tool by tool, and the log lines that show their first 300 characters."""
+    local = dialect == "local"
+    words = COMPACT if local else SPOKEN
+    far = "distance_m" if local else "distance"
+    turn = rel_deg("q.yaw", "q.x", "q.y", "q.tx", "q.ty")
+    mixed_turn = rel_deg("m.yaw", "m.x", "m.y", "m.tx", "m.ty")
+    code = "a.code"
+    sentence = (f"CASE WHEN {code} = 4 THEN 'Arrived at ' || dd WHEN {code} = 2 THEN 'Currently navigating to ' || dd WHEN {code} = 6 THEN "
+                f"'Navigation to ' || dd || ' failed — path may be blocked' WHEN {code} = 5 THEN 'Navigation was canceled' ELSE 'Status: accepted' END")
+    place = obj(zone=quoted("d.zone"), parent_zone=quoted("d.parent_zone"), full_path=quoted("d.full_path"))
+    found = obj(id=number("o.id"), label=quoted("o.label"), map_position=obj(x=number("o.x"), y=number("o.y")), location=place)
+    thing = obj(id=number("o.id"), label=quoted("o.label"), confidence=number("o.confidence"), num_points=number("o.num_points"),
+                centroid_3d=obj(x=number("o.x"), y="'0.0'", z=number("o.y")), map_position=obj(x=number("o.x"), y=number("o.y")), location=place)
+    corner = " || ',' || ".join(f"'[' || z.x{i}::VARCHAR || ',' || z.y{i}::VARCHAR || ']'" for i in (1, 2, 3, 4))
+    children = f"(SELECT {listed(quoted('k.name'), 'k.zord')} FROM hier k WHERE k.parent = z.name)"
+    empty = lambda v: f"coalesce({v}, '[]')"
+    goal = lambda kind, name, x, y: (
+        obj(status="'\"goal_sent\"'", **{kind: quoted(name)}, goal_x=number(rnd(x, 3)), goal_y=number(rnd(y, 3))) if local else
+        obj(success="'true'", **{kind: quoted(name)}, goal=obj(x=number(rnd(x, 3)), y=number(rnd(y, 3)))))
+    missing = "'Object ''' || q.object_label || ''' not found."
+    lost = (obj(error=quoted(missing + "'"), hint="'\"Use list_objects to see available object labels.\"'") if local else
+            obj(error=quoted(missing + " Use list_objects to see available labels.'")))
+    around = dict(current_zone=quoted("z.current_zone"), **({"radius_m": "'3.0'"} if local else {"count": number("coalesce(k.n, 0)")}),
+                  nearby_objects=empty("k.items"))
+    status_body = dict(status=quoted(f"coalesce({case(code, STATUS_NAMES[dialect])}, '{'no_goal' if local else 'unknown'}')"),
+                       destination=quoted("a.destination"), **({} if local else {"message": quoted(sentence)}))
+    cancelled = "'{\"error\":\"Unknown tool: cancel_navigation\"}'" if local else "'{\"success\":true,\"message\":\"Navigation cancelled\"}'"
+    answers = {
+        "get_robot_pose": f"SELECT q.request_id, " + obj(
+            x=number(rnd("q.x", 3)), y=number(rnd("q.y", 3)), yaw_deg=number(rnd(f"(q.yaw*{TO_DEG})", 1)), frame="'\"map\"'",
+            current_zone=quoted("z.current_zone")) + " AS result FROM q LEFT JOIN posezone z USING (request_id)",
+        "describe_surroundings": f"SELECT q.request_id, {obj(**around)} FROM q LEFT JOIN posezone z USING (request_id) LEFT JOIN ("
+            f"SELECT request_id, count(*) AS n, {listed(obj(label=quoted('label'), **{far: number('dd'), 'direction': quoted(sector('g', words))}), 'dd, ord')} AS items "
+            f"FROM (SELECT *, {rnd('d', 2)} AS dd, {rel_deg('yaw', 'x', 'y', 'ox', 'oy')} AS g FROM near3) GROUP BY 1) k USING (request_id)",
+        "find_nearest": f"SELECT q.request_id, " + obj(
+            label=quoted("b.label"), distance_m=number(rnd("b.d", 2)), direction=quoted(sector("b.g", words)), zone=quoted("f.zone")) +
+            f" FROM q JOIN (SELECT *, {rel_deg('yaw', 'x', 'y', 'ox', 'oy')} AS g FROM best) b USING (request_id) LEFT JOIN ("
+            f"SELECT id, arg_min(name, zord) AS zone FROM inzone GROUP BY 1) f ON f.id = b.ord",
+        "distance_to": f"SELECT request_id, CASE WHEN destination IS NULL THEN " + obj(
+            error=quoted("'Destination ''' || name || ''' not found.'"), hint="'\"Use list_zones or list_objects to see available names.\"'") + " ELSE " + obj(
+            destination=quoted("destination"), destination_type=quoted("kind"), distance_m=number(rnd("d", 2)), direction=quoted(sector("g", words))) +
+            f" END FROM (SELECT m.*, {dist('m.x', 'm.y', 'm.tx', 'm.ty')} AS d, {mixed_turn} AS g FROM mixed m JOIN q USING (request_id))",
+        "describe_route": f"SELECT q.request_id, " + obj(
+            destination=quoted("q.zone_name"), total_distance_m=number(rnd(dist("q.x", "q.y", "q.tx", "q.ty"), 2)), direction=quoted(sector(turn, words)),
+            zones_along_path=empty("a.items"), objects_along_path=empty("b.items")) +
+            f" FROM q LEFT JOIN (SELECT request_id, {listed(quoted('name'), 'zord')} AS items FROM met GROUP BY 1) a USING (request_id) LEFT JOIN ("
+            f"SELECT request_id, {listed(obj(label=quoted('label'), distance_along_path_m=number('along'), side_offset_m=number('side')), 'along, ord')} AS items "
+            f"FROM passed GROUP BY 1) b USING (request_id)",
+        "orient_me": "SELECT request_id, " + obj(
+            target=quoted("zone_name"), direction_from_current=quoted(sector("g", words)), turn_degrees=number(rnd("g", 1)),
+            message=quoted(message.format(n="zone_name"))) + f" FROM (SELECT q.*, {turn} AS g FROM q)",
+        "navigate_to_zone": f"SELECT request_id, {goal('zone', 'zone_name', 'tx', 'ty')} FROM q",
+        "navigate_to_object": f"SELECT q.request_id, CASE WHEN o.label IS NULL THEN {lost} ELSE {goal('object', 'o.label', 'o.x', 'o.y')} END FROM q LEFT JOIN ("
+            f"SELECT *, row_number() OVER (PARTITION BY lower(label) ORDER BY ord) AS rn FROM obj) o ON rn = 1 AND lower(o.label) = q.label_key",
+        "query_object": "SELECT q.request_id, " + obj(
+            query=quoted("q.object_label"), found="CASE WHEN k.n IS NULL THEN 'false' ELSE 'true' END", count=number("k.n"), objects=empty("k.items")) +
+            f" FROM q LEFT JOIN (SELECT lower(o.label) AS label_key, count(*) AS n, {listed(thing, 'o.ord')} AS items "
+            f"FROM obj o LEFT JOIN deepest d ON d.id = o.id GROUP BY 1) k USING (label_key)",
+        "get_navigation_status": f"SELECT a.request_id, {obj(**status_body)} FROM (SELECT a.*, g.destination, coalesce(g.destination, 'None') AS dd FROM ("
+            f"SELECT q.*, s.code FROM q ASOF LEFT JOIN ({status}) s ON q.robot_id = s.robot_id AND q.ts >= s.ts) a "
+            f"ASOF LEFT JOIN goals g ON a.robot_id = g.robot_id AND a.ts >= g.ts) a",
+        "cancel_navigation": f"SELECT request_id, {cancelled} FROM q",
+        "query_zone": "SELECT q.request_id, " + obj(query=quoted("q.zone_name"), found="'true'", zone="r.body", objects=empty("c.objects"),
+                                                    direct_objects=empty("c.direct")) + " FROM q JOIN (SELECT z.zord, " + obj(
+            name=quoted("z.name"), display_name=quoted("z.full_path"), parent=quoted("z.parent"), depth=number("z.depth"), children=empty(children),
+            vertices_world=f"'[' || {corner} || ']'", num_objects=number("n.num_objects"), num_direct_objects=number("n.num_direct_objects")) +
+            f" AS body FROM hier z JOIN ({counts}) n USING (zord)) r ON r.zord = q.zone_zord LEFT JOIN ("
+            f"SELECT i.zord, {listed(found, 'o.ord')} AS objects, '[' || string_agg({found}, ',' ORDER BY o.ord) FILTER (d.zone = i.name) || ']' AS direct "
+            f"FROM inzone i JOIN obj o ON o.id = i.id JOIN deepest d ON d.id = i.id GROUP BY 1) c ON c.zord = q.zone_zord",
+        "list_zones": "SELECT request_id, '{\"zones\":' || (SELECT " + listed(
+            f"'{{\"name\":\"' || z.name || '\",\"display_name\":\"' || z.full_path || '\"' || coalesce(',\"parent\":' || {quoted('z.parent')}, '') "
+            f"|| coalesce(',\"children\":' || {children}, '') || '}}'", "z.zord") + " FROM hier z) || '}' FROM q",
+        "list_objects": "SELECT request_id, '{\"objects\":' || (SELECT " + listed(quoted("label"), "label") +
+            " FROM (SELECT DISTINCT label FROM obj)) || '}' FROM q"}
+    value = {"find_nearest": "n.keyword", "distance_to": "m.name", "navigate_to_object": "l.object_label", "query_object": "l.object_label"}
+    args = "CASE t.tool " + " ".join(f"WHEN '{t}' THEN {obj(**{a: quoted(value.get(t, 'n.zone_name'))})}"
+                                     for t, a in TOOL_ARGUMENTS.items() if a is not None) + " ELSE '{}' END"
+    lot = "n.request_id % 400"
+    tools = "[" + ", ".join(f"'{t}'" for t in TOOL_ARGUMENTS) + "]"
+    asked = (f"asked AS MATERIALIZED (SELECT n.*, l.object_label, l.label_key, t.tool, {args} AS args FROM named n JOIN labelreq l USING (request_id) "
+             f"JOIN mixed m USING (request_id) JOIN (SELECT request_id, list_extract({tools}, (CASE WHEN {lot} = 0 THEN 12 WHEN {lot} = 1 THEN 13 "
+             f"WHEN {lot} < 10 THEN 11 ELSE {lot} % 11 END + 1)::INT) AS tool FROM named n) t USING (request_id))")
+    every = " UNION ALL ".join(f"SELECT * FROM (WITH q AS (SELECT * FROM asked WHERE tool = '{t}') {sql})" for t, sql in answers.items())
+    return query("SELECT request_id, tool, result AS result_json, '[tool] ' || tool || '(' || args || ') -> ' || substr(result, 1, 300) AS line "
+                 f"FROM asked JOIN ({every}) USING (request_id)", "named", "labelreq", "mixed", "best", "posezone", "near3", "met", "passed", "deepest",
+                 "obj", "goals", "hier", extra=asked)
+
+
 def query(body: str, *ctes: str, extra: str = "") -> str:
     """The body over the named common tables, then over ``extra`` ones of its own."""
     if not ctes:
@@ -524,6 +630,8 @@ def statements() -> dict[str, str]:
         f"ELSE 'Status: accepted' END AS message FROM (SELECT a.request_id, a.code, g.destination, coalesce(g.destination, 'None') AS dd FROM ("
         f"SELECT l.*, s.code FROM late l ASOF LEFT JOIN ({status}) s ON l.robot_id = s.robot_id AND l.ts >= s.ts) a "
         f"ASOF LEFT JOIN goals g ON a.robot_id = g.robot_id AND a.ts >= g.ts)", "late", "goals")
+    for dialect, key in (("cloud", "whole_answers"), ("local", "whole_answers_local")):
+        s[key] = whole_answers(dialect, message, status, counts.format(f=only))
     s["latest_status"] = (
         f"SELECT robot_id, status_code FROM (SELECT user_id AS robot_id, {code}::INT AS status_code, "
         f"row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

@@ -636,6 +636,23 @@ def answer_documents(spark, sf):
                        size("$.objects_along_path").alias("objects"))
 
 
+def _whole_answers(spark, sf, dialect):
+    asked = D.all_tool_requests(_mixed_names(spark, sf))
+    got = dispatch.documents(dispatch.answer_requests(asked, D.poses(spark, sf), published(spark, sf), D.nav_status(spark, sf),
+                                                      _goal_log(spark, sf), dialect))
+    return got.select("request_id", "tool", "result_json").join(
+        dispatch.debug_lines(asked, got).select("request_id", F.col("text").alias("line")), "request_id")
+
+
+def whole_answers(spark, sf):
+    """All tools through dispatch: whole JSON texts and whole log lines."""
+    return _whole_answers(spark, sf, "cloud")
+
+
+def whole_answers_local(spark, sf):
+    return _whole_answers(spark, sf, "local")
+
+
 def debug_lines(spark, sf):
     asked, got = _answers(spark, sf, ("find_nearest",))
     return dispatch.debug_lines(asked, got.headers.where("tool = 'find_nearest'")).select(
@@ -915,6 +932,6 @@ QUERIES = {f.__name__: f for f in (
     goals_for_objects, list_zones, list_objects, query_zone, query_zone_contents, query_object,
     query_object_matches, zones_report, navigation_status, latest_status, cancellations,
     last_log_lines, log_counts, utterances, request_arguments, answered_requests, answer_items,
-    answer_documents, debug_lines, pose_log_lines, goal_log_lines, conversation_history, content_blocks, tool_calls, tool_results,
+    answer_documents, whole_answers, whole_answers_local, debug_lines, pose_log_lines, goal_log_lines, conversation_history, content_blocks, tool_calls, tool_results,
     final_texts, scored_cases, eval_report, live_pose_zone, stream_latched_state, stream_first_receipt, stream_pose_zone,
     stream_statuses, stream_log_ring, stream_arrivals, stream_timeouts, stream_realigned, stream_answers, journey_status, planned_journeys)}

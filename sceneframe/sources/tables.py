@@ -16,6 +16,11 @@ from sceneframe.operators.scale import broadcast_if_small, checkpoint, spread
 KEYWORDS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")
 TOOL_OF_EVENT = {"view": "describe_surroundings", "click": "find_nearest",
                  "error": "distance_to", "purchase": "describe_route", "signup": "query_zone"}
+# Every tool with its argument, if it needs one.  Of 400 requests one lists the zones, one the labels and eight report a zone.
+TOOL_ARGUMENTS = {"get_robot_pose": None, "describe_surroundings": None, "find_nearest": "object_type", "distance_to": "destination",
+                  "describe_route": "destination", "orient_me": "target", "navigate_to_zone": "zone_name",
+                  "navigate_to_object": "object_label", "query_object": "object_label", "get_navigation_status": None,
+                  "cancel_navigation": None, "query_zone": "zone_name", "list_zones": None, "list_objects": None}
 STATUS_OF_EVENT = {"view": 2, "click": 1, "purchase": 4, "error": 6, "signup": 5}
 TAG_OF_EVENT = {"view": "pose", "click": "tool", "error": "error", "purchase": "nav",
                 "signup": "voice"}
@@ -131,6 +136,19 @@ def requests(spark: SparkSession, sf_dir: str, zones: DataFrame) -> DataFrame:
                         _mapped(kind, TOOL_OF_EVENT).alias("tool"), args.alias("args"))
 
 
+def all_tool_requests(named: DataFrame) -> DataFrame:
+    """A request for one of all tools per pose (with zone_name, keyword, name and object_label to ask for)."""
+    lot, tools = F.col("request_id") % 400, list(TOOL_ARGUMENTS)
+    place = (F.when(lot == 0, 12).when(lot == 1, 13).when(lot < 10, 11).otherwise(lot % 11)).cast("int")
+    value = {"find_nearest": "keyword", "distance_to": "name", "navigate_to_object": "object_label", "query_object": "object_label"}
+    args = F.lit("{}")
+    for tool, argument in TOOL_ARGUMENTS.items():
+        if argument is not None:
+            args = F.when(F.col("tool") == tool, F.to_json(F.struct(F.col(value.get(tool, "zone_name")).alias(argument)))).otherwise(args)
+    return (named.withColumn("tool", F.element_at(F.array(*[F.lit(t) for t in tools]), place + 1))
+            .select("request_id", "scene_id", "robot_id", "ts", "tool", args.alias("args")))
+
+
 def nav_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = _mapped(F.col("event_type"), STATUS_OF_EVENT)
     return table(spark, sf_dir, "events").select(
