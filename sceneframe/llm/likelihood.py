@@ -211,7 +211,7 @@ def score_documents(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.n
             new = fresh[t, :live]
             x = w.inputs[given[t, :live]]
             if new.any():
-                h[new] = 0
+                h = np.where(new[:, None], np.float32(0), h)
                 x[new] = 0
             h = gru_step(x, h, w.state)[0]
             states.append(h)

@@ -98,6 +98,18 @@ def test_likelihood_sums_to_one_and_learns():
     assert abs(alone - likelihood.score_documents(trained, ids, starts, sizes)[3]) < 1e-2
 
 
+def test_a_score_does_not_depend_on_the_documents_beside():
+    random = np.random.default_rng(1)
+    sizes = random.integers(1, 80, 600)             # more documents than lanes, so that lanes hold several
+    ids = random.integers(0, likelihood.WORDS + 1, sizes.sum())
+    starts = np.cumsum(sizes) - sizes
+    w = likelihood.train(likelihood.first_weights(random.integers(1, 1000, likelihood.WORDS), 50.0), ids, starts, sizes)
+    together = likelihood.score_documents(w, ids, starts, sizes)
+    for d in range(0, 600, 7):
+        alone = likelihood.score_documents(w, ids[starts[d]:starts[d] + sizes[d]], np.zeros(1, int), sizes[d:d + 1])[0]
+        assert abs(alone - together[d]) < 1e-4
+
+
 def test_gradients_match_differences():
     import numpy as np
     ids = np.array([1, 5, 0, 50, 2, 1, 5, 0])
