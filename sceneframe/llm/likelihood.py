@@ -83,19 +83,25 @@ def first_weights(counts: np.ndarray, rest: float) -> Weights:
     return w
 
 
-def gru_step(given: np.ndarray, h: np.ndarray, state: np.ndarray):
-    """New state from input rows and old state; also the gates for backpropagation."""
-    u = h @ state
-    gates = given[:, :2 * WIDTH] + u[:, :2 * WIDTH]
+def gru_step(given: np.ndarray, h: np.ndarray, back_state: np.ndarray):
+    """New state from input columns and old state; also the gates for backpropagation.
+
+    One column per lane: a gate's rows are contiguous, so that each operation is one sweep over memory.
+    """
+    u = back_state @ h
+    gates = given[:2 * WIDTH] + u[:2 * WIDTH]
     gates *= 0.5
     np.tanh(gates, out=gates)                   # the logistic function by way of tanh
     gates *= 0.5
     gates += 0.5
-    z, r = gates[:, :WIDTH], gates[:, WIDTH:]
-    n = r * u[:, 2 * WIDTH:]
-    n += given[:, 2 * WIDTH:]
+    z, r = gates[:WIDTH], gates[WIDTH:]
+    n = r * u[2 * WIDTH:]
+    n += given[2 * WIDTH:]
     np.tanh(n, out=n)
-    return n + z * (h - n), z, r, n, u[:, 2 * WIDTH:]
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, u[2 * WIDTH:]
 
 
 def _tame(weights: np.ndarray) -> bool:
@@ -202,19 +208,20 @@ def score_documents(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.n
     ending = (target >= 0).sum(axis=0)
     order = np.argsort(-ending, kind="stable")             # so that the lanes still running come first
     target, given, fresh, doc, ending = target[:, order], given[:, order], fresh[:, order], doc[:, order], ending[order]
-    h = np.zeros((target.shape[1], WIDTH), np.float32)
+    h = np.zeros((WIDTH, target.shape[1]), np.float32)
+    back_state = np.ascontiguousarray(w.state.T)
     for begin in range(0, len(target), SCORE_STEPS):
         states, wanted, owners = [], [], []
         for t in range(begin, min(len(target), begin + SCORE_STEPS)):
             live = int(np.searchsorted(-ending, -t, side="left"))
-            h = h[:live]
+            h = h[:, :live]
             new = fresh[t, :live]
             x = w.inputs[given[t, :live]]
             if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
+                h = np.where(new, np.float32(0), h)
                 x[new] = 0
-            h = gru_step(x, h, w.state)[0]
-            states.append(h)
+            h = gru_step(np.ascontiguousarray(x.T), h, back_state)[0]
+            states.append(h.T)
             wanted.append(target[t, :live])
             owners.append(doc[t, :live])
         logs, _ = output_loss(w, np.concatenate(states), np.concatenate(wanted))
@@ -229,7 +236,7 @@ def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     target, given, fresh, _ = lane_arrays(ids, starts, sizes, LANES)
     begins = fresh.any(axis=1).tolist()
     lanes = target.shape[1]
-    h = np.zeros((lanes, WIDTH), np.float32)
+    h = np.zeros((WIDTH, lanes), np.float32)
 
     def adapt(p, g, s):
         """Adagrad: the new squares and the step of a scaled gradient."""
@@ -245,39 +252,39 @@ def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
         n_steps = some.stop - begin
         x = w.inputs[given[some]]
         x[fresh[some]] = 0
-        before, z, r, n, u, after = (np.empty((n_steps, lanes, WIDTH), np.float32) for _ in range(6))
+        x = np.ascontiguousarray(x.transpose(0, 2, 1))
+        back_state = np.ascontiguousarray(w.state.T)
+        before, z, r, n, u, after = (np.empty((n_steps, WIDTH, lanes), np.float32) for _ in range(6))
         for k in range(n_steps):
             if begins[begin + k]:
-                h = np.where(fresh[begin + k][:, None], np.float32(0), h)
+                h = np.where(fresh[begin + k], np.float32(0), h)
             before[k] = h
-            h, z[k], r[k], n[k], u[k] = gru_step(x[k], h, w.state)
+            h, z[k], r[k], n[k], u[k] = gru_step(x[k], h, back_state)
             after[k] = h
         live = target[some].ravel() >= 0
-        flat = after.reshape(-1, WIDTH)
+        flat = after.transpose(0, 2, 1).reshape(-1, WIDTH)
         grads = Weights(w.inputs, w.state, np.zeros_like(w.classes), np.zeros_like(w.words))       # of the outputs only
         _, back = output_loss(w, flat[live], target[some].ravel()[live], grads)
         upper = np.zeros_like(flat)
         upper[live] = back
-        upper = upper.reshape(after.shape)
+        upper = np.ascontiguousarray(upper.reshape(n_steps, lanes, WIDTH).transpose(0, 2, 1))
         # what a gradient of the state is multiplied with on its way to the gates, for all steps at once
         by_n = (1 - z) * (1 - n * n)
-        factors = np.concatenate([(before - n) * z * (1 - z), by_n * u * r * (1 - r), by_n * r], axis=2).reshape(n_steps, lanes, 3, WIDTH)
-        throughs = np.empty_like(factors)
-        back_state = np.ascontiguousarray(w.state.T)
+        factors = np.stack([(before - n) * z * (1 - z), by_n * u * r * (1 - r), by_n * r], axis=1)
+        throughs = np.empty((n_steps, 3 * WIDTH, lanes), np.float32)
         carry = np.zeros_like(h)
         for k in range(n_steps - 1, -1, -1):
             d = upper[k]
             d += carry
-            np.multiply(d[:, None, :], factors[k], out=throughs[k])
-            carry = throughs[k].reshape(lanes, 3 * WIDTH) @ back_state
-            d_z = d * z[k]
-            carry += d_z
+            np.multiply(d, factors[k], out=throughs[k].reshape(3, WIDTH, lanes))
+            carry = w.state @ throughs[k]
+            carry += d * z[k]
             if begins[begin + k]:
-                carry[fresh[begin + k]] = 0
-        gates = throughs.reshape(-1, 3 * WIDTH)
+                carry[:, fresh[begin + k]] = 0
+        gates = throughs.transpose(0, 2, 1).reshape(-1, 3 * WIDTH)
         scale = np.float32(32 / max(1, int(live.sum())))
-        of_state = before.reshape(-1, WIDTH).T @ gates
-        gates[:, 2 * WIDTH:] = (upper * by_n).reshape(-1, WIDTH)
+        of_state = before.transpose(1, 0, 2).reshape(WIDTH, -1) @ gates
+        gates[:, 2 * WIDTH:] = (upper * by_n).transpose(0, 2, 1).reshape(-1, WIDTH)
         w.state[...], squares.state[...] = adapt(w.state, of_state, squares.state)
         old = ~fresh[some].ravel()
         used, which = given[some].ravel()[old], gates[old]
