@@ -99,6 +99,7 @@ def test_likelihood_sums_to_one_and_learns():
 
 
 def test_a_score_does_not_depend_on_the_documents_beside():
+    import numpy as np
     random = np.random.default_rng(1)
     sizes = random.integers(1, 80, 600)             # more documents than lanes, so that lanes hold several
     ids = random.integers(0, likelihood.WORDS + 1, sizes.sum())
