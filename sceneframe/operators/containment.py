@@ -25,6 +25,8 @@ from sceneframe.functions import geometry as G
 INDEX_ZONES = 20_000
 INDEX_ENTRIES = 100_000
 INDEX_VERTICES = 1_000_000
+#: bytes of the payload's texts, two per character, over all cells
+INDEX_TEXT_BYTES = 64 << 20
 
 
 @dataclass
@@ -91,10 +93,13 @@ def zone_index(zones: DataFrame, payload=("name",), force: str | None = None,
     valid = zones.where(F.size("vertices") >= 3)
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
     nv = F.size("vertices")
+    texts = [f.name for f in zones.schema if f.name in payload and f.dataType.simpleString() == "string"]
+    nb = sum((F.coalesce(F.length(c), F.lit(0)) * 2 for c in texts), F.lit(0)).cast("double")
     m = valid.agg(
         F.count(F.lit(1)).alias("n"), F.sum(nv).alias("v"),
         F.sum(w * h).alias("wh"), F.sum(w + h).alias("w_h"),
         F.sum(nv * w * h).alias("vwh"), F.sum(nv * (w + h)).alias("vw_h"),
+        F.sum(nb).alias("b"), F.sum(nb * w * h).alias("bwh"), F.sum(nb * (w + h)).alias("bw_h"),
         F.percentile_approx(F.least(w, h), 0.25, 100).alias("side")).first()
     if force in (None, "cells") and m["n"] <= INDEX_ZONES and (m["v"] or 0) <= INDEX_VERTICES:
         size = cell or max((m["side"] or 1.0) / 2.0, 1e-6)
@@ -102,7 +107,8 @@ def zone_index(zones: DataFrame, payload=("name",), force: str | None = None,
             # a box of w x h meets at most (w/c + 1) * (h/c + 1) cells, plus one per side
             entries = (m["wh"] or 0) / size ** 2 + 2 * (m["w_h"] or 0) / size + 4 * m["n"]
             vertices = (m["vwh"] or 0) / size ** 2 + 2 * (m["vw_h"] or 0) / size + 4 * (m["v"] or 0)
-            if entries <= INDEX_ENTRIES and vertices <= INDEX_VERTICES * 4:
+            letters = (m["bwh"] or 0) / size ** 2 + 2 * (m["bw_h"] or 0) / size + 4 * (m["b"] or 0)
+            if entries <= INDEX_ENTRIES and vertices <= INDEX_VERTICES * 4 and letters <= INDEX_TEXT_BYTES:
                 return ZoneIndex(zones, size, _pack_cells(valid, size, payload))
             size *= 2.0
     coarse, fine = zone_levels(valid, 0 if force == "shuffle" else None)

@@ -29,6 +29,20 @@ def spread_points(seed=4, n=400):
     return pts + [(-10.0, -10.0), (110.0, 0.0), (0.0, 110.0), (-10.0, 50.0)]
 
 
+def test_index_weighs_the_texts_it_would_send(spark, monkeypatch):
+    """Names that outgrow the bound turn the broadcast index into grid levels, with the same rows."""
+    rings = [(f"z{i}" * 200, None, rect(i, 0, i + 1.5, 2)) for i in range(20)]
+    zones = H.zone_hierarchy(zones_df(spark, rings))
+    points = spark.createDataFrame([(0, i, i + 0.25, 1.0) for i in range(20)], "scene_id long, ord long, x double, y double")
+    rows = []
+    for bound in (C.INDEX_TEXT_BYTES, 10_000):
+        monkeypatch.setattr(C, "INDEX_TEXT_BYTES", bound)
+        index = C.zone_index(zones)
+        rows.append((index.cells is None, {(r.ord, r.zone_ord) for r in C.points_in_zones(points, index).collect()}))
+    assert [r[0] for r in rows] == [False, True] and rows[0][1] == rows[1][1]
+    assert rows[0][1] == {(i, z) for i in range(20) for z in (i - 1, i) if z >= 0}
+
+
 @pytest.mark.parametrize("form", ["cells", "levels", "shuffle"])
 def test_containment_equals_brute_force(spark, form):
     rings, pts = spread_rings(), spread_points()
