@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import (blob, flat_scene, inside, meets, objects_df, poses_df, prepared, rect, zones_df)
-from sceneframe.operators import containment as C, hierarchy as H, nearest as N, ranges as R, routes as RT
+from sceneframe.operators import containment as C, hierarchy as H, nearest as N, ranges as R, routes as RT, scene as SC
 from sceneframe.operators.lookup import match_substring
 from sceneframe.plans import tools as T
 
@@ -259,3 +259,27 @@ def test_long_routes_among_tiny_zones(spark):
         assert len(pairs) == len(set(pairs)) and set(pairs) == want
     assert (0, 2) in want and (2, 2) in want and (3, 2) in want
     assert RT.route_zones(routes, zones.where("name in ('dot', 'same')")).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_beyond_the_bound_are_not_sent(spark, tmp_path):
+    """Objects in a file of some KB are listed in many cells: Spark's estimate of them may not decide."""
+    spark.range(300).selectExpr(
+        "0L scene_id", "id ord", "id", "concat('thing ', id) label", "double(id % 17) x", "double(id % 13) y").write.parquet(f"{tmp_path}/objects")
+    objects = spark.read.parquet(f"{tmp_path}/objects")
+    poses = poses_df(spark, [(i, float(i % 19), float(i % 7), 0.0, "") for i in range(200)]).withColumn("r", F.col("request_id") % 3 + 0.5)
+    routes = poses.selectExpr("request_id", "scene_id", "x ax", "y ay", "x + 9 bx", "y + 5 by")
+    spark.createDataFrame([(0, z, f"z{z}", None, rect(z, z, z + 2, z + 2)) for z in range(20)], "scene_id long, zord long, name string, parent string, "
+                          "vertices array<array<double>>").write.parquet(f"{tmp_path}/zones")
+    zones = SC.prepare_zones(spark.read.parquet(f"{tmp_path}/zones"))
+    index = C.zone_index(zones, force="shuffle")
+    for small, df in (
+            (R.objects_within(poses, objects, "r"), R.objects_within(poses, objects, "r", broadcast_rows=0)),
+            (RT.route_objects(routes, objects), RT.route_objects(routes, objects, broadcast_rows=0)),
+            (RT.route_zones(routes, zones), RT.route_zones(routes, zones, broadcast_rows=0)),
+            (C.points_in_zones(poses, C.zone_index(zones)), C.points_in_zones(poses, index))):
+        assert "BroadcastHashJoin" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
+        assert sorted(map(str, df.collect())) == sorted(map(str, small.collect()))
