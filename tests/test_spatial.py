@@ -283,3 +283,14 @@ def test_tables_beyond_the_bound_are_not_sent(spark, tmp_path):
             (C.points_in_zones(poses, C.zone_index(zones)), C.points_in_zones(poses, index))):
         assert "BroadcastHashJoin" not in plan_of(df) and "SortMergeJoin" in plan_of(df)
         assert sorted(map(str, df.collect())) == sorted(map(str, small.collect()))
+
+
+def test_counts_are_taken_before_texts_are_put_in_order(spark):
+    """Pairs are counted in a hash table next to the join; a request that comes twice counts twice."""
+    scene = flat_scene(spark)
+    poses = poses_df(spark, [(1, 2.0, 2.0, 0.0, ""), (2, 6.0, 2.0, 0.0, ""), (2, 6.0, 2.0, 0.0, ""), (3, 90.0, 90.0, 0.0, ""), (4, None, None, None, "")])
+    counts = T.surroundings_counts(T.describe_surroundings(poses, scene.objects, scene.index, 2.0, "local"))
+    assert {r.request_id: (r["count"], r.current_zone, r.error) for r in counts.collect()} == {
+        1: (2, "kitchen", None), 2: (4, "living_room", None), 3: (0, None, None), 4: (0, None, T.NO_POSE)}
+    counted = [line for line in plan_of(counts).splitlines() if "count(obj_ord" in line]
+    assert counted and not any("SortAggregate" in line for line in counted)
