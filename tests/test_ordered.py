@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sceneframe.operators import asof, logs
+from sceneframe.operators import asof, logs, scale
 from sceneframe.operators.arrivals import detect_arrivals
 from sceneframe.operators.asof import as_of
 from sceneframe.operators.ranges import rank_nearby
@@ -157,3 +157,15 @@ def test_wall_clock_does_not_depend_on_the_session_zone(spark):
             assert got == [-500000, 1730597415123456]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_narrow_tables_are_cut_by_their_rows(spark):
+    """A table with few partitions gets tasks of a bounded number of rows, however many rows it has."""
+    one = spark.range(20_000).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert scale.spread(one, "id").rdd.getNumPartitions() == cores
+    cut = scale.spread(one, "id", task_rows=1000)
+    sizes = [len(p) for p in cut.rdd.glom().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000 and sum(sizes) == 20_000
+    fine = spark.range(0, 100, 1, 50)
+    assert scale.spread(fine, "id", task_rows=10).rdd.getNumPartitions() == 50

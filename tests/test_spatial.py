@@ -294,3 +294,18 @@ def test_counts_are_taken_before_texts_are_put_in_order(spark):
         1: (2, "kitchen", None), 2: (4, "living_room", None), 3: (0, None, None), 4: (0, None, T.NO_POSE)}
     counted = [line for line in plan_of(counts).splitlines() if "count(obj_ord" in line]
     assert counted and not any("SortAggregate" in line for line in counted)
+
+
+def test_edges_as_columns_and_as_lists_agree(spark, monkeypatch):
+    """Zones of three to nine edges, with routes along edges, through corners and inside: no matter how many edges are columns."""
+    rng = random.Random(11)
+    rings = [(f"z{i}", None, blob(rng, rng.uniform(0, 60), rng.uniform(0, 60), rng.choice([2, 8, 25]), 3 + i % 7)) for i in range(40)]
+    rings += [("square", None, rect(10, 10, 20, 20)), ("line", None, [[1.0, 1.0], [5.0, 5.0]])]
+    ways = [tuple(rng.uniform(-5, 65) for _ in range(4)) for _ in range(150)]
+    ways += [(5.0, 10.0, 30.0, 10.0), (10.0, 0.0, 10.0, 40.0), (0.0, 0.0, 30.0, 30.0), (12.0, 12.0, 13.0, 14.0), (0.0, 20.0, 20.0, 0.0)]
+    routes = spark.createDataFrame([(i, 0, *w) for i, w in enumerate(ways)], "request_id long, scene_id long, ax double, ay double, bx double, by double")
+    want = {(i, z) for i, w in enumerate(ways) for z, (_, _, v) in enumerate(rings) if meets(*w, v)}
+    for flat in (0, 4, 6):
+        monkeypatch.setattr(RT, "_FLAT", flat)
+        got = [(r.request_id, r.zone_ord) for r in RT.route_zones(routes, prepared(spark, rings)).collect()]
+        assert set(got) == want and len(got) == len(want)
