@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
-from itertools import filterfalse, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ _HASHES = 1 << 40
 SHARD_DOCS, SHARD_BYTES = 512, 1 << 20
 #: bytes of chunks and their ids that a worker remembers; results don't depend on it
 CACHE_BYTES = 192 << 20
+#: ASCII punctuation, and words of Latin letters after at most one space: whole matches of the byte-level pattern
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_WORD = re.compile(" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)")
+_LONGEST = 100
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                      ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary()), ("dictionary_sha256", pa.string())])
 _SHARDS_DDL = ("part int, shard int, first_id long, last_id long, start long, n_tokens long, doc_ids array<long>, sizes array<int>, "
@@ -54,7 +59,8 @@ class Encoder:
 
     A pre-tokenizer of the byte-level kind never crosses the place before a lone space or around a lone line feed,
     so in texts whose white space is of that kind the pieces between are encoded once and remembered.  Other
-    texts, and all texts of other tokenizers, are encoded whole.
+    texts, and all texts of other tokenizers, are encoded whole.  A piece that is a plain word (and punctuation after
+    it) needs no pre-tokenizer: the library's model gets its byte-level letters at once.
     """
 
     def __init__(self, file: str, end_id: int):
@@ -70,6 +76,11 @@ class Encoder:
         self.parts = isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and self.tokenizer.normalizer is None
         self.line = self._ids(["\n"])[0]
         self.parts &= len(self.line) == self.kind.itemsize
+        self.model = self.tokenizer.model
+        # tokens that are cut out of a text before its words
+        self.words = self.parts and all(t.special for t in self.tokenizer.get_added_tokens_decoder().values())
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        self.letters = dict(zip(plain, plain)) | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         self.cache: dict[str, bytes] = {"\n": self.line}
         self.held = 0
 
@@ -88,6 +99,42 @@ class Encoder:
                 first = cut + self.kind.itemsize
         return out
 
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """The same for single matches of the pattern, from the library's model."""
+        tokenize, space, ids, ends = self.model.tokenize, chr(self.letters[32]), [], []
+        for word in words:
+            seen = word.replace(" ", space) if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in tokenize(seen)]
+            ends.append(len(ids))
+        packed, size, first, out = np.array(ids, self.kind).tobytes(), self.kind.itemsize, 0, []
+        for end in ends:
+            out.append(packed[first:end * size])
+            first = end * size
+        return out
+
+    def _remember(self, pieces: list[str], ids: list[bytes]) -> None:
+        for piece, packed in zip(pieces, ids, strict=True):
+            self.cache[piece] = packed
+            self.held += len(piece) + len(packed) + 150
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode some pieces and remember their ids."""
+        other, words, parted = [], set(), []
+        for piece in pieces:
+            word = piece.rstrip(_MARKS)
+            plain = word.removeprefix(" ")
+            if self.words and len(piece) <= _LONGEST and (plain.isalpha() if plain.isascii() else _WORD.fullmatch(word)):
+                words.add(word)
+                if len(word) < len(piece):
+                    parted.append((piece, word, piece[len(word):]))
+            else:
+                other.append(piece)
+        words.update([tail for _, _, tail in parted])
+        new = [w for w in words if w not in self.cache]
+        self._remember(new, self._ids_of_words(new))
+        self._remember([p for p, _, _ in parted], [self.cache[word] + self.cache[tail] for _, word, tail in parted])
+        self._remember(other, self._ids_of_pieces(other))
+
     def _pieces(self, text: str) -> list[str]:
         if self.parts and "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
             return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
@@ -100,18 +147,20 @@ class Encoder:
             self.cache = dict(islice(self.cache.items(), len(self.cache) // 3))    # the first third holds the frequent pieces
             self.held = sum(len(k) + len(v) + 150 for k, v in self.cache.items())
         known, single = self.cache, [p[0] for p in split if len(p) == 1]
+        found = [list(map(known.get, pieces)) if len(pieces) > 1 else [] for pieces in split]
         missing: set[str] = set()
-        for pieces in split:
-            if len(pieces) > 1:
-                missing.update(filterfalse(known.__contains__, pieces))
+        for pieces, ids in zip(split, found):
+            if None in ids:
+                missing.update([p for p, x in zip(pieces, ids) if x is None])
         new = list(missing)
         for start in range(0, len(new), 4096):
-            some = new[start:start + 4096]
-            for piece, ids in zip(some, self._ids_of_pieces(some), strict=True):
-                known[piece] = ids
-                self.held += len(piece) + len(ids) + 150
-        find, whole = known.__getitem__, iter(self._ids(single))
-        return [(b"".join(map(find, pieces)) if len(pieces) > 1 else next(whole)) + self.end for pieces in split]
+            self._learn(new[start:start + 4096])
+        whole, out = iter(self._ids(single)), []
+        for pieces, ids in zip(split, found):
+            if None in ids:
+                ids = [known[p] if x is None else x for p, x in zip(pieces, ids)]
+            out.append((b"".join(ids) if len(pieces) > 1 else next(whole)) + self.end)
+        return out
 
 
 @lru_cache(2)

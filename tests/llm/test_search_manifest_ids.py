@@ -193,3 +193,14 @@ def test_pieces_are_exact(encode):
     odd += ["".join(rng.choice(["a", "B", "'s", " ", " ", "\n", "\t", "1", "é", "\xa0", "　", "!", "中"]) for _ in range(rng.randint(1, 40))) for _ in range(400)]
     assert [encoder.encode([t])[0] for t in odd] == [b"".join(i.to_bytes(2, "little") for i in encode(t)) for t in odd]
     assert encoder.encode(odd) == [encoder.encode([t])[0] for t in odd]
+
+
+def test_plain_words_need_no_pre_tokenizer(encode, monkeypatch):
+    """Words of Latin letters, with punctuation after them, go to the library's model; the ids are those of the whole text."""
+    encoder = idfiles.Encoder(TOKENIZER, END_ID)
+    sent = []
+    monkeypatch.setattr(encoder, "_ids_of_pieces", lambda pieces, own=encoder._ids_of_pieces: sent.extend(pieces) or own(pieces))
+    text = "Whole words, überall, Ünïcode: dogs' end.\nnext (line) don't x's 12 a1 µm ﬁn a×b ... " + "a" * 200 + ", ½ 中文. z"
+    assert encoder.encode([text])[0] == b"".join(i.to_bytes(2, "little") for i in encode(text))
+    assert not {"Whole", " words,", " überall,", " Ünïcode:", " dogs'", " end.", "next", " z"} & set(sent)
+    assert {" (line)", " don't", " x's", " a1", " µm", " ﬁn", " a×b"} <= set(sent)
