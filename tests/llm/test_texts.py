@@ -160,6 +160,15 @@ def test_crowded_grams_and_chains(spark, monkeypatch):
     assert found == {i: expect[i, t] for i, t in rows}
 
 
+def test_rows_under_a_gram_are_counted_where_they_are_chosen():
+    """Groups parted by batches; only rows that stay count."""
+    import pyarrow as pa
+    rows = [(1, b"a", 10, 0), (1, b"b", 10, 1), (1, b"c", 90, 2), (2, b"a", 10, 1), (3, b"a", 10, 2), (3, b"b", 11, 0), (3, b"c", 12, 0)]
+    table = pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["gram", "key", "size", "at"])
+    found = [r for b in overlap._near_sizes(80)(iter(table.to_batches(max_chunksize=2))) for r in b.to_pylist()]
+    assert [(r["gram"], r["key"], r["n"]) for r in found] == [(1, b"a", 2), (1, b"b", 2), (3, b"a", 3), (3, b"b", 3), (3, b"c", 3)]
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     tiktoken = pytest.importorskip("tiktoken")
