@@ -19,6 +19,7 @@ shards and a dictionary without content.  A text of any length is one frame.  On
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -113,9 +114,8 @@ class Encoder:
         return out
 
     def _remember(self, pieces: list[str], ids: list[bytes]) -> None:
-        for piece, packed in zip(pieces, ids, strict=True):
-            self.cache[piece] = packed
-            self.held += len(piece) + len(packed) + 150
+        self.cache.update(zip(pieces, ids, strict=True))
+        self.held += sum(map(len, pieces)) + sum(map(len, ids)) + 150 * len(pieces)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode some pieces and remember their ids."""
@@ -136,30 +136,52 @@ class Encoder:
         self._remember(other, self._ids_of_pieces(other))
 
     def _pieces(self, text: str) -> list[str]:
-        if self.parts and "\0" not in text and " ".join(text.split()) == text.replace("\n", " "):
-            return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        return [text]
+        """Pieces of a text whose white space is lone spaces and line feeds; else the text, or pieces of which one is empty or a space."""
+        if not self.parts:
+            return [text]
+        if not text.replace("\n", " ").isprintable() and ("\0" in text or " ".join(text.split()) != text.replace("\n", " ")):
+            return [text]                        # all other white space counts as not printable
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of whole texts, each with the end id."""
-        split = [self._pieces(t) for t in texts]
+        collects = gc.isenabled()
+        gc.disable()                 # nothing here is cyclic, and the collector would walk the lists of pieces again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if self.held > CACHE_BYTES:
             self.cache = dict(islice(self.cache.items(), len(self.cache) // 3))    # the first third holds the frequent pieces
             self.held = sum(len(k) + len(v) + 150 for k, v in self.cache.items())
-        known, single = self.cache, [p[0] for p in split if len(p) == 1]
-        found = [list(map(known.get, pieces)) if len(pieces) > 1 else [] for pieces in split]
-        missing: set[str] = set()
-        for pieces, ids in zip(split, found):
-            if None in ids:
-                missing.update([p for p, x in zip(pieces, ids) if x is None])
-        new = list(missing)
-        for start in range(0, len(new), 4096):
-            self._learn(new[start:start + 4096])
-        whole, out = iter(self._ids(single)), []
-        for pieces, ids in zip(split, found):
-            if None in ids:
-                ids = [known[p] if x is None else x for p, x in zip(pieces, ids)]
-            out.append((b"".join(ids) if len(pieces) > 1 else next(whole)) + self.end)
+        known, end = self.cache, self.end
+        out: list[bytes | None] = [None] * len(texts)
+        whole, partly, missing = [], [], set()
+        for k, text in enumerate(texts):
+            pieces = self._pieces(text)
+            if len(pieces) == 1:
+                whole.append(k)
+                continue
+            ids = list(map(known.get, pieces))
+            try:
+                out[k] = b"".join(ids) + end
+            except TypeError:                    # a piece is not known yet
+                new = {p for p, x in zip(pieces, ids) if x is None}
+                if "" in new or " " in new:      # white space beside white space, or at an end: these two are never remembered
+                    whole.append(k)
+                else:
+                    missing |= new
+                    partly.append((k, pieces, ids))
+        found = list(missing)
+        for start in range(0, len(found), 4096):
+            self._learn(found[start:start + 4096])
+        for k, pieces, ids in partly:
+            out[k] = b"".join([known[p] if x is None else x for p, x in zip(pieces, ids)]) + end
+        for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
+            out[k] = ids + end
         return out
 
 

@@ -1,5 +1,6 @@
 """Ranked search, Merkle manifest and id files against plain versions."""
 
+import gc
 import hashlib
 import math
 import random
@@ -195,6 +196,17 @@ def test_pieces_are_exact(encode):
     assert encoder.encode(odd) == [encoder.encode([t])[0] for t in odd]
 
 
+def test_encoding_is_not_slowed_by_the_collector(encode):
+    """No garbage collection walks the lists of pieces; afterwards the collector is as it was."""
+    encoder = idfiles.Encoder(TOKENIZER, END_ID)
+    texts = [f"w{k} some words, a\nline {k}" for k in range(5000)] + ["two  spaces", ""]
+    before = gc.get_stats()
+    found = encoder.encode(texts)
+    assert [s["collections"] for s in gc.get_stats()] == [s["collections"] for s in before]
+    assert gc.isenabled() and not {"", " "} & set(encoder.cache)
+    assert found == [b"".join(i.to_bytes(2, "little") for i in encode(t)) for t in texts]
+
+
 def test_plain_words_need_no_pre_tokenizer(encode, monkeypatch):
     """Words of Latin letters, with punctuation after them, go to the library's model; the ids are those of the whole text."""
     encoder = idfiles.Encoder(TOKENIZER, END_ID)
