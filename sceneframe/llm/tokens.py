@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 from public_tokenizers import PATTERN
-from sceneframe.llm.common import MEMORIES, by_batch, thin
+from sceneframe.llm.common import MEMORIES, by_batch, release, thin
 
 #: above every rank
 _NONE = np.int64(1) << 40
@@ -289,6 +289,8 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, keep: tuple[str, ...]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 names=[*batch.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
+            batch = texts = n = ids = back = packed = None
+            release("bpe")
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return (docs.select(F.col("text").alias("_text"), *keep)

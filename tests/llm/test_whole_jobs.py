@@ -16,6 +16,27 @@ def test_near_copies_of_the_pipeline(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.without_copies(spark, docs, "").collect()) == [1, 3]
 
 
+def test_stages_send_batches_of_bounded_bytes(spark):
+    """30 MB of texts under 10,000 rows reach Python in parts once a stage has been planned; a bound of the session's own stays."""
+    import pyarrow as pa
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    docs = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "repeat('x', 10000) as text", "'en' as lang", "'s' as source")
+    try:
+        corpus_pipeline.encoded(spark, docs, "")
+        found = docs.select("text").mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 5 << 20
+        spark.conf.set(bound, "9m")
+        corpus_pipeline.encoded(spark, docs, "")
+        assert spark.conf.get(bound) == "9m"
+    finally:
+        spark.conf.unset(bound)
+
+
 def test_all_training_documents_reach_the_model(spark):
     """Every document has a word of its own; input weights move only for words that were trained on."""
     import numpy as np
