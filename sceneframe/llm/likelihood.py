@@ -43,6 +43,8 @@ LANES, STEPS = 64, 24
 SCORE_LANES, SCORE_STEPS = 256, 64
 #: tokens a task counts at once, and characters of the documents it trains on or scores side by side
 _BLOCK, _TEXT = 1 << 21, 1 << 23
+#: hashes compared one after the other before a binary search
+_STEPS = 6
 RATE = 0.15
 END = np.uint64(0x0123456789ABCDEF)
 _NO_ID = -(1 << 63)
@@ -106,19 +108,25 @@ def gru_step(given: np.ndarray, h: np.ndarray, back_state: np.ndarray):
 
 def _tame(weights: np.ndarray) -> bool:
     """Whether no state (its values are within 1) can take the outputs where exp leaves the range of its type."""
-    return float(np.abs(weights).sum(axis=-1).max()) <= 80
+    return float((np.abs(weights) @ np.ones(weights.shape[-1], weights.dtype)).max()) <= 80
+
+
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """Token ids or classes, if they fit, in a type that a stable sort takes by its digits."""
+    return numbers.astype(np.uint16) if WORDS < 1 << 16 else numbers
 
 
 def _softmax(x: np.ndarray, pick: np.ndarray, tame: bool):
     """Log softmax of one column of each row, and its loss gradient, which overwrites x."""
-    rows = np.arange(len(x))
+    at = np.arange(0, x.size, x.shape[1]) + pick
+    flat = x.reshape(-1)
     if not tame:
         x -= x.max(axis=1, keepdims=True)
-    own = x[rows, pick]
+    own = flat[at]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
     x /= total[:, None]
-    x[rows, pick] -= 1
+    flat[at] -= 1
     return own - np.log(total), x
 
 
@@ -126,7 +134,7 @@ def _picked(x: np.ndarray, pick: np.ndarray, tame: bool) -> np.ndarray:
     """Log softmax of one column of each row; overwrites x."""
     if not tame:
         x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), pick]
+    own = x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + pick]
     np.exp(x, out=x)
     return own - np.log(x @ np.ones(x.shape[1], x.dtype))
 
@@ -143,12 +151,12 @@ def output_loss(w: Weights, h: np.ndarray, target: np.ndarray, grads: Weights |
         total = own.astype(np.float64)
         grads.classes[...] += d.T @ wide
         back = d @ w.classes[:, :-1]
-    order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+    order = np.argsort(_small(kind), kind="stable")
+    bounds = np.r_[0, np.cumsum(np.bincount(kind, minlength=CLASSES + 1)[:CLASSES])].tolist()
     runs = [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
     order = order[:bounds[-1]]
     pick = (target[order] - 1) % SIZE
-    own = wide[order]
+    own = wide.take(order, axis=0)
     x = np.empty((len(order), SIZE), np.result_type(wide, w.words))
     for c, run in runs:
         np.matmul(own[run], w.words[c].T, out=x[run])
@@ -216,7 +224,7 @@ def score_documents(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.n
             live = int(np.searchsorted(-ending, -t, side="left"))
             h = h[:, :live]
             new = fresh[t, :live]
-            x = w.inputs[given[t, :live]]
+            x = w.inputs.take(given[t, :live], axis=0)
             if new.any():
                 h = np.where(new, np.float32(0), h)
                 x[new] = 0
@@ -250,7 +258,7 @@ def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
     for begin in range(0, len(target), STEPS):
         some = slice(begin, min(len(target), begin + STEPS))
         n_steps = some.stop - begin
-        x = w.inputs[given[some]]
+        x = w.inputs.take(given[some], axis=0)
         x[fresh[some]] = 0
         x = np.ascontiguousarray(x.transpose(0, 2, 1))
         back_state = np.ascontiguousarray(w.state.T)
@@ -286,14 +294,15 @@ def train(w: Weights, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
         of_state = before.transpose(1, 0, 2).reshape(WIDTH, -1) @ gates
         gates[:, 2 * WIDTH:] = (upper * by_n).transpose(0, 2, 1).reshape(-1, WIDTH)
         w.state[...], squares.state[...] = adapt(w.state, of_state, squares.state)
-        old = ~fresh[some].ravel()
-        used, which = given[some].ravel()[old], gates[old]
-        order = np.argsort(used, kind="stable")
+        old = np.flatnonzero(~fresh[some].ravel())
+        used = given[some].ravel()[old]
+        order = np.argsort(_small(used), kind="stable")
         if len(order):
             # tokens that weren't given have no gradient: their rows stay
-            starts_of = np.flatnonzero(np.r_[True, np.diff(used[order]) != 0])
-            token = used[order][starts_of]
-            sums = np.add.reduceat(which[order], starts_of, axis=0)
+            used = used[order]
+            starts_of = np.flatnonzero(np.r_[True, used[1:] != used[:-1]])
+            token = used[starts_of]
+            sums = np.add.reduceat(gates.take(old[order], axis=0), starts_of, axis=0)
             w.inputs[token], squares.inputs[token] = adapt(w.inputs[token], sums, squares.inputs[token])
         for p, g, s in ((w.classes, grads.classes, squares.classes), (w.words, grads.words, squares.words)):
             p[...], s[...] = adapt(p, g, s)
@@ -310,11 +319,37 @@ class Vocabulary(NamedTuple):
     known: int              # tokens within the model's vocabulary
 
     def find(self, tokens: np.ndarray) -> np.ndarray:
-        """Place among the held hashes, -1 if not there."""
+        """Place among the held hashes, -1 if not there.
+
+        Many tokens go by a table of where the hashes with the same leading bits begin, which mostly leaves one to
+        compare with; what a few steps from there don't settle, and few tokens, are found by binary search.
+        """
         if not len(self.hashes):
             return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == tokens, at, -1)
+        last = len(self.hashes) - 1
+        if len(tokens) < len(self.hashes) // 8:
+            at = np.minimum(np.searchsorted(self.hashes, tokens), last)
+            return np.where(self.hashes[at] == tokens, at, -1)
+        shift = np.uint64(64 - max(8, last.bit_length()))
+        begins = np.zeros((1 << (64 - int(shift))) + 1, np.int64)
+        np.cumsum(np.bincount((self.hashes >> shift).view(np.int64), minlength=len(begins) - 1), out=begins[1:])
+        at = np.minimum(begins.take((tokens >> shift).view(np.int64)), last)
+        met = self.hashes.take(at)
+        out = np.where(met == tokens, at, -1)
+        # a hash that is larger ends the search, as does the last one
+        left = np.flatnonzero((met < tokens) & (at < last))
+        for _ in range(_STEPS):
+            if not len(left):
+                return out
+            wanted, at_left = tokens[left], at[left] + 1
+            met = self.hashes.take(at_left)
+            found = met == wanted
+            out[left[found]] = at_left[found]
+            at[left] = at_left
+            left = left[(met < wanted) & (at_left < last)]
+        at = np.minimum(np.searchsorted(self.hashes, tokens[left]), last)
+        out[left] = np.where(self.hashes[at] == tokens[left], at, -1)
+        return out
 
     def ids(self, place: np.ndarray) -> np.ndarray:
         """Model ids: 1 + rank for the most frequent tokens, 0 for the rest."""

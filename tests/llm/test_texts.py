@@ -111,6 +111,25 @@ def test_a_score_does_not_depend_on_the_documents_beside():
         assert abs(alone - together[d]) < 1e-4
 
 
+def test_find_looks_few_tokens_up_by_binary_search(monkeypatch):
+    """Places are those of a search of each token, whether hashes are spread evenly or share their leading bits."""
+    import numpy as np
+    random = np.random.default_rng(5)
+    even = np.unique(random.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    close = np.unique(np.r_[np.arange(1 << 40, (1 << 40) + 500, dtype=np.uint64), np.uint64(0), np.uint64((1 << 64) - 1)])
+    for hashes, share in ((even, 100), (close, 1), (even[:1], 1)):
+        tokens = random.permutation(np.r_[random.choice(hashes, 30_000), hashes, hashes + np.uint64(1), random.integers(0, 1 << 64, 5_000, dtype=np.uint64)])
+        place = {h: i for i, h in enumerate(hashes.tolist())}
+        v = likelihood.Vocabulary(hashes, np.arange(len(hashes)), np.ones(len(hashes), np.int64), 1, 1, 1)
+        searched, plainly = [], np.searchsorted
+        monkeypatch.setattr(np, "searchsorted", lambda a, wanted, *more, **named: searched.append(np.size(wanted)) or plainly(a, wanted, *more, **named))
+        found = v.find(tokens)
+        monkeypatch.undo()
+        assert found.tolist() == [place.get(t, -1) for t in tokens.tolist()]
+        assert sum(searched) <= len(tokens) // share
+        assert v.find(tokens[:3]).tolist() == found[:3].tolist() and not len(v.find(tokens[:0]))
+
+
 def test_gradients_match_differences():
     import numpy as np
     ids = np.array([1, 5, 0, 50, 2, 1, 5, 0])
