@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import (blob, flat_scene, inside, meets, objects_df, poses_df, prepared, rect, zones_df)
+from sceneframe.functions import angles as A
 from sceneframe.operators import containment as C, hierarchy as H, nearest as N, ranges as R, routes as RT, scene as SC
 from sceneframe.operators.lookup import match_substring
 from sceneframe.plans import tools as T
@@ -296,6 +297,29 @@ def test_counts_are_taken_before_texts_are_put_in_order(spark):
     assert counted and not any("SortAggregate" in line for line in counted)
 
 
+def test_generated_code_of_pairs_is_small_enough_to_be_compiled(spark):
+    """The JVM never compiles a method of more than 8,000 bytes; pairs with their direction stay below, with the same directions."""
+    rng = random.Random(29)
+    scene = flat_scene(spark)
+    poses = poses_df(spark, [(i, rng.uniform(0, 10), rng.uniform(0, 5), None if i == 7 else rng.uniform(-7, 7), "chair") for i in range(40)]
+                     + [(40, None, None, 0.0, "chair"), (41, 500.0, 500.0, 1.0, "chair")])
+    sizes = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenStringSeq
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for dialect in ("cloud", "local"):
+            pairs = R.objects_within(poses, scene.objects, 4.0, "left")
+            for df in (R.nearby_items(pairs, dialect), T.describe_surroundings(poses, scene.objects, scene.index, dialect=dialect),
+                       T.find_nearest(poses, scene.objects, scene.index, "name", dialect)):
+                stages = sizes(df._jdf.queryExecution().executedPlan())
+                assert stages.size() and all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+            plain = A.relative_direction(*[F.col(c) for c in ("yaw", "x", "y", "ox", "oy")], dialect)
+            found = R.nearby_items(pairs, dialect).withColumn("plain", plain).collect()
+            assert len(found) > 60 and all(r.direction == r.plain for r in found) and any(r.direction is None for r in found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_edges_as_columns_and_as_lists_agree(spark, monkeypatch):
     """Zones of three to nine edges, with routes along edges, through corners and inside: no matter how many edges are columns."""
     rng = random.Random(11)
