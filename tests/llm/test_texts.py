@@ -179,6 +179,34 @@ def test_crowded_grams_and_chains(spark, monkeypatch):
     assert found == {i: expect[i, t] for i, t in rows}
 
 
+def test_near_copies_in_rounds(spark, monkeypatch):
+    """What a round may shuffle is bounded by the bytes of the sets: the rest goes in further rounds, with the same groups."""
+    import os
+    rng = random.Random(5)
+    rows = [(k, plain.sentence(rng, "en", 40)) for k in range(15)]
+    rows += [(100 + k, t.replace(" ", " more ", 1)) for k, t in rows] + [(200 + k, t) for k, t in rows[:3]]
+    docs, expect = spark.createDataFrame(rows, "doc_id long, text string"), plain.components(rows)
+    rounds, count = [], overlap.rounds_of
+    monkeypatch.setattr(overlap, "rounds_of", lambda *a: rounds.append(count(*a)) or rounds[-1])
+    monkeypatch.setattr(overlap, "ROUND_BYTES", 1000)
+    found = {r[0]: tuple(r)[1:] for r in overlap.jaccard_groups(docs).collect()}
+    assert found == {i: expect[i, t] for i, t in rows}
+    assert max(rounds) > 1
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("near-")]
+
+
+def test_ranges_of_grams_part_all_hashes(spark):
+    from pyspark.sql import functions as F
+    ends = [-(1 << 63), -(1 << 62) - 1, -1, 0, 1, 1 << 62, (1 << 63) - 1]
+    grams = spark.createDataFrame([(g,) for g in ends], "gram long")
+    for cuts in ([], [0], [5, -(1 << 62), 5], ends):
+        hits = grams.select("gram", sum([F.when(r, 1).otherwise(0) for r in overlap.gram_ranges(cuts)], F.lit(0)).alias("n")).collect()
+        assert [r["n"] for r in hits] == [1] * len(ends)
+    assert overlap.rounds_of(0, 0) == 1 and overlap.rounds_of(10 * overlap.ROUND_BYTES, 0) == 10
+    assert overlap.rounds_of(10 * overlap.ROUND_BYTES, 5 * overlap.ROUND_BYTES) == 2
+
+
 def test_rows_under_a_gram_are_counted_where_they_are_chosen():
     """Groups parted by batches; only rows that stay count."""
     import pyarrow as pa
