@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import objects_df, poses_df
 from sceneframe.operators import asof, logs, scale
 from sceneframe.operators.arrivals import detect_arrivals
 from sceneframe.operators.asof import as_of
-from sceneframe.operators.ranges import rank_nearby
+from sceneframe.operators.ranges import nearby_items, nearby_ranked, objects_within, rank_nearby
 from sceneframe.operators.scale import large_groups, ordered_slices
 from sceneframe.plans.tools import latest_status, navigation_status
 
@@ -169,3 +170,24 @@ def test_narrow_tables_are_cut_by_their_rows(spark):
     assert len(sizes) == 20 and max(sizes) < 2000 and sum(sizes) == 20_000
     fine = spark.range(0, 100, 1, 50)
     assert scale.spread(fine, "id", task_rows=10).rdd.getNumPartitions() == 50
+
+
+def test_pairs_are_numbered_where_they_are_made(spark):
+    """Objects too many to be broadcast: the pairs aren't shuffled after the join, unless a request occurs twice."""
+    rng = random.Random(8)
+    things = objects_df(spark, [(f"t{k}", rng.uniform(0, 30), rng.uniform(0, 30), 0.9, 500) for k in range(150)] + [("lost", None, 2.0, 0.9, 500)])
+    rows = [(k, rng.uniform(0, 30), rng.uniform(0, 30), 0.3, "") for k in range(60)] + [(90, None, None, None, "")]
+    for asked in (rows, [*rows, (7, 1.0, 1.0, 0.3, ""), (7, 29.0, 1.0, 0.3, ""), *[(None, x, 2.0, 0.3, "") for x in (2.0, 28.0)]]):
+        poses = poses_df(spark, asked)
+        columns = ["request_id", "rank", "obj_id", "distance", "direction", "x", "dist", "obj_label"]
+        want = rank_nearby(nearby_items(objects_within(poses, things, 5.0))).select(columns).collect()
+        for broadcast_rows in (0, None):
+            got = nearby_ranked(poses, things, 5.0, broadcast_rows=broadcast_rows)
+            assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want)) and len(want) > 300
+            assert set(got.columns) == set(rank_nearby(nearby_items(objects_within(poses, things, 5.0))).columns)
+        for group_rows in (3, 10_000):
+            got = nearby_ranked(poses, things, 5.0, broadcast_rows=0, group_rows=group_rows)
+            assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        window, joined = plan.index("Window"), plan.index("SortMergeJoin")
+        assert ("Exchange" in plan[window:joined]) == (asked is not rows)
