@@ -189,8 +189,6 @@ def test_near_copies_in_rounds(spark, monkeypatch):
     rounds, count = [], overlap.rounds_of
     monkeypatch.setattr(overlap, "rounds_of", lambda *a: rounds.append(count(*a)) or rounds[-1])
     monkeypatch.setattr(overlap, "ROUND_BYTES", 1000)
-    monkeypatch.setattr(overlap, "CROWD", 1)
-    monkeypatch.setattr(overlap, "BLOCK", 2)
     found = {r[0]: tuple(r)[1:] for r in overlap.jaccard_groups(docs).collect()}
     assert found == {i: expect[i, t] for i, t in rows}
     assert max(rounds) > 1
